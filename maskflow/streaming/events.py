@@ -123,7 +123,7 @@ def _safe_length(buffer: str, mapping: dict[str, str], hold: int) -> int:
     return cut
 
 
-def _events(keep_final: bool, timeout_ms: int):
+def _events(keep_final: bool, timeout_ms: int | None):
     """The state function. State is one JSON text per request."""
 
     def drain(s: dict) -> Iterator[tuple]:
@@ -217,13 +217,14 @@ def _events(keep_final: bool, timeout_ms: int):
         if keep_final:
             s["full"] = ["".join(s["full"])]
         state.update((json.dumps(s),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
     return step
 
 
 def restore_stream(
-    tagged: DataFrame, keep_final: bool = True, timeout_ms: int = 3_600_000
+    tagged: DataFrame, keep_final: bool = True, timeout_ms: int | None = None
 ) -> DataFrame:
     """Events of a stream of tagged rows, in order per request by ``event_seq``.
 
@@ -231,13 +232,22 @@ def restore_stream(
     of a placeholder goes out before all of it is there. On an error the text
     held back is dropped. ``keep_final=False`` keeps the whole answer out of
     the state; the final event then carries no text.
+
+    With ``timeout_ms`` an open request that gets no row for so long ends in an
+    error event. Use it with triggers that go on: a run that stops when all
+    input is read would wait for timeouts for ever.
     """
+    waits = (
+        GroupStateTimeout.NoTimeout
+        if timeout_ms is None
+        else GroupStateTimeout.ProcessingTimeTimeout
+    )
     raw = tagged.groupBy("request_num").applyInPandasWithState(
         _events(keep_final, timeout_ms),
         _RAW_EVENTS,
         "state string",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        waits,
     )
     fields = [f.strip().split(" ")[0] for f in _PAYLOAD.split(", ")]
     return raw.withColumn("p", F.from_json("payload", _PAYLOAD)).select(
@@ -250,7 +260,7 @@ def process_requests_stream(
     connect: Callable[[str], CompleteStream],
     model: str = "default",
     keep_final: bool = True,
-    timeout_ms: int = 3_600_000,
+    timeout_ms: int | None = None,
 ) -> DataFrame:
     """Requests in, events out: mask, call the model, restore chunk by chunk."""
     tagged = call_model(mask_stream(requests), connect, model)
