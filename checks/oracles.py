@@ -39,7 +39,7 @@ def _texts(source: str) -> str:
 def _kind(rules) -> str:
     *first, last = rules
     cases = "".join(
-        f" WHEN regexp_full_match(value, '{r.canonical}') THEN '{r.name}'" for r in first
+        f" WHEN regexp_matches(value, '{r.tell}') THEN '{r.name}'" for r in first
     )
     return f"CASE{cases} ELSE '{last.name}' END" if first else f"'{last.name}'"
 

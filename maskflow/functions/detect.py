@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.functions import patterns as P
 
+_MARK = "\x01"
 _SPAN = "struct<entity_type:string,start:int,end:int,value:string,pos:int>"
 
 
@@ -21,34 +23,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns so that each row evaluates them exactly once.
+
+    The optimizer copies an expression into every filter above it and into the
+    filter it infers for an explode. It does not move anything through a
+    generator that reads them, so they come out of one over a one-element array.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def may_have_pii(text: Column, entities: Sequence[str] | None = None) -> Column:
+    """Cheap test that every text with a hit passes; few others do."""
+    tests = [
+        F.contains(text, F.lit(hint)) if len(hint) == 1 else text.rlike(hint)
+        for hint in P.hints(P.pick(entities))
+    ]
+    return F.coalesce(functools.reduce(Column.__or__, tests), F.lit(False))
+
+
 def has_pii(text: Column, entities: Sequence[str] | None = None) -> Column:
     """True where ``text`` holds a hit. The cheap hint decides most rows."""
-    rules = P.pick(entities)
-    return F.coalesce(
-        text.rlike(P.hint_pattern(rules)) & text.rlike(P.spark_pattern(rules)), F.lit(False)
-    )
+    return may_have_pii(text, entities) & text.rlike(P.spark_pattern(P.pick(entities)))
 
 
 def hit_values(text: Column, entities: Sequence[str] | None = None) -> Column:
     """All hits of ``text`` from left to right; empty for null or clean text."""
     rules = P.pick(entities)
     found = F.regexp_extract_all(text, F.lit(P.spark_pattern(rules)), F.lit(0))
-    return F.when(text.rlike(P.hint_pattern(rules)), found).otherwise(
-        F.array().cast("array<string>")
-    )
+    none = F.array().cast("array<string>")
+    return F.when(may_have_pii(text, entities), found).otherwise(none)
 
 
 def gaps(text: Column, entities: Sequence[str] | None = None) -> Column:
-    """The text around the hits: one piece more than there are hits."""
-    return F.split(text, P.spark_pattern(P.pick(entities)), -1)
+    """The text around the hits: one piece more than there are hits.
+
+    A regular split compiles its pattern for each row. So the hits become a
+    character that is rare, and a text that has it takes the slow way.
+    """
+    pattern = P.spark_pattern(P.pick(entities))
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(_MARK)), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
 
 
 def entity_of(value: Column, entities: Sequence[str] | None = None) -> Column:
-    """Entity type of a hit: the first rule that it fully matches."""
+    """Entity type of a hit."""
     *first, last = P.pick(entities)
     kind = F.lit(last.name)
     for rule in reversed(first):
-        kind = F.when(value.rlike(f"^(?:{rule.spark})$"), F.lit(rule.name)).otherwise(kind)
+        kind = F.when(value.rlike(rule.tell), F.lit(rule.name)).otherwise(kind)
     return kind
 
 

@@ -42,7 +42,8 @@ def ranks(types: Column, entities: Sequence[str], used: Sequence[Column]) -> Col
         return let(start.cast("long"), numbered)
 
     parts = [ranked(entity, start) for entity, start in zip(entities, used)]
-    return F.sort_array(F.concat(*parts)).getField("n")
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(types) > 0, F.sort_array(F.concat(*parts)).getField("n")).otherwise(none)
 
 
 def placeholders(types: Column, entities: Sequence[str], used: Sequence[Column]) -> Column:
@@ -52,8 +53,12 @@ def placeholders(types: Column, entities: Sequence[str], used: Sequence[Column])
 
 def splice(pieces: Column, names: Column) -> Column:
     """Join the pieces around the hits with the placeholders between them."""
-    heads = F.zip_with(F.slice(pieces, 1, F.size(names)), names, lambda p, n: F.concat(p, n))
-    return F.concat(F.array_join(heads, ""), F.element_at(pieces, -1))
+
+    def joined(p: Column) -> Column:
+        heads = F.zip_with(F.slice(p, 1, F.size(names)), names, lambda g, n: F.concat(g, n))
+        return F.concat(F.array_join(heads, ""), F.element_at(p, -1))
+
+    return let(pieces, joined)
 
 
 def entries(field: str, types: Column, names: Column, values: Column) -> Column:

@@ -19,41 +19,49 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 _W = "[0-9A-Za-z_]"
-_STARTS = f"(?<!{_W})"
 _ENDS = f"(?!{_W})"
 _EDGE = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 _TLD = f"[A-Za-z]{{2,}}+{_ENDS}"
+# A digit that starts a word; the cheap test comes first.
+_FIRST_DIGIT = f"[0-9](?<!{_W}[0-9])"
+# Where a hit of any rule can start.
+_START = rf"(?:(?<!{_W})|(?=[+(])|\G)"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``hint`` is a cheap pattern that every text with a hit contains."""
+    """``hint``: cheap pattern in every text with a hit. ``tell``: only in hits of this rule."""
 
     name: str
     canonical: str
     spark: str
     hint: str
+    tell: str
 
 
 EMAIL = Rule(
     "EMAIL_ADDRESS",
     r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
-    rf"(?:\G{_EDGE}|(?<!{_W}[.%+-]{{0,8}})(?={_W}))[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-])"
+    rf"(?:(?<!{_W})(?={_W}++[.%+@-])(?<!{_W}[.%+-]{{1,8}})|\G{_EDGE})"
+    r"[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-])"
     rf"(?:[A-Za-z0-9-]*+(?:\.(?!{_TLD})[A-Za-z0-9-]++)*+\.{_TLD})++",
-    r"@[0-9A-Za-z-]",
+    r"@",
+    r"@",
 )
 SSN = Rule(
     "US_SSN",
     r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    rf"{_STARTS}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_ENDS}",
-    r"[0-9]-[0-9]{4}",
+    rf"{_FIRST_DIGIT}[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}{_ENDS}",
+    r"[0-9][ .-][0-9]{4}",
+    r"^[0-9]{3}-[0-9]{2}-",
 )
 PHONE = Rule(
     "PHONE_NUMBER",
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
-    r"(?:\+[0-9]{1,3}[ .-]?)?"
-    rf"(?:\([0-9]{{3}}\)[ .-]?|{_STARTS}[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_ENDS}",
+    r"(?=[+(0-9])(?:\+[0-9]{1,3}[ .-]?)?"
+    rf"(?:\([0-9]{{3}}\)[ .-]?|{_FIRST_DIGIT}[0-9]{{2}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_ENDS}",
     r"[0-9][ .-][0-9]{4}",
+    r"^(?:[+(]|[0-9]{3}[ .-][0-9]{3})",
 )
 
 # At equal starts the earlier rule wins; hits never overlap.
@@ -76,11 +84,11 @@ def canonical_pattern(rules: Sequence[Rule]) -> str:
 
 
 def spark_pattern(rules: Sequence[Rule]) -> str:
-    return "|".join(r.spark for r in rules)
+    return f"{_START}(?:{'|'.join(r.spark for r in rules)})"
 
 
-def hint_pattern(rules: Sequence[Rule]) -> str:
-    return "|".join(r.hint for r in rules)
+def hints(rules: Sequence[Rule]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(r.hint for r in rules))
 
 
 def token_pattern(entities: Sequence[str] = ENTITIES) -> str:

@@ -14,9 +14,9 @@ def register(spark: SparkSession) -> list[str]:
     text by itself (numbers from 1, right to left), ``unredact(t, m)`` puts the
     originals of a mapping back.
     """
-    pattern, hint = P.spark_pattern(P.RULES), P.hint_pattern(P.RULES)
+    pattern, hint = P.spark_pattern(P.RULES), "|".join(P.hints(P.RULES))
     kind = "".join(
-        f" WHEN rlike(v, r'^(?:{r.spark})$') THEN '{r.name}'" for r in P.RULES[:-1]
+        f" WHEN rlike(v, r'{r.tell}') THEN '{r.name}'" for r in P.RULES[:-1]
     )
     kind = f"CASE{kind} ELSE '{P.RULES[-1].name}' END"
     found = f"IF(rlike(t, r'{hint}'), regexp_extract_all(t, r'{pattern}', 0), array())"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.functions import patterns as P
-from maskflow.functions.detect import has_pii
+from maskflow.functions.detect import compute_once, has_pii
 from maskflow.functions.mask import count_of
 from maskflow.functions.restore import unredact
 from maskflow.operators.masking import with_hits
@@ -22,10 +22,10 @@ def leaks(redacted: Column, mapping: Column) -> Column:
 
 def leak_rows(masked: DataFrame) -> DataFrame:
     """Masked requests with a leak in either prompt."""
-    return masked.filter(
-        leaks(F.col("redacted_system"), F.col("mappings"))
-        | leaks(F.col("redacted_user"), F.col("mappings"))
+    bad = leaks(F.col("redacted_system"), F.col("mappings")) | leaks(
+        F.col("redacted_user"), F.col("mappings")
     )
+    return compute_once(masked, {"_bad": bad}).filter("_bad").drop("_bad")
 
 
 def roundtrip_failures(masked: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def roundtrip_failures(masked: DataFrame) -> DataFrame:
         unredact(F.col(f"redacted_{f}"), F.col("mappings")).eqNullSafe(F.col(f"original_{f}"))
         for f in ("system", "user")
     ]
-    return masked.filter(~(back[0] & back[1]))
+    return compute_once(masked, {"_same": back[0] & back[1]}).filter("NOT _same").drop("_same")
 
 
 def collides(text: Column, entities: Sequence[str] = P.ENTITIES) -> Column:

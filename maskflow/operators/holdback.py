@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.functions.detect import let
 from maskflow.functions.restore import holdback_length, snap, unredact
 from maskflow.operators.completion import nonempty_chunks
 from maskflow.operators.prefix import running_totals
@@ -46,11 +47,11 @@ def _plan(
     ).withColumn("end", F.col("start") + F.col("size"))
 
     # The block a chunk starts in, and later blocks that need its last characters.
-    own = F.floor(F.col("start") / BLOCK)
-    after = F.floor(F.col("end") / BLOCK)
+    own, after = F.expr(f"`start` div {BLOCK}"), F.expr(f"`end` div {BLOCK}")
     near = F.when(F.col("end") > (after + 1) * BLOCK - margin, after + 1)
     targets = F.array_distinct(F.array_compact(F.array(own, after, near)))
-    spread = placed.withColumn("_own", own).withColumn("block", F.explode(targets))
+    spread = placed.withColumns({"_own": own, "_to": targets})
+    spread = spread.withColumn("block", F.explode_outer("_to"))
     is_own = F.col("block") == F.col("_own")
     kept = F.when(is_own, F.col("size")).otherwise(
         F.least(F.col("size"), F.col("end") - F.col("block") * BLOCK + margin)
@@ -65,12 +66,12 @@ def _plan(
         spread.groupBy("request_id", "block")
         .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
         .filter(F.exists("pieces", lambda p: p["own"]))
-        .withColumn("segment", F.floor(F.col("block") / SEGMENT))
+        .withColumn("segment", F.expr(f"block div {SEGMENT}"))
     )
     ends = placed.groupBy("request_id").agg(
         F.max("end").alias("total"), F.max(own).alias("last_block")
     )
-    segments = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_block") / SEGMENT))
+    segments = F.expr(f"sequence(0L, last_block div {SEGMENT})")
     known = (
         ends.join(mappings.select("request_id", "mapping"), "request_id", "left")
         .withColumn("_values", F.array_join(F.map_values("mapping"), "\n"))
@@ -108,30 +109,45 @@ def _texts(blocks: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _released(texts: DataFrame) -> DataFrame:
+def _released(texts: DataFrame, restored: bool) -> DataFrame:
+    """request_id, segment, seq and the released ``text`` (the rest: null ``seq``).
+
+    Everything is cut inside the block, so that no row carries its block along.
+    """
+    hold, base = F.col("hold"), F.col("base")
+
     def cut(end: Column) -> Column:
-        at = F.greatest(end - F.col("hold"), F.lit(0)) - F.col("base")
-        return snap(F.col("text"), F.greatest(at, F.lit(0)), F.col("keys"))
-
-    def piece(p: Column) -> Column:
-        return F.struct(
-            p["seq"].alias("seq"),
-            cut(p["start"]).alias("low"),
-            cut(p["start"] + F.length(p["content"])).alias("high"),
+        at = F.greatest(F.greatest(end - hold, F.lit(0)) - base, F.lit(0)).cast("int")
+
+        def moved(c: Column) -> Column:
+            # Only the characters around the cut can hold a placeholder that it splits.
+            around = F.substring(F.col("text"), c["low"] + 1, c["at"] + hold - c["low"])
+            return let(around, lambda w: c["low"] + snap(w, c["at"] - c["low"], F.col("keys")))
+
+        both = F.struct(at.alias("at"), F.greatest(at - hold, F.lit(0)).alias("low"))
+        return F.when(F.size("keys") == 0, at).otherwise(let(both, moved))
+
+    ends = F.transform("pieces", lambda p: p["start"] + F.length(p["content"]))
+    ends = F.concat(F.array(F.element_at("pieces", 1)["start"]), ends)
+
+    def release(cuts: Column) -> Column:
+        def one(seq: Column, low: Column, high: Column) -> Column:
+            raw = F.substring(F.col("text"), low + 1, high - low)
+            out = unredact(raw, F.col("mapping")) if restored else raw
+            return F.struct(seq.alias("seq"), out.alias("text"))
+
+        said = F.transform(
+            "pieces", lambda p, i: one(p["seq"], F.get(cuts, i), F.get(cuts, i + F.lit(1)))
         )
+        rest = one(F.lit(None).cast("long"), F.element_at(cuts, -1), F.length("text"))
+        kind = "array<struct<seq:long,text:string>>"
+        tail = F.when(F.col("is_last"), F.array(rest)).otherwise(F.array().cast(kind))
+        return F.concat(said.cast(kind), tail.cast(kind))
 
-    tail = F.struct(
-        F.lit(None).cast("long").alias("seq"),
-        cut(F.col("total")).alias("low"),
-        F.length("text").alias("high"),
-    )
-    slices = F.transform("pieces", piece).cast("array<struct<seq:long,low:int,high:int>>")
-    tails = F.array(tail).cast("array<struct<seq:long,low:int,high:int>>")
-    slices = F.when(F.col("is_last"), F.concat(slices, tails)).otherwise(slices)
-    raw = F.substring("text", F.col("s.low") + 1, F.col("s.high") - F.col("s.low"))
-    return texts.select(
-        "request_id", "segment", "text", "mapping", F.explode(slices).alias("s")
-    ).select("request_id", "segment", "mapping", F.col("s.seq").alias("seq"), raw.alias("raw"))
+    rows = texts.select(
+        "request_id", "segment", let(F.transform(ends, cut), release).alias("_out")
+    ).select("request_id", "segment", F.explode_outer("_out").alias("s"))
+    return rows.select("request_id", "segment", "s.seq", "s.text")
 
 
 def release_chunks(
@@ -143,10 +159,8 @@ def release_chunks(
     request_id (unique), mapping. Gives request_id, seq, content; a chunk that
     releases nothing has '', the rest of a request has a null ``seq``.
     """
-    released = _released(_texts(*_plan(chunks, mappings, parts)))
-    return released.select(
-        "request_id", "seq", unredact(F.col("raw"), F.col("mapping")).alias("content")
-    )
+    released = _released(_texts(*_plan(chunks, mappings, parts)), restored=True)
+    return released.select("request_id", "seq", F.col("text").alias("content"))
 
 
 def full_answers(
@@ -161,14 +175,15 @@ def full_answers(
     """
     blocks, known = _plan(chunks, mappings, parts)
     # The rest has no seq and comes last.
-    piece = F.struct(F.col("seq").isNull().alias("rest"), "seq", "raw")
+    piece = F.struct(F.col("seq").isNull().alias("rest"), "seq", "text")
     whole = (
-        _released(_texts(blocks, known))
+        _released(_texts(blocks, known), restored=False)
         .groupBy("request_id", "segment")
         .agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-        .select("request_id", "segment", F.array_join("_pieces.raw", "").alias("raw"))
+        .select("request_id", "segment", F.array_join("_pieces.text", "").alias("raw"))
     )
-    return whole.join(known.select("request_id", "segment", "mapping"), ["request_id", "segment"]).select(
+    mapped = known.select("request_id", "segment", "mapping")
+    return whole.join(mapped, ["request_id", "segment"]).select(
         "request_id",
         F.col("segment").alias("part"),
         F.col("raw").alias("llm_response_redacted"),
@@ -180,12 +195,12 @@ def released_pieces(
     chunks: DataFrame, mappings: DataFrame, parts: int | None = None
 ) -> DataFrame:
     """The released pieces before restoring, as chunks again (rest: last seq + 1)."""
-    released = _released(_texts(*_plan(chunks, mappings, parts)))
-    last = chunks.groupBy("request_id").agg((F.max("seq") + 1).alias("_after"))
-    rest = released.filter(F.col("seq").isNull()).drop("seq").join(last, "request_id")
-    rest = rest.select("request_id", F.col("_after").cast("long").alias("seq"), "raw")
-    pieces = released.filter(F.col("seq").isNotNull()).select("request_id", "seq", "raw")
-    return pieces.unionByName(rest).withColumnRenamed("raw", "content")
+    released = _released(_texts(*_plan(chunks, mappings, parts)), restored=False)
+    last = chunks.groupBy("request_id").agg((F.max("seq") + 1).cast("long").alias("_after"))
+    rest = released.filter(F.col("seq").isNull()).join(last, "request_id")
+    rest = rest.select("request_id", F.col("_after").alias("seq"), F.col("text").alias("content"))
+    pieces = released.filter(F.col("seq").isNotNull())
+    return pieces.select("request_id", "seq", F.col("text").alias("content")).unionByName(rest)
 
 
 def split_placeholders(
@@ -209,5 +224,6 @@ def split_placeholders(
         return F.struct(p["seq"].alias("seq"), F.filter("keys", straddles).alias("keys"))
 
     texts = _texts(*_plan(chunks, mappings, parts))
-    rows = texts.select("request_id", F.explode(F.transform("pieces", cuts)).alias("c"))
+    rows = texts.select("request_id", F.transform("pieces", cuts).alias("_cuts"))
+    rows = rows.select("request_id", F.explode_outer("_cuts").alias("c"))
     return rows.select("request_id", "c.seq", F.explode("c.keys").alias("placeholder"))

@@ -11,7 +11,6 @@ from maskflow.functions import detect as D
 from maskflow.functions import mask as M
 from maskflow.functions import patterns as P
 from maskflow.operators.prefix import running_totals
-from maskflow.session import materialize
 
 # Rows of the offsets table (a key and three counters) that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -30,9 +29,11 @@ def with_hits(
 ) -> DataFrame:
     """Add ``_v_<field>`` (hits) and ``_t_<field>`` (their types).
 
-    They stay columns of their own, so that the pattern runs once per text.
+    The pattern runs once per text.
     """
-    out = df.withColumns({f"_v_{f}": D.hit_values(_seen(f, only), entities) for f in fields})
+    out = D.compute_once(
+        df, {f"_v_{f}": D.hit_values(_seen(f, only), entities) for f in fields}
+    )
     return out.withColumns(
         {f"_t_{f}": F.transform(f"_v_{f}", lambda v: D.entity_of(v, entities)) for f in fields}
     )
@@ -43,10 +44,17 @@ def count_hits(
 ) -> DataFrame:
     """Hits per type of each row that has any: key and one LONG per type."""
     names = _names(entities)
-    found = with_hits(df, fields, entities, only)
+    some = F.lit(False)
+    for f in fields:
+        some = some | D.may_have_pii(_seen(f, only), entities)
+    found = with_hits(df.filter(some), fields, entities, only)
+    hits = F.lit(0)
+    for f in fields:
+        hits = hits + F.size(f"_v_{f}")
     types = F.concat(*[F.col(f"_t_{f}") for f in fields])
-    counted = found.select(key, types.alias("_t")).filter(F.size("_t") > 0)
-    return counted.select(key, *[M.count_of(F.col("_t"), n).alias(n) for n in names])
+    return found.filter(hits > 0).select(
+        key, *[M.count_of(types, n).alias(n) for n in names]
+    )
 
 
 def session_offsets(
@@ -123,7 +131,7 @@ def mask_fields(
     if scope != "session":
         raise ValueError("scope must be 'request' or 'session'")
 
-    offsets = materialize(session_offsets(df, key, fields, entities, parts, only), "offsets")
+    offsets = session_offsets(df, key, fields, entities, parts, only)
     used = {
         f"_used_{n}": F.coalesce(f"_used_{n}", F.lit(0)) + F.lit(int(start.get(n, 0)))
         for n in names
@@ -196,7 +204,8 @@ def vault(masked: DataFrame, key: str = "request_num") -> DataFrame:
 
     Sensitive; nothing here writes it.
     """
-    return masked.select(key, F.posexplode("entries").alias("ord", "e")).select(
+    rows = masked.select(key, F.posexplode_outer("entries").alias("ord", "e"))
+    return rows.filter(F.col("ord").isNotNull()).select(
         key, "e.field", "ord", "e.placeholder", "e.entity_type", "e.original"
     )
 
@@ -218,7 +227,7 @@ def hit_rows(
     df: DataFrame, key: str, text: str, entities: Sequence[str] | None = None
 ) -> DataFrame:
     """Long view of the hits: key, pos, entity_type, start, end, value."""
-    found = df.select(key, D.detect(F.col(text), entities).alias("_hits"))
-    return found.select(key, F.explode("_hits").alias("h")).select(
+    found = df.select(key, F.explode(D.detect(F.col(text), entities)).alias("h"))
+    return found.select(
         key, "h.pos", "h.entity_type", "h.start", "h.end", "h.value"
     )

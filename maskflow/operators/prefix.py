@@ -93,26 +93,21 @@ def lookup(
     keys: Sequence[str],
     spread: Sequence[str],
     hot_rows: int = 1_000_000,
-    salts: int = 64,
 ) -> DataFrame:
     """Left join ``rows`` to ``table``, which is unique on ``keys``.
 
-    A key that more than ``hot_rows`` rows ask for is salted: its rows go to
-    ``salts`` tasks by a hash of ``spread``, and its table row is repeated for
-    each. There are at most rows / hot_rows such keys, so the list of hot keys
-    stays small enough to broadcast whatever the data.
+    A key that n > ``hot_rows`` rows ask for is salted: its rows go to
+    n / hot_rows tasks by a hash of ``spread``, and its table row is repeated
+    for each. Both the hot keys and the repeated rows number at most
+    rows / hot_rows, so the list of hot keys is small enough to broadcast.
     """
+    salts = F.ceil(F.count(F.lit(1)) / hot_rows).cast("int")
     hot = F.broadcast(
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
+        rows.groupBy(*keys).agg(salts.alias("_salts")).filter(F.col("_salts") > 1)
     )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
     left = rows.join(hot, list(keys), "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = table.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.coalesce(copies, F.array(F.lit(0))))
-    )
-    joined = left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], "left")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = table.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies))
+    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], "left")
     return joined.drop("_salt")

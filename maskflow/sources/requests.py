@@ -18,8 +18,8 @@ MISSING = (
     "n/a", "nan", "null",
 )
 
-# A list of files or file parts this long fits one task.
-_MAX_SPLITS = 1_000_000
+# File parts whose offsets may be broadcast.
+_BROADCAST_SPLITS = 100_000
 
 
 def require_columns(df: DataFrame, names: Sequence[str] = REQUIRED) -> DataFrame:
@@ -73,12 +73,11 @@ def read_requests(
     splits = rows.groupBy("_file", "_block").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    if len(raw.inputFiles()) <= _MAX_SPLITS // 100:
-        ahead = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = splits.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    ahead = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    # One row per file part; the plan tells how many there can be.
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    else:
-        offsets = running_totals(splits, ["_file", "_block"], {"_ahead": "_rows"})
     number = F.col("_ahead") + F.col("_at") - F.col("_first") + 1
     numbered = rows.join(offsets.drop("_rows"), ["_file", "_block"])
     return project_requests(numbered.select(number.alias("request_num"), *REQUIRED))
