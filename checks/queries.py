@@ -24,7 +24,7 @@ from maskflow.operators import holdback as H
 from maskflow.operators import masking as K
 from maskflow.operators.prefix import running_totals
 from maskflow.plans.requests import result_records
-from maskflow.session import new_path
+from maskflow.session import new_path, spread
 from maskflow.sources import requests as S
 from maskflow.streaming import events as E
 from maskflow.streaming import sinks as W
@@ -41,7 +41,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def derived(spark: SparkSession, sf: str, sql: str, source: str) -> DataFrame:

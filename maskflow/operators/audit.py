@@ -56,10 +56,13 @@ def pii_profile(
     )
     columns = [e.lower() for e in entities]
     some = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
-    level = F.bit_count(F.grouping_id())
-    return counted.rollup(*by).agg(
-        level.cast("long").alias("level"),
+    # One row per group before the subtotals multiply the rows.
+    groups = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(some > 0).alias("rows_with_hits"),
         *[F.sum(c).alias(c) for c in columns],
     )
+    return groups.rollup(*by).agg(
+        F.bit_count(F.grouping_id()).cast("long").alias("level"),
+        *[F.sum(c).alias(c) for c in ("rows", "rows_with_hits", *columns)],
+    )

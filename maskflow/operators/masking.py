@@ -140,11 +140,11 @@ def mask_fields(
         joined = df.join(F.broadcast(offsets), key, "left").withColumns(used)
         return _masked(with_hits(joined, fields, entities, only), fields, entities)
 
-    # Too many to broadcast: only texts with hits take part in the shuffle.
+    # Too many to broadcast: only texts that may have hits take part in the shuffle.
     dirty = F.lit(False)
     for f in fields:
-        dirty = dirty | D.has_pii(_seen(f, only), entities)
-    joined = df.filter(dirty).join(offsets, key).withColumns(used)
+        dirty = dirty | D.may_have_pii(_seen(f, only), entities)
+    joined = df.filter(dirty).join(offsets, key, "left").withColumns(used)
     clean = df.filter(~dirty).withColumns(
         {
             **{f"redacted_{f}": F.col(f) for f in fields},

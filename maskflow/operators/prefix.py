@@ -34,23 +34,40 @@ def running_totals(
     Earlier means the same ``group`` (all rows without one) and a smaller
     ``order``; (group, order) must be unique and not null.
 
-    A window partitioned by the group would put a hot group, and without a
-    group the whole table, into one task. Above ``ROWS_PER_PART`` rows the
-    table is therefore cut into ranges of (group, order), which ignore group
-    limits; each range sums up by itself, and a table with one row per range
-    (at most ``MAX_PARTS``) carries the totals on. Both written tables hold
-    only the columns of ``df``: pass in narrow rows.
+    While no group has more than ``ROWS_PER_PART`` rows, this is one window
+    over the groups. A window would put a larger group, and without a group
+    the whole table, into one task. Then the keys and measures are written
+    down and cut into ranges of (group, order), which ignore group limits;
+    each range sums up by itself, and a table with one row per range (at most
+    ``MAX_PARTS``) carries the totals on. Other columns of ``df`` come back by
+    a join on the keys.
     """
     keys = [*group, *order]
-    rows = materialize(df, "totals")
+    if group and parts is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= ROWS_PER_PART:
+            parts = 1
+    if group and parts == 1:
+        return df.withColumns({n: _ahead(m, group, order) for n, m in sums.items()})
+
+    narrow = list(dict.fromkeys([*keys, *sums.values()]))
+    rows = materialize(df.select(*narrow), "totals")
     if parts is None:
-        # Narrow rows in a few ranges only: the footers give the count.
-        biggest = rows.count()
-        if group and biggest > ROWS_PER_PART:
-            sizes = rows.groupBy(*group).count()
-            if sizes.agg(F.max("count")).first()[0] <= ROWS_PER_PART:
-                biggest = 0
-        parts = max(1, min(MAX_PARTS, math.ceil(biggest / ROWS_PER_PART)))
+        parts = max(1, min(MAX_PARTS, math.ceil(rows.count() / ROWS_PER_PART)))
+    out = _ranged(rows, keys, group, order, sums, parts)
+    if set(df.columns) == set(narrow):
+        return out.select(*df.columns, *sums)
+    return df.join(out.select(*keys, *sums), keys).select(*df.columns, *sums)
+
+
+def _ranged(
+    rows: DataFrame,
+    keys: list[str],
+    group: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, str],
+    parts: int,
+) -> DataFrame:
     if parts == 1:
         return rows.withColumns({n: _ahead(m, group, order) for n, m in sums.items()})
 
@@ -84,7 +101,7 @@ def running_totals(
     out = running.join(F.broadcast(starts), list(group), "left").withColumns(
         {n: F.col(n) - F.coalesce(f"_start_{n}", f"_base_{n}") for n in sums}
     )
-    return out.select(*df.columns, *sums)
+    return out
 
 
 def lookup(
