@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maskflow.functions import patterns as P
 
 _MARK = "\x01"
-_SPAN = "struct<entity_type:string,start:int,end:int,value:string,pos:int>"
+_SPANS = "array<struct<entity_type:string,start:int,end:int,value:string,pos:int>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,34 +80,36 @@ def detect(text: Column, entities: Sequence[str] | None = None) -> Column:
     """Hits of ``text`` as an array of (entity_type, start, end, value, pos).
 
     ``start`` and ``end`` are half-open 0-based character offsets; ``pos``
-    counts the hits from 0. Offsets come from one fold over the pieces.
+    counts the hits from 0. The offsets come from one fold over the pieces.
     """
 
     def spans(both: Column) -> Column:
-        hits = F.zip_with(
+        sizes = F.zip_with(
             F.slice(both["gaps"], 1, F.size(both["values"])),
             both["values"],
-            lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
+            lambda gap, value: F.length(gap) + F.length(value),
         )
 
-        def step(acc: Column, hit: Column) -> Column:
-            start = acc["at"] + F.length(hit["gap"])
-            end = start + F.length(hit["value"])
-            span = F.struct(
-                entity_of(hit["value"], entities).alias("entity_type"),
-                start.alias("start"),
-                end.alias("end"),
-                hit["value"].alias("value"),
-                F.size(acc["out"]).alias("pos"),
-            )
-            return F.struct(
-                end.alias("at"), F.concat(acc["out"], F.array(span)).cast(f"array<{_SPAN}>").alias("out")
+        def step(acc: Column, size: Column) -> Column:
+            end = acc["at"] + size
+            return F.struct(end.alias("at"), F.concat(acc["ends"], F.array(end)).alias("ends"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+        def placed(ends: Column) -> Column:
+            return F.transform(
+                both["values"],
+                lambda value, i: F.struct(
+                    entity_of(value, entities).alias("entity_type"),
+                    (F.get(ends, i) - F.length(value)).alias("start"),
+                    F.get(ends, i).alias("end"),
+                    value.alias("value"),
+                    i.alias("pos"),
+                ),
             )
 
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-        return F.aggregate(hits, empty, step, lambda acc: acc["out"])
+        return let(F.aggregate(sizes, zero, step, lambda acc: acc["ends"]), placed).cast(_SPANS)
 
     values = hit_values(text, entities)
     both = F.struct(values.alias("values"), gaps(text, entities).alias("gaps"))
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(has_pii(text, entities), let(both, spans)).otherwise(none)
+    return F.when(has_pii(text, entities), let(both, spans)).otherwise(F.array().cast(_SPANS))

@@ -21,17 +21,15 @@ def register(spark: SparkSession) -> list[str]:
     kind = f"CASE{kind} ELSE '{P.RULES[-1].name}' END"
     found = f"IF(rlike(t, r'{hint}'), regexp_extract_all(t, r'{pattern}', 0), array())"
     span = "ARRAY<STRUCT<entity_type: STRING, start: INT, end: INT, value: STRING, pos: INT>>"
-    fold = f"""
+    ends = """
         aggregate(
-            zip_with(slice(s.g, 1, size(s.v)), s.v, (g, v) -> struct(g AS g, v AS v)),
-            struct(0 AS at, CAST(array() AS {span}) AS spans),
-            (a, x) -> struct(
-                a.at + length(x.g) + length(x.v) AS at,
-                CAST(concat(a.spans, CAST(array(struct(
-                    element_at(transform(array(x.v), v -> {kind}), 1),
-                    a.at + length(x.g), a.at + length(x.g) + length(x.v),
-                    x.v, size(a.spans))) AS {span})) AS {span}) AS spans),
-            a -> a.spans)"""
+            zip_with(slice(s.g, 1, size(s.v)), s.v, (g, v) -> length(g) + length(v)),
+            struct(0 AS at, CAST(array() AS ARRAY<INT>) AS ends),
+            (a, x) -> struct(a.at + x AS at, concat(a.ends, array(a.at + x)) AS ends),
+            a -> a.ends)"""
+    placed = f"""
+        element_at(transform(array({ends}), e -> transform(s.v, (v, i) -> struct(
+            {kind}, get(e, i) - length(v), get(e, i), v, i))), 1)"""
     ranked = " , ".join(
         f"""transform(reverse(filter(s.h, x -> x.entity_type = '{e}')),
                 (x, p) -> struct(x.pos AS i, format_string('{e}_%04d', p + 1) AS ph))"""
@@ -43,7 +41,7 @@ def register(spark: SparkSession) -> list[str]:
         ),
         f"detect(t STRING) RETURNS {span}": (
             f"element_at(transform(array(struct({found} AS v, split(t, r'{pattern}', -1) AS g)),"
-            f" s -> {fold}), 1)"
+            f" s -> CAST({placed} AS {span})), 1)"
         ),
         "redact(t STRING) RETURNS STRING": f"""
             element_at(transform(array(struct(detect(t) AS h, split(t, r'{pattern}', -1) AS g)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="maskflow-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
 
@@ -22,9 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="maskflow-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return _local_dir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -170,14 +170,21 @@ def _events(keep_final: bool, timeout_ms: int | None):
         yield from drain(s)
 
     def numbered(num: int, s: dict, events: Iterable[tuple]) -> pd.DataFrame | None:
-        rows = []
-        for kind, seq, content, payload in events:
-            rows.append((num, s["events"], kind, seq, content, payload))
-            s["events"] += 1
+        rows = list(events)
         if not rows:
             return None
-        names = ["request_num", "event_seq", "type", "chunk_seq", "content", "payload"]
-        return pd.DataFrame(rows, columns=names).astype({"chunk_seq": "Int64"})
+        kinds, seqs, contents, payloads = zip(*rows)
+        first, s["events"] = s["events"], s["events"] + len(rows)
+        return pd.DataFrame(
+            {
+                "request_num": num,
+                "event_seq": range(first, s["events"]),
+                "type": kinds,
+                "chunk_seq": pd.array(seqs, dtype="Int64"),
+                "content": contents,
+                "payload": payloads,
+            }
+        )
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState

@@ -22,6 +22,35 @@ def write_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def write_event_stream(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    vault_path: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Write events to ``path`` and, if asked, their mappings apart from them.
+
+    Both sinks get the same micro-batch, under its batch id, and a replayed
+    batch overwrites itself. Restored text is what events are for, so chunk and
+    final texts stay; prompts and mappings go to ``vault_path`` or nowhere.
+    """
+    apart = ("original_system", "original_user", "mappings")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.drop(*apart).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if vault_path:
+            rows = batch.filter("type = 'metadata'").select(
+                "request_num", F.posexplode("mappings").alias("ord", "placeholder", "original")
+            )
+            rows.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        batch.unpersist()
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def write_masked_session_stream(
     requests: DataFrame,
     path: str,

@@ -183,15 +183,15 @@ def test_sinks_keep_originals_out(spark, tmp_path):
     assert len(spark.read.parquet(str(tmp_path / "all")).columns) == 9
 
 
-def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+def test_shared_folder_is_required_on_a_cluster():
     from maskflow import session
 
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
-
-    class Cluster:
-        conf = Conf()
+    class Session:
+        def __init__(self, **settings):
+            self.conf = {k.replace("_", "."): v for k, v in settings.items()}
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_dir(Cluster())
+        session.shared_dir(Session(spark_master="yarn"))
+    assert session.shared_dir(Session(spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    local = session.shared_dir(Session(spark_master="local[2]"))
+    assert local == session.shared_dir(Session(spark_master="local[2]"))

@@ -91,6 +91,18 @@ def test_final_text_can_stay_out_of_the_state(spark, tmp_path):
     assert "".join(e.content or "" for e in by[1]) == "Contact us at john@example.com please"
 
 
+def test_two_sinks(spark, tmp_path):
+    folder, out, vault = (str(tmp_path / p) for p in ("in", "out", "vault"))
+    arrive(spark, folder, tagged_rows(LITERALS))
+    events = mf.restore_stream(spark.readStream.schema(E.TAGGED).parquet(folder))
+    W.write_event_stream(events, out, str(tmp_path / "cp"), vault).awaitTermination()
+    rows = spark.read.parquet(out)
+    assert not {"original_user", "mappings"} & set(rows.columns)
+    assert rows.filter("type = 'final'").count() == len(LITERALS)
+    kept = spark.read.parquet(vault).filter("request_num = 9").orderBy("ord").collect()
+    assert [(r.placeholder, r.original) for r in kept] == [("A_0001", "X"), ("B_0001", "Y"), ("C_0001", "Z")]
+
+
 def test_abandoned_request_times_out(spark, tmp_path):
     folder = str(tmp_path / "in")
     arrive(spark, folder, tagged_rows(LITERALS[1:2])[:-1])
