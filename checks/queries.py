@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -89,17 +88,18 @@ def document_chunks(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def with_workers(fn):
-    """Make the package known to Python workers, wherever the session runs."""
+    """Make the packages known to Python workers, wherever the session runs."""
 
     @functools.wraps(fn)
     def run(spark, sf):
         shipped = spark.conf.get("maskflow.shipped", "")
         if not shipped:
-            root = Path(mf.__file__).parent
+            root = Path(__file__).resolve().parent.parent
             path = Path(tempfile.mkdtemp(prefix="maskflow-zip-")) / "maskflow.zip"
             with zipfile.ZipFile(path, "w") as z:
-                for file in sorted(root.rglob("*.py")):
-                    z.write(file, os.path.join("maskflow", file.relative_to(root)))
+                for package in ("maskflow", "checks"):
+                    for file in sorted((root / package).rglob("*.py")):
+                        z.write(file, file.relative_to(root))
             spark.sparkContext.addPyFile(str(path))
             spark.conf.set("maskflow.shipped", str(path))
         return fn(spark, sf)

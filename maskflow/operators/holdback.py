@@ -72,9 +72,10 @@ def _plan(
         F.max("end").alias("total"), F.max(own).alias("last_block")
     )
     segments = F.expr(f"sequence(0L, last_block div {SEGMENT})")
+    values = F.array_join(F.map_values("mapping"), "\n")
     known = (
         ends.join(mappings.select("request_id", "mapping"), "request_id", "left")
-        .withColumn("_values", F.array_join(F.map_values("mapping"), "\n"))
+        .withColumn("_values", F.when(F.size("mapping") > SMALL_MAPPING, values))
         .withColumn("segment", F.explode(segments))
     )
     return blocks, known

@@ -120,7 +120,8 @@ def mask_fields(
     Fields are visited in the given order, each from its last hit to its
     first. ``scope='request'`` restarts the numbers in each row: a projection
     without any shuffle. ``scope='session'`` numbers over the whole table in
-    ``key`` order (unique, not null), going on from the ``start`` counters.
+    ``key`` order (unique, not null), going on from the ``start`` counters; it
+    reads ``df`` twice, the first time at once.
     Rows for which ``only`` does not hold (e.g. other languages) stay as they are.
     """
     names = _names(entities)

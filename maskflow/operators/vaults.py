@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.functions import patterns as P
+from maskflow.functions.restore import unredact_tokens
 from maskflow.operators.prefix import lookup
 
 
@@ -24,31 +25,21 @@ def unredact_with_vault(
 
     ``key`` is unique in ``answers``; ``scope`` names the columns that tie an
     answer to its vault rows (they may repeat, e.g. many answers to one
-    request). One row per placeholder-like token goes through the lookup, and
-    an answer is put together again from its own pieces only. Gives the
-    columns of ``answers`` plus ``restored``.
+    request). Each answer asks once for each placeholder in it and gets its own
+    small mapping back. Gives the columns of ``answers`` plus ``restored``.
     """
     pattern = P.token_pattern(entities)
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     asked = answers.filter(F.col(text).rlike(pattern)).select(
-        key, *[c for c in scope if c != key], F.posexplode(tokens).alias("_pos", "placeholder")
+        key, *[c for c in scope if c != key], F.explode(tokens).alias("placeholder")
     )
     known = vault.select(*scope, "placeholder", "original")
-    found = lookup(asked, known, [*scope, "placeholder"], [key, "_pos"], **spread)
-    values = found.groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("_pos", F.coalesce("original", "placeholder").alias("value"))
-            )
-        ).alias("_values")
+    found = lookup(asked, known, [*scope, "placeholder"], [key], **spread)
+    pairs = F.collect_list(F.struct("placeholder", "original"))
+    maps = (
+        found.filter(F.col("original").isNotNull())
+        .groupBy(key)
+        .agg(F.map_from_entries(pairs).alias("_known"))
     )
-    pieces = F.split(text, pattern, -1)
-    heads = F.zip_with(
-        F.slice(pieces, 1, F.size("_values")),
-        F.col("_values.value"),
-        lambda p, v: F.concat(p, v),
-    )
-    joined = F.concat(F.array_join(heads, ""), F.element_at(pieces, -1))
-    restored = F.when(F.col("_values").isNull(), F.col(text)).otherwise(joined)
-    out = answers.join(values, key, "left").withColumn("restored", restored)
-    return out.drop("_values")
+    restored = unredact_tokens(F.col(text), F.col("_known"), entities)
+    return answers.join(maps, key, "left").withColumn("restored", restored).drop("_known")
