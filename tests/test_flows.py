@@ -195,3 +195,17 @@ def test_shared_folder_is_required_on_a_cluster():
     assert session.shared_dir(Session(spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
     local = session.shared_dir(Session(spark_master="local[2]"))
     assert local == session.shared_dir(Session(spark_master="local[2]"))
+
+
+def test_nothing_to_do(spark, tmp_path):
+    path = write(tmp_path / "e.csv", "system_prompt,prompt\n")
+    results = mf.process_csv(spark, path, echo)
+    assert results.count() == 0
+    assert tuple(mf.summarize(results).first()) == (0, 0, 0)
+    clean = requests(spark).filter("request_num = 3")
+    for parts in (None, 3):
+        row = mf.mask_requests(clean, "session", parts=parts).first()
+        assert (row.redacted_user, row.mappings) == ("Hello", {})
+    none = spark.createDataFrame([], "request_id long, seq long, content string")
+    maps = spark.createDataFrame([], "request_id long, mapping map<string,string>")
+    assert mf.release_chunks(none, maps).count() == mf.full_answers(none, maps).count() == 0
