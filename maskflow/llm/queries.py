@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.llm import mixing, quality
+from maskflow.llm import lattice, mixing, packing, quality, secrets, simhash
 from maskflow.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,36 @@ def op1_mix_sources(spark, sf):
     return plan.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
+@query
+def op2_secret_scan(spark, sf):
+    """Secrets of all documents, scanned blob by blob from an empty ledger."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found, _ = secrets.scan_history(docs, ["doc_id"], "text")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op3_embedding_neardup(spark, sf):
+    """Near-duplicate classes of all embeddings, cosine 0.9 or more."""
+    return lattice.near_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+@query
+def op6_simhash_neardup(spark, sf):
+    """SimHash classes of all documents: 4-word shingles, 4 bits."""
+    found = simhash.components(table(spark, sf, "documents"), "doc_id", "text", width=4, max_distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_quality_rules(spark, sf):
     """All measures of all documents, and the verdict of the cascade."""
@@ -48,3 +78,20 @@ def op7_quality_rules(spark, sf):
         failed.alias("base_failed"),
         F.isnull("rejected_by").alias("kept"),
     )
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing query; ``MASKFLOW_TOKENIZER`` names another."""
+    import os
+
+    if "MASKFLOW_TOKENIZER" in os.environ:
+        return os.environ["MASKFLOW_TOKENIZER"]
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op10_pack_sequences(spark, sf):
+    """All documents packed into sequences of at most 2,048 tokens."""
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path(), "doc_id", "text", tokens=2048)
