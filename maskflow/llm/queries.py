@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.llm import lattice, mixing, packing, quality, secrets, simhash
+from maskflow.llm import html, lattice, licenses, lines, masked_lm, mixing, packing, quality, secrets, simhash
 from maskflow.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,27 @@ def op3_embedding_neardup(spark, sf):
     return lattice.near_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9)
 
 
+@query
+def op4_line_dedup(spark, sf):
+    """Which lines of each document an earlier line, of any document, makes redundant."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    gone = lines.removed_lines(docs, "doc_id", "text", threshold=2, min_chars=40)
+    n = F.when(F.isnull("text"), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    here = docs.select("doc_id", F.xxhash64("text").alias("_hash"), n.alias("n_lines"))
+    gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), "removed")
+    met = here.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text_hash")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return met.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
+
+@query
+def op5_license_scan(spark, sf):
+    """License templates in all documents: name:start:end:coverage, comma-joined."""
+    found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    each = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), m["coverage"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(each, ",").alias("licenses"))
+
+
 @query
 def op6_simhash_neardup(spark, sf):
     """SimHash classes of all documents: 4-word shingles, 4 bits."""
@@ -80,6 +101,22 @@ def op7_quality_rules(spark, sf):
     )
 
 
+@query
+def op8_html_extraction(spark, sf):
+    """The main text of all pages."""
+    found = html.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    text = F.col("main_text")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+@query
+def op9_lm_scores(spark, sf):
+    """Pseudo-likelihood of all documents under a network trained on all of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    common, weights = masked_lm.train(docs)
+    return masked_lm.score(docs, common, weights).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+
+
 def tokenizer_path() -> str:
     """The tokenizer file of the packing query; ``MASKFLOW_TOKENIZER`` names another."""
     import os
