@@ -33,8 +33,8 @@ from maskflow.llm.common import connected, forest, groups_of, in_blocks, write_t
 
 #: Fingerprints from which the trees are fitted.
 SAMPLE = 16384
-#: Home fingerprints that a shard should have, and rows that a block may have.
-SHARD, BLOCK = 1024, 4096
+#: Home fingerprints that a shard should have, and rows, visitors included, that a block may have.
+SHARD, BLOCK = 2048, 16384
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -178,13 +178,13 @@ def near_edges(prints: DataFrame, column: str = "fingerprint", max_distance: int
             left = np.flatnonzero(part == lo)
             right = left if lo == hi else np.flatnonzero(part == hi)
             bits, pairs = values.view(np.uint64), []
-            for i in range(0, len(left), 256):
-                some = left[i : i + 256]
-                near = np.bitwise_count(bits[some][:, None] ^ bits[right][None, :]) <= max_distance
-                near &= home[some][:, None] | home[right][None, :]
-                x, y = np.nonzero(near)
-                x, y = some[x], right[y]
-                pairs.append((x[x != y], y[x != y]))
+            # Visitors meet each other elsewhere: homes of either block against the other's rows.
+            for own, others in ((left[home[left]], right), (right[home[right]], left[~home[left]])):
+                for i in range(0, len(own), 256):
+                    some = own[i : i + 256]
+                    x, y = np.nonzero(np.bitwise_count(bits[some][:, None] ^ bits[others][None, :]) <= max_distance)
+                    x, y = some[x], others[y]
+                    pairs.append((x[x != y], y[x != y]))
             a, b = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else ([], [])
             if len(a):
                 links = np.array(forest(len(values), a, b))
