@@ -33,8 +33,8 @@ from maskflow.llm.common import write_table
 
 #: Pieces that one task packs, on average.
 GROUP = 16384
-#: Words whose ids a worker remembers; more are forgotten, not refused.
-REMEMBER = 200_000
+#: Words of one of the two generations whose ids a worker remembers (about 100 MB each).
+REMEMBER = 500_000
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -49,7 +49,7 @@ def _worker_memory(path: str) -> types.ModuleType:
         from tokenizers import Tokenizer
 
         memory = types.ModuleType(name)
-        memory.tokenizer, memory.words = Tokenizer.from_file(path), {}
+        memory.tokenizer, memory.words, memory.older = Tokenizer.from_file(path), {}, {}
         sys.modules[name] = memory
     return sys.modules[name]
 
@@ -63,18 +63,17 @@ def token_bytes(texts: Sequence[str | None], path: str) -> list[bytes]:
     """
     memory = _worker_memory(path)
     split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    out = []
-    for words in split:
-        known = memory.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            found = memory.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            known.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(new, found, strict=True))
-        out.append(b"".join([known[w] for w in words]))
-    return out
+    if len(memory.words) > REMEMBER:
+        # Words not met in this generation are forgotten with the next one.
+        memory.words, memory.older = {}, memory.words
+    known, older = memory.words, memory.older
+    new = set().union(*split).difference(known)
+    known.update((w, older[w]) for w in new.intersection(older))
+    new = sorted(new.difference(known))
+    if new:
+        found = memory.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
+        known.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(new, found, strict=True))
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, tokens: int = 2048, end_id: int = 0) -> DataFrame:
