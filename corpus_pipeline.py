@@ -38,7 +38,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line equals or nearly equals."""
-    return _sized(lines.dedup_lines(docs, "doc_id", "text", threshold=2, min_chars=40).select(*docs.columns))
+    clean = lines.dedup_lines(docs, "doc_id", "text", threshold=2, min_chars=40)
+    return _sized(clean if "removed" in docs.columns else clean.drop("removed"))
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
-    return mixing.mix(docs, "doc_id", "source", word_count(F.col("text"))).select(*docs.columns)
+    mixed = mixing.mix(docs, "doc_id", "source", word_count(F.col("text")))
+    return mixed if "position" in docs.columns else mixed.drop("position")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

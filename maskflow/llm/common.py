@@ -30,6 +30,17 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marked, SPACE_CHARS, "")).cast("long")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` into the shared folder; the table read back, and its path.
 

@@ -6,7 +6,9 @@ into ``threshold + 1`` segments: within ``threshold`` edits of another line,
 one segment stays whole and moves little (pigeonhole), so an index of (length,
 segment number, segment text) is probed, for each length up to ``threshold``
 below a line's own, with the few substrings whose places the edits before and
-after allow. Candidates are verified on the lines' texts, common ends
+after allow. Lines that share one are candidates if their counts of some common
+letters allow the threshold, too: an edit adds and takes away one letter at
+most. Candidates are verified on the lines' texts, common ends
 stripped, by a banded edit distance whose band is one machine word: bit d of
 word e is set if the diagonal d can be reached with e edits.
 
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.functions.detect import let
-from maskflow.llm.common import write_table
+from maskflow.llm.common import unused, write_table
 
 #: A line with more than one in HEAVY of all lines is heavy.
 HEAVY = 10_000
+#: Letters whose counts are compared; any choice gives the same result.
+LETTERS = "etaoinsr"
 
 
 def _normal(line: Column) -> Column:
@@ -53,6 +57,20 @@ def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return out.withColumn("hash", F.xxhash64("body"))
 
 
+def _letter_counts(body: Column) -> Column:
+    """The counts of ``LETTERS``, up to 255 each, as the bytes of a number."""
+    counts = [F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit(""))) for c in LETTERS]
+    return functools.reduce(Column.bitwiseOR, [F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k) for k, n in enumerate(counts)])
+
+
+def _counts_allow(a: Column, b: Column, threshold: int) -> Column:
+    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
+    more = [part(a, k) - part(b, k) for k in range(len(LETTERS))]
+    added = functools.reduce(Column.__add__, [F.greatest(d, F.lit(0)) for d in more])
+    taken = functools.reduce(Column.__add__, [F.greatest(-d, F.lit(0)) for d in more])
+    return (added <= threshold) & (taken <= threshold)
+
+
 def _segment(chars: Column, i: int, parts: int) -> tuple[Column, Column]:
     """(start, length) of segment ``i`` of a line, from 1; the last ones take the rest."""
     base, rest = F.floor(chars / parts).cast("int"), F.pmod(chars, F.lit(parts)).cast("int")
@@ -85,18 +103,18 @@ def _keys(body: Column, chars: Column, threshold: int, places: list[tuple[int, i
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) hashes of lines, a <> b, that share a segment where the threshold allows it."""
+    """(a, b) hashes of lines, a < b, that share a segment where, and letters as, the threshold allows."""
     parts = threshold + 1
     index = [(0, i, 0) for i in range(1, parts + 1)]
 
-    def entries(places):
+    def entries(places, name):
         key = F.explode(_keys(F.col("body"), F.col("chars"), threshold, places)).alias("key")
+        rows = lines.select(key, "hash", _letter_counts(F.col("body")).alias("counts")).repartition("key")
         # Dealt by key alone, so that dropping repeats and the join need no further exchange.
-        return lines.select(key, "hash").repartition("key").groupBy("key", "hash").agg(F.lit(1).alias("one")).drop("one")
+        return rows.groupBy("key", "hash").agg(F.max("counts").alias(f"n{name}")).withColumnRenamed("hash", name)
 
-    left = entries(index).withColumnRenamed("hash", "a")
-    right = entries(index + probes(threshold)).withColumnRenamed("hash", "b")
-    pairs = left.join(right, "key").filter("a <> b")
+    left, right = entries(index, "a"), entries(index + probes(threshold), "b")
+    pairs = left.join(right, "key").filter((F.col("a") != F.col("b")) & _counts_allow(F.col("na"), F.col("nb"), threshold))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -218,16 +236,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The texts are exchanged once, to meet the narrow list of their lines.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold, min_chars).select(
-        F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed")
+    doc, its_hash, here, gone = unused(docs, "_doc", "_hash", "_here", "_gone")
+    found = removed_lines(docs, id_col, text_col, threshold, min_chars).select(
+        F.col("doc").alias(doc), F.col("text_hash").alias(its_hash), F.col("removed").alias(gone)
     )
-    here = docs.withColumn("_here", F.xxhash64(text_col))
-    met = here.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_here") == F.col("_hash")), "left")
+    rows = docs.withColumn(here, F.xxhash64(text_col))
+    met = rows.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(here) == F.col(its_hash)), "left")
 
     def kept(lines: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.isnull("_removed"), F.col(text_col)).otherwise(let(F.split(text_col, "\n", -1), kept))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias("removed"))
+    text = F.when(F.isnull(gone), F.col(text_col)).otherwise(let(F.split(text_col, "\n", -1), kept))
+    removed = F.coalesce(gone, F.array().cast("array<int>"))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed"]
+    return met.select(*columns, removed.alias("removed"))

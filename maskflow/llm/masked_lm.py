@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.llm.common import write_table
+from maskflow.llm.common import unused, write_table
 
 #: Neighbours by place.
 PLACES = (-2, -1, 1, 2)
@@ -219,5 +219,7 @@ def score(docs: DataFrame, common: list[bytes], flat: np.ndarray, text_col: str
                 sums += [float(total[e] - total[e - len(x)]) for e, x in zip(ends, ids, strict=True)]
             yield pd.DataFrame({"n_words": np.array(sizes, dtype=np.int64), "log_prob": np.array(sums, dtype=np.float64)})
 
-    out = docs.withColumn("_s", scored(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_s.*")
+    (found,) = unused(docs, "_found")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "log_prob", "mean_log_prob")]
+    out = docs.withColumn(found, scored(F.col(text_col))).select(*own, f"{found}.*")
     return out.withColumn("mean_log_prob", F.try_divide("log_prob", F.col("n_words").cast("double")))

@@ -145,7 +145,7 @@ def plan_mix(
 def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, **how) -> DataFrame:
     """The documents in training order: one row per copy, with ``position``, range-sorted by it.
 
-    All columns of ``docs`` stay (``position`` is added). The texts are joined
+    All columns of ``docs`` stay (``position`` is added, or replaced). The texts are joined
     to the narrow plan by id and source; ids that repeat are told apart by
     their size, and equal ones are interchangeable.
     """
@@ -165,5 +165,6 @@ def mix(docs: DataFrame, id_col: str, source_col: str, size: Column, **how) -> D
     nth = F.row_number().over(Window.partitionBy(*same, F.isnull("_due")).orderBy("_order"))
     met = given.union(due).withColumn("_nth", nth)
     met = met.withColumn("_at", F.max("_due").over(Window.partitionBy(*same, "_nth")))
-    rows = met.filter(F.isnull("_due") & F.isnotnull("_at")).select("_row.*", F.explode("_at").alias("position"))
-    return rows.orderBy("position")
+    rows = met.filter(F.isnull("_due") & F.isnotnull("_at")).select("_row", F.explode("_at").alias("_due"))
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns if c != "position"]
+    return rows.orderBy("_due").select(*columns, F.col("_due").alias("position"))

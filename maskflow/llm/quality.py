@@ -125,8 +125,8 @@ def _condition(rule: Rule, text: Column, ready: Sequence[str]) -> Column:
 
 
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All measures as columns, each made once per row."""
-    return compute_once(docs, {name: make(F.col(text_col)) for name, make in MEASURES.items()})
+    """All measures as columns (in place of such columns), each made once per row."""
+    return compute_once(docs.drop(*MEASURES), {name: make(F.col(text_col)) for name, make in MEASURES.items()})
 
 
 def estimate(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[tuple[str, float, float]]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskflow.llm.common import connected, forest, groups_of, in_blocks, write_table
+from maskflow.llm.common import connected, forest, groups_of, in_blocks, unused, write_table
 
 #: Fingerprints from which the trees are fitted.
 SAMPLE = 16384
@@ -225,9 +225,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     texts are exchanged once. Of rows equal in both, one stays.
     """
     found = components(docs, id_col, text_col, width, max_distance)
-    stays = found.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
-    here = docs.withColumn("_here", F.xxhash64(text_col))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_hash"))
-    rows = here.join(stays.hint("shuffle_hash"), match, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_here").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    first, its_hash, here, nth = unused(docs, "_first", "_hash", "_here", "_nth")
+    stays = found.select(F.col("first.doc_id").alias(first), F.col("first.text_hash").alias(its_hash)).distinct()
+    rows = docs.withColumn(here, F.xxhash64(text_col))
+    match = F.col(id_col).eqNullSafe(F.col(first)) & (F.col(here) == F.col(its_hash))
+    rows = rows.join(stays.hint("shuffle_hash"), match, "left_semi")
+    number = F.row_number().over(Window.partitionBy(id_col, here).orderBy(F.lit(0)))
+    return rows.withColumn(nth, number).filter(F.col(nth) == 1).select(*docs.columns)
