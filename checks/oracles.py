@@ -235,6 +235,9 @@ ORACLES: dict[str, str] = {
         error IS NULL AS is_success FROM results""",
     "unredact": f"""{_masked()} SELECT request_num, original_user || ' & ' || original_system || ' & '
         || original_user AS restored FROM masked""",
+    "unredact_layout": f"""{_masked()} SELECT request_num, 'Dear' || chr(10) || chr(10) || '    ' || original_user
+        || chr(10) || chr(9) || original_system || chr(10) || '  ' || chr(10) AS restored FROM masked""",
+    "number_repeated": """SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS request_num FROM orders""",
     "unredact_passthrough": f"""WITH {RAW} SELECT request_num, system_prompt AS kept_null,
         prompt AS kept_text, '' AS kept_empty FROM raw""",
     "unredact_unknown": f"""{_masked('request')} SELECT request_num,
@@ -253,8 +256,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT request_id, NULL, content FROM rest WHERE content <> ''""",
     "holdback_nomap": f"""{DOCS}, p AS (SELECT id, regexp_extract_all(redacted, '{X.CHUNK_LONG}') AS p FROM red)
         SELECT id AS request_id, i - 1 AS seq, p[i] AS content FROM p, unnest(range(1, len(p) + 1)) AS u(i)""",
-    "stream_final": f"""{DOCS} SELECT id AS request_id, CAST(0 AS BIGINT) AS part,
-        redacted AS llm_response_redacted, text AS final_response FROM red WHERE text <> ''""",
+    "stream_final": f"""{DOCS} SELECT id AS request_id,
+        redacted AS llm_response_redacted, text AS final_response FROM red""",
     "stream_error": f"""{STREAM}, said AS (SELECT * FROM rel
             WHERE content <> '' AND seq < {X.BROKEN_AT} AND request_id % 5 = 0),
         ev AS (SELECT request_id, -1 AS seq, 'metadata' AS type, NULL AS content, NULL AS error FROM answer

@@ -159,9 +159,26 @@ def number_requests(spark, sf):
     return mf.number_requests(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query
+def number_repeated(spark, sf):
+    """Keys that repeat get consecutive numbers."""
+    keys = table(spark, sf, "orders").selectExpr("o_custkey")
+    return mf.number_requests(keys, "o_custkey")
+
+
+@query
+def unredact_layout(spark, sf):
+    """Line breaks and indentation around placeholders stay as they are."""
+    masked = mf.mask_requests(requests(spark, sf), "session")
+    letter = F.concat(F.lit("Dear\n\n    "), "redacted_user", F.lit("\n\t"), "redacted_system", F.lit("\n  \n"))
+    return masked.select("request_num", R.unredact(letter, F.col("mappings")).alias("restored"))
+
+
 @query
 def stream_requests(spark, sf):
-    path = write_csv(raw_requests(spark, sf))
+    """Columns are found by name: the files have others, and another order."""
+    raw = raw_requests(spark, sf).withColumn("extra", F.lit("x"))
+    path = write_csv(raw.select("prompt", "extra", "request_num", "system_prompt"))
     masked = E.mask_stream(mf.read_requests_stream(spark, path))
     return drained(masked.select("request_num", "redacted_system", "redacted_user"))
 

@@ -20,6 +20,8 @@ def register(spark: SparkSession) -> list[str]:
     )
     kind = f"CASE{kind} ELSE '{P.RULES[-1].name}' END"
     found = f"IF(rlike(t, r'{hint}'), regexp_extract_all(t, r'{pattern}', 0), array())"
+    # split compiles its pattern for each row, so clean texts are spared it.
+    pieces = f"IF(rlike(t, r'{hint}'), split(t, r'{pattern}', -1), array(t))"
     span = "ARRAY<STRUCT<entity_type: STRING, start: INT, end: INT, value: STRING, pos: INT>>"
     ends = """
         aggregate(
@@ -40,11 +42,11 @@ def register(spark: SparkSession) -> list[str]:
             f"coalesce(rlike(t, r'{hint}') AND rlike(t, r'{pattern}'), false)"
         ),
         f"detect(t STRING) RETURNS {span}": (
-            f"element_at(transform(array(struct({found} AS v, split(t, r'{pattern}', -1) AS g)),"
+            f"element_at(transform(array(struct({found} AS v, {pieces} AS g)),"
             f" s -> CAST({placed} AS {span})), 1)"
         ),
         "redact(t STRING) RETURNS STRING": f"""
-            element_at(transform(array(struct(detect(t) AS h, split(t, r'{pattern}', -1) AS g)),
+            element_at(transform(array(struct(detect(t) AS h, {pieces} AS g)),
               s -> IF(coalesce(size(s.h), 0) < 1, t,
                 concat(array_join(zip_with(
                     slice(s.g, 1, size(s.h)), sort_array(concat({ranked})),

@@ -19,10 +19,8 @@ from maskflow.operators.completion import nonempty_chunks
 from maskflow.operators.prefix import running_totals
 
 BLOCK = 4096
-# Blocks per segment: the unit in which whole answers are put together.
+# Blocks per segment: a request's mapping is repeated once per segment.
 SEGMENT = 256
-# A mapping of this size is used as it is.
-SMALL_MAPPING = 64
 
 
 def _plan(
@@ -62,8 +60,10 @@ def _plan(
         is_own.alias("own"),
         F.right(F.col("content"), kept.cast("int")).alias("content"),
     )
+    # Totals are made per request; without a new exchange so would the blocks be.
     blocks = (
-        spread.groupBy("request_id", "block")
+        spread.repartition("request_id", "block")
+        .groupBy("request_id", "block")
         .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
         .filter(F.exists("pieces", lambda p: p["own"]))
         .withColumn("segment", F.expr(f"block div {SEGMENT}"))
@@ -72,10 +72,8 @@ def _plan(
         F.max("end").alias("total"), F.max(own).alias("last_block")
     )
     segments = F.expr(f"sequence(0L, last_block div {SEGMENT})")
-    values = F.array_join(F.map_values("mapping"), "\n")
     known = (
         ends.join(mappings.select("request_id", "mapping"), "request_id", "left")
-        .withColumn("_values", F.when(F.size("mapping") > SMALL_MAPPING, values))
         .withColumn("segment", F.explode(segments))
     )
     return blocks, known
@@ -89,7 +87,6 @@ def _texts(blocks: DataFrame, known: DataFrame) -> DataFrame:
         "segment",
         "total",
         "mapping",
-        "_values",
         (F.col("block") == F.col("last_block")).alias("is_last"),
         F.element_at("pieces", 1)["start"].alias("base"),
         F.filter("pieces", lambda p: p["own"]).alias("pieces"),
@@ -97,17 +94,7 @@ def _texts(blocks: DataFrame, known: DataFrame) -> DataFrame:
         text.alias("text"),
     )
     here = F.filter(F.map_keys("mapping"), lambda k: F.contains(F.col("text"), k))
-    # A long mapping shrinks to what the block, or a value put into it, can use.
-    few = F.map_filter(
-        "mapping",
-        lambda k, _: F.contains(F.col("text"), k) | F.contains(F.col("_values"), k),
-    )
-    return joined.withColumns(
-        {
-            "keys": F.coalesce(here, F.array().cast("array<string>")),
-            "mapping": F.when(F.size("mapping") > SMALL_MAPPING, few).otherwise(F.col("mapping")),
-        }
-    )
+    return joined.withColumn("keys", F.coalesce(here, F.array().cast("array<string>")))
 
 
 def _released(texts: DataFrame, restored: bool) -> DataFrame:
@@ -169,26 +156,26 @@ def full_answers(
 ) -> DataFrame:
     """The whole answer of each request, as received and restored.
 
-    Gives request_id, part, llm_response_redacted, final_response. An answer
-    below ``BLOCK * SEGMENT`` characters is one part (0); a longer one has a
-    row per part, cut where no placeholder is split, so that no task has to
-    hold an answer of any length.
+    Gives request_id, llm_response_redacted, final_response: one row per
+    request that has a mapping or a chunk, of whatever length; a request
+    without text has ''.
     """
     blocks, known = _plan(chunks, mappings, parts)
     # The rest has no seq and comes last.
     piece = F.struct(F.col("seq").isNull().alias("rest"), "seq", "text")
     whole = (
         _released(_texts(blocks, known), restored=False)
-        .groupBy("request_id", "segment")
+        .groupBy("request_id")
         .agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-        .select("request_id", "segment", F.array_join("_pieces.text", "").alias("raw"))
+        .select("request_id", F.array_join("_pieces.text", "").alias("raw"))
     )
-    mapped = known.select("request_id", "segment", "mapping")
-    return whole.join(mapped, ["request_id", "segment"]).select(
+    asked = chunks.select("request_id").distinct()
+    asked = asked.join(mappings.select("request_id", "mapping"), "request_id", "full")
+    raw = F.coalesce("raw", F.lit(""))
+    return asked.join(whole, "request_id", "left").select(
         "request_id",
-        F.col("segment").alias("part"),
-        F.col("raw").alias("llm_response_redacted"),
-        unredact(F.col("raw"), F.col("mapping")).alias("final_response"),
+        raw.alias("llm_response_redacted"),
+        unredact(raw, F.col("mapping")).alias("final_response"),
     )
 
 

@@ -52,6 +52,12 @@ def running_totals(
 
     narrow = list(dict.fromkeys([*keys, *sums.values()]))
     rows = materialize(df.select(*narrow), "totals")
+    # Repeated or null keys would multiply or lose rows in the join below.
+    lost = F.col("_n") > 1
+    for k in keys:
+        lost = lost | F.col(k).isNull()
+    if rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(lost).limit(1).count():
+        raise ValueError(f"{keys} must be unique and not null")
     if parts is None:
         parts = max(1, min(MAX_PARTS, math.ceil(rows.count() / ROWS_PER_PART)))
     out = _ranged(rows, keys, group, order, sums, parts)
@@ -116,12 +122,10 @@ def lookup(
     A key that n > ``hot_rows`` rows ask for is salted: its rows go to
     n / hot_rows tasks by a hash of ``spread``, and its table row is repeated
     for each. Both the hot keys and the repeated rows number at most
-    rows / hot_rows, so the list of hot keys is small enough to broadcast.
+    rows / hot_rows; whether the list of hot keys is broadcast is left to its size.
     """
     salts = F.ceil(F.count(F.lit(1)) / hot_rows).cast("int")
-    hot = F.broadcast(
-        rows.groupBy(*keys).agg(salts.alias("_salts")).filter(F.col("_salts") > 1)
-    )
+    hot = rows.groupBy(*keys).agg(salts.alias("_salts")).filter(F.col("_salts") > 1)
     salt = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
     left = rows.join(hot, list(keys), "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)

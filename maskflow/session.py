@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if path:
         return path.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     return _local_dir()
 

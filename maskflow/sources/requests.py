@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +85,43 @@ def read_requests(
 
 
 def number_requests(df: DataFrame, order_by: str, parts: int | None = None) -> DataFrame:
-    """Add ``request_num``, dense from 1 in the order of a unique key.
+    """Add ``request_num``, dense from 1 in the order of a key.
 
-    Only the keys are sorted and counted; the rows get their number by a join.
+    Rows with the same key get consecutive numbers, in any order; a null key is
+    an error. Only the keys are sorted and counted; the rows get their number
+    by a join.
     """
-    keys = df.select(order_by, F.lit(1).cast("long").alias("_one"))
-    numbers = running_totals(keys, [order_by], {"_before": "_one"}, parts=parts)
-    numbers = numbers.select(order_by, (F.col("_before") + 1).alias("request_num"))
-    return df.join(numbers, order_by)
+    counts = df.groupBy(order_by).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts.filter(F.col(order_by).isNull()).limit(1).count():
+        raise ValueError(f"'{order_by}' is null in some rows; they have no place in the order")
+    before = running_totals(counts, [order_by], {"_before": "_rows"}, parts=parts)
+    # Dealt by key for the join already, so the window needs no further exchange.
+    nth = F.row_number().over(Window.partitionBy(order_by).orderBy(F.lit(1)))
+    placed = df.join(before.drop("_rows"), order_by)
+    return placed.withColumn("request_num", F.col("_before") + nth).drop("_before")
 
 
 def read_requests_stream(
-    spark: SparkSession, path: str, columns: Sequence[str] = ("request_num", *REQUIRED)
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Stream of request CSV files that arrive in a folder.
 
-    The header names must be given beforehand: a stream has no first look. The
-    requests carry their own number.
+    ``columns``: the header of the files. By default it is read from the files
+    that are there already, else request_num and the two prompts are expected.
+    Columns are found by name, in any order and among others; a file with
+    another header stops the stream, and so does a request without a number.
     """
+    if columns is None:
+        try:
+            columns = spark.read.options(**_csv_options(True)).csv(path).columns
+        except AnalysisException:
+            columns = ["request_num", *REQUIRED]
+    wanted = ("request_num", *REQUIRED)
+    if not set(wanted) <= set(columns):
+        raise ValueError(f"requests must contain {wanted} columns. Found: {list(columns)}")
     schema = ", ".join(f"`{c}` {'long' if c == 'request_num' else 'string'}" for c in columns)
-    raw = spark.readStream.schema(schema).options(**_csv_options(True)).csv(path)
-    return project_requests(raw)
+    options = {**_csv_options(True), "enforceSchema": "false"}
+    raw = spark.readStream.schema(schema).options(**options).csv(path)
+    number = F.col("request_num")
+    lost = F.raise_error(F.lit("a request has no number in request_num")).cast("long")
+    return project_requests(raw.withColumn("request_num", F.when(number.isNull(), lost).otherwise(number)))

@@ -197,6 +197,13 @@ def _events(keep_final: bool, timeout_ms: int | None):
                 "open": None, "hold": 0, "next": 0, "early": {}, "buffer": "",
                 "full": [], "events": 0, "done": False,
             }
+        if s.get("closed"):
+            # Repeats after the end of a request give nothing.
+            if state.hasTimedOut:
+                state.remove()
+            elif timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+            return
         if state.hasTimedOut:
             state.remove()
             if s["open"] is not None:
@@ -218,8 +225,10 @@ def _events(keep_final: bool, timeout_ms: int | None):
             if out is not None:
                 yield out
         if s["done"]:
-            if state.exists:
-                state.remove()
+            s = {"closed": True}
+            state.update((json.dumps(s),))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
             return
         if keep_final:
             s["full"] = ["".join(s["full"])]
@@ -240,6 +249,9 @@ def restore_stream(
     held back is dropped. ``keep_final=False`` keeps the whole answer out of
     the state; the final event then carries no text.
 
+    Of a request that has ended, a small mark stays, so that repeats of its
+    rows give no further event; it goes with ``timeout_ms``, else it stays.
+
     With ``timeout_ms`` an open request that gets no row for so long ends in an
     error event. Use it with triggers that go on: a run that stops when all
     input is read would wait for timeouts for ever.

@@ -39,13 +39,15 @@ def write_event_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        batch.drop(*apart).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if vault_path:
-            rows = batch.filter("type = 'metadata'").select(
-                "request_num", F.posexplode("mappings").alias("ord", "placeholder", "original")
-            )
-            rows.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            batch.drop(*apart).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            if vault_path:
+                rows = batch.filter("type = 'metadata'").select(
+                    "request_num", F.posexplode("mappings").alias("ord", "placeholder", "original")
+                )
+                rows.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
