@@ -66,7 +66,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack_sequences", pack_sequences),
 ]
 
-#: SQL has neither the fingerprints nor the tokenizer; tests hold the stages against plain Python.
+#: SQL has neither the fingerprints nor the tokenizer; the operators are tested one by one against plain Python.
 ORACLE_SQL = None
 
 
