@@ -6,9 +6,10 @@ into ``threshold + 1`` segments: within ``threshold`` edits of another line,
 one segment stays whole and moves little (pigeonhole), so an index of (length,
 segment number, segment text) is probed, for each length up to ``threshold``
 below a line's own, with the few substrings whose places the edits before and
-after allow. Lines that share one are candidates if their counts of some common
-letters allow the threshold, too: an edit adds and takes away one letter at
-most. Candidates are verified on the lines' texts, common ends
+after allow. Lines that share one are candidates if two sketches of them allow
+the threshold, too: an edit adds and takes away one letter at most, and breaks
+one of sixteen pieces at most, while the others move little. Sketches are made
+only of lines that share a segment. Candidates are verified on the lines' texts, common ends
 stripped, by a banded edit distance whose band is one machine word: bit d of
 word e is set if the diagonal d can be reached with e edits.
 
@@ -37,8 +38,9 @@ from maskflow.llm.common import unused, write_table
 
 #: A line with more than one in HEAVY of all lines is heavy.
 HEAVY = 10_000
-#: Letters whose counts are compared; any choice gives the same result.
-LETTERS = "etaoinsr"
+#: Letters whose counts are compared, and pieces of a line that are; any choice gives the same result.
+LETTERS = "etaoinsrhldcumfpgwybvkxjqz .,-01"
+PIECES = 16
 
 
 def _normal(line: Column) -> Column:
@@ -57,20 +59,59 @@ def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return out.withColumn("hash", F.xxhash64("body"))
 
 
+def _packed(numbers: list[Column]) -> Column:
+    """Numbers of 0..255 as the bytes of longs, eight in each."""
+    rows = [numbers[i : i + 8] for i in range(0, len(numbers), 8)]
+    return F.array(*[functools.reduce(Column.bitwiseOR, [F.shiftleft(n.cast("long"), 8 * k) for k, n in enumerate(row)]) for row in rows])
+
+
 def _letter_counts(body: Column) -> Column:
-    """The counts of ``LETTERS``, up to 255 each, as the bytes of a number."""
+    """The counts of ``LETTERS``, up to 255 each, as bytes."""
     counts = [F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit(""))) for c in LETTERS]
-    return functools.reduce(Column.bitwiseOR, [F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k) for k, n in enumerate(counts)])
+    return _packed([F.least(n, F.lit(255)) for n in counts])
 
 
 def _counts_allow(a: Column, b: Column, threshold: int) -> Column:
-    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
+    part = lambda x, k: F.shiftrightunsigned(F.get(x, k // 8), 8 * (k % 8)).bitwiseAND(F.lit(255))
     more = [part(a, k) - part(b, k) for k in range(len(LETTERS))]
     added = functools.reduce(Column.__add__, [F.greatest(d, F.lit(0)) for d in more])
     taken = functools.reduce(Column.__add__, [F.greatest(-d, F.lit(0)) for d in more])
     return (added <= threshold) & (taken <= threshold)
 
 
+def _pieces(body: Column, chars: Column, threshold: int) -> Column:
+    """Per difference in length, the hash bytes of ``PIECES`` pieces, at each shift from -threshold on.
+
+    The pieces are those of a line that many characters shorter, so that an
+    untouched piece of it has the same byte here at the shift it moved by.
+    """
+    out = []
+    for shorter in range(threshold + 1):
+        size = F.floor((chars - shorter) / PIECES).cast("int")
+        shifts = [
+            _packed([F.xxhash64(F.substring(body, size * p + shift + 1, size)).bitwiseAND(F.lit(255)) for p in range(PIECES)])
+            for shift in range(-threshold, threshold + 1)
+        ]
+        out.append(F.concat(*shifts))
+    return F.array(*out)
+
+
+def _pieces_allow(a: Column, b: Column, threshold: int) -> Column:
+    """True if at most ``threshold`` pieces of the shorter line, a, are nowhere in b within that shift."""
+    words, lost = PIECES // 8, F.lit(0)
+    for w in range(words):
+        own = F.get(a, threshold * words + w)
+        missing = []
+        for shift in range(2 * threshold + 1):
+            # The lowest bit of a byte becomes the OR of its bits: set if the pieces differ.
+            bits = own.bitwiseXOR(F.get(b, shift * words + w))
+            for step in (4, 2, 1):
+                bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+            missing.append(bits)
+        lost = lost + F.bit_count(functools.reduce(Column.bitwiseAND, missing).bitwiseAND(F.lit(0x0101010101010101)))
+    return lost <= threshold
+
+
 def _segment(chars: Column, i: int, parts: int) -> tuple[Column, Column]:
     """(start, length) of segment ``i`` of a line, from 1; the last ones take the rest."""
     base, rest = F.floor(chars / parts).cast("int"), F.pmod(chars, F.lit(parts)).cast("int")
@@ -102,19 +143,34 @@ def _keys(body: Column, chars: Column, threshold: int, places: list[tuple[int, i
     return F.array(*[key(*p) for p in places])
 
 
-def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) hashes of lines, a < b, that share a segment where, and letters as, the threshold allows."""
-    parts = threshold + 1
-    index = [(0, i, 0) for i in range(1, parts + 1)]
-
-    def entries(places, name):
-        key = F.explode(_keys(F.col("body"), F.col("chars"), threshold, places)).alias("key")
-        rows = lines.select(key, "hash", _letter_counts(F.col("body")).alias("counts")).repartition("key")
-        # Dealt by key alone, so that dropping repeats and the join need no further exchange.
-        return rows.groupBy("key", "hash").agg(F.max("counts").alias(f"n{name}")).withColumnRenamed("hash", name)
+def shared_segments(lines: DataFrame, threshold: int) -> DataFrame:
+    """(key, hash, shorter, indexed): entries and probes of the keys that different lines meet at.
 
-    left, right = entries(index, "a"), entries(index + probes(threshold), "b")
-    pairs = left.join(right, "key").filter((F.col("a") != F.col("b")) & _counts_allow(F.col("na"), F.col("nb"), threshold))
+    ``shorter``: by how much the line that the key looks for is shorter;
+    ``indexed``: whether the line has the segment itself. Keys that only one
+    line has, nearly all, are left out by an aggregate before any line's text
+    or sketch is exchanged; a key of any number of lines is one row of it.
+    """
+    index = [(0, i, 0) for i in range(1, threshold + 2)]
+    places = index + probes(threshold)
+    each = lines.select(F.posexplode(_keys(F.col("body"), F.col("chars"), threshold, places)).alias("at", "key"), "hash")
+    entries = each.select("key", "hash", F.get(F.array(*[F.lit(p[0]) for p in places]), F.col("at")).alias("shorter"), (F.col("at") < len(index)).alias("indexed"))
+    met = entries.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("indexed").alias("found"))
+    live, _ = write_table(met.filter("low <> high AND found").select("key"), "live")
+    # A key names the length looked for, so it settles ``shorter`` for a line.
+    return entries.join(live, "key").groupBy("key", "hash").agg(F.max("shorter").alias("shorter"), F.max("indexed").alias("indexed"))
+
+
+def candidates(shared: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) hashes of lines, a < b, that share a segment where, and pieces and letters as, the threshold allows."""
+    chars = F.length("body")
+    sketches = texts.select("hash", _letter_counts(F.col("body")).alias("counts"), _pieces(F.col("body"), chars, threshold).alias("pieces"))
+    known = shared.join(sketches, "hash").withColumn("pieces", F.get("pieces", F.col("shorter")))
+    known, _ = write_table(known, "sketches")
+    left = known.filter("indexed").select("key", F.col("hash").alias("a"), F.col("counts").alias("na"), F.col("pieces").alias("pa"))
+    right = known.select("key", F.col("hash").alias("b"), F.col("counts").alias("nb"), F.col("pieces").alias("pb"))
+    allowed = _pieces_allow(F.col("pa"), F.col("pb"), threshold) & _counts_allow(F.col("na"), F.col("nb"), threshold)
+    pairs = left.join(right, "key").filter((F.col("a") != F.col("b")) & allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -216,12 +272,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     heavy = firsts.filter(F.col("copies") * HEAVY > total).select("hash", F.col("first").alias("own"))
     indexed = lines.join(F.broadcast(heavy), "hash", "left").filter(F.isnull("own") | (place == F.col("own"))).drop("own")
-    pairs, _ = write_table(candidates(indexed, threshold), "pairs")
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
-    needed = ids.join(firsts, "hash").select(F.col("hash").alias("_hash"), "first")
-    found = lines.join(needed.hint("shuffle_hash"), (F.col("hash") == F.col("_hash")) & (place == F.col("first")))
+    shared, _ = write_table(shared_segments(indexed, threshold), "shared")
+    needed, _ = write_table(shared.select("hash").distinct().join(firsts, "hash").select(F.col("hash").alias("_hash"), "first"), "needed")
+    found = lines.join(needed, (F.col("hash") == F.col("_hash")) & (place == F.col("first")))
     texts, _ = write_table(found.select("hash", "first", "body").dropDuplicates(["hash"]), "candidates")
+    pairs, _ = write_table(candidates(shared, texts, threshold), "pairs")
+
     side = lambda name: texts.select(F.col("hash").alias(name), F.col("first").alias(f"first_{name}"), F.col("body").alias(f"body_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(within(F.col("body_a"), F.col("body_b"), threshold))
     later = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("hash")).distinct()
