@@ -148,17 +148,19 @@ def shared_segments(lines: DataFrame, threshold: int) -> DataFrame:
 
     ``shorter``: by how much the line that the key looks for is shorter;
     ``indexed``: whether the line has the segment itself. Keys that only one
-    line has, nearly all, are left out by an aggregate before any line's text
-    or sketch is exchanged; a key of any number of lines is one row of it.
+    line has, nearly all, end here: entries are dealt by key once, and both the
+    sum over a key and the entries that it lets through read that exchange.
     """
     index = [(0, i, 0) for i in range(1, threshold + 2)]
     places = index + probes(threshold)
     each = lines.select(F.posexplode(_keys(F.col("body"), F.col("chars"), threshold, places)).alias("at", "key"), "hash")
-    entries = each.select("key", "hash", F.get(F.array(*[F.lit(p[0]) for p in places]), F.col("at")).alias("shorter"), (F.col("at") < len(index)).alias("indexed"))
-    met = entries.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("indexed").alias("found"))
-    live, _ = write_table(met.filter("low <> high AND found").select("key"), "live")
-    # A key names the length looked for, so it settles ``shorter`` for a line.
-    return entries.join(live, "key").groupBy("key", "hash").agg(F.max("shorter").alias("shorter"), F.max("indexed").alias("indexed"))
+    dealt = each.repartition("key")
+    met = dealt.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.min("at").alias("first_at"))
+    live = met.filter((F.col("low") != F.col("high")) & (F.col("first_at") < len(index))).select("key")
+    # A key names the length looked for, so all places of a line with one key have the same ``shorter``.
+    shorter = F.get(F.array(*[F.lit(p[0]) for p in places]), F.col("at")).alias("shorter")
+    rows = dealt.join(live.hint("shuffle_hash"), "key").groupBy("key", "hash").agg(F.min("at").alias("at"))
+    return rows.select("key", "hash", shorter, (F.col("at") < len(index)).alias("indexed"))
 
 
 def candidates(shared: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -274,7 +276,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     indexed = lines.join(F.broadcast(heavy), "hash", "left").filter(F.isnull("own") | (place == F.col("own"))).drop("own")
     shared, _ = write_table(shared_segments(indexed, threshold), "shared")
     needed, _ = write_table(shared.select("hash").distinct().join(firsts, "hash").select(F.col("hash").alias("_hash"), "first"), "needed")
-    found = lines.join(needed, (F.col("hash") == F.col("_hash")) & (place == F.col("first")))
+    found = lines.join(needed.hint("shuffle_hash"), (F.col("hash") == F.col("_hash")) & (place == F.col("first")))
     texts, _ = write_table(found.select("hash", "first", "body").dropDuplicates(["hash"]), "candidates")
     pairs, _ = write_table(candidates(shared, texts, threshold), "pairs")
 
