@@ -134,13 +134,24 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(body: Column, chars: Column, threshold: int, places: list[tuple[int, int, int]]) -> Column:
+def _entries(lines: DataFrame, threshold: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """(at, key, hash): the key of each of ``places`` in each line.
+
+    Segment bounds are columns of their own: with all the arithmetic inside
+    the array of keys, its generated method is too long for Java to compile.
+    """
+    bounds = {}
+    for shorter in range(threshold + 1):
+        bounds[f"_chars{shorter}"] = F.col("chars") - shorter
+        for i in range(1, threshold + 2):
+            start, length = _segment(F.col("chars") - shorter, i, threshold + 1)
+            bounds |= {f"_start{shorter}_{i}": start, f"_length{shorter}_{i}": length}
+
     def key(shorter: int, i: int, shift: int) -> Column:
-        other = chars - shorter
-        start, length = _segment(other, i, threshold + 1)
-        return F.xxhash64(other, F.lit(i), F.substring(body, start + shift, length))
+        piece = F.substring(F.col("body"), F.col(f"_start{shorter}_{i}") + shift, F.col(f"_length{shorter}_{i}"))
+        return F.xxhash64(f"_chars{shorter}", F.lit(i), piece)
 
-    return F.array(*[key(*p) for p in places])
+    return lines.withColumns(bounds).select(F.posexplode(F.array(*[key(*p) for p in places])).alias("at", "key"), "hash")
 
 
 def shared_segments(lines: DataFrame, threshold: int) -> DataFrame:
@@ -153,7 +164,7 @@ def shared_segments(lines: DataFrame, threshold: int) -> DataFrame:
     """
     index = [(0, i, 0) for i in range(1, threshold + 2)]
     places = index + probes(threshold)
-    each = lines.select(F.posexplode(_keys(F.col("body"), F.col("chars"), threshold, places)).alias("at", "key"), "hash")
+    each = _entries(lines, threshold, places)
     dealt = each.repartition("key")
     met = dealt.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.min("at").alias("first_at"))
     live = met.filter((F.col("low") != F.col("high")) & (F.col("first_at") < len(index))).select("key")
