@@ -228,7 +228,9 @@ def hit_rows(
     df: DataFrame, key: str, text: str, entities: Sequence[str] | None = None
 ) -> DataFrame:
     """Long view of the hits: key, pos, entity_type, start, end, value."""
-    found = df.select(key, F.explode(D.detect(F.col(text), entities)).alias("h"))
+    # A plain explode would detect once more, in the filter inferred for it.
+    once = D.compute_once(df.select(key, text), {"_hits": D.detect(F.col(text), entities)})
+    found = once.select(key, F.explode("_hits").alias("h"))
     return found.select(
         key, "h.pos", "h.entity_type", "h.start", "h.end", "h.value"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.functions import patterns as P
-from maskflow.functions.restore import unredact
+from maskflow.functions.restore import unredact_tokens
 from maskflow.operators.completion import Complete, attach_responses, complete_with
 from maskflow.operators.masking import entity_totals, mask_fields, mask_requests
 from maskflow.sources.requests import read_requests
@@ -39,7 +39,7 @@ def result_records(answered: DataFrame) -> DataFrame:
         "original_user",
         *[F.when(ok, F.col(c)).alias(c) for c in ("redacted_system", "redacted_user", "mappings")],
         F.when(ok, F.col("response")).alias("llm_response_redacted"),
-        F.when(ok, unredact(F.col("response"), F.col("mappings"))).alias("final_response"),
+        F.when(ok, unredact_tokens(F.col("response"), F.col("mappings"))).alias("final_response"),
         "error",
     )
 
