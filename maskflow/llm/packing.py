@@ -19,10 +19,13 @@ placed in the order of their rows; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 import types
 import zlib
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,47 +36,112 @@ from maskflow.llm.common import write_table
 
 #: Pieces that one task packs, on average.
 GROUP = 16384
-#: Words of one of the two generations whose ids a worker remembers (about 100 MB each).
-REMEMBER = 500_000
+#: Bytes of words, and of pieces of words, in one of the generations that a worker remembers (some 500,000 words).
+REMEMBER = 5_000_000
+#: Stands between the ids of words; no id has such bytes, as ids are below 2^24.
+END_OF_WORD = b"\xff\xff\xff\xff"
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def _worker_memory(path: str) -> types.ModuleType:
-    """The tokenizer of this Python worker and the ids of words it has met, kept between tasks."""
-    name = f"_packing_{zlib.crc32(path.encode())}"
-    if name not in sys.modules:
-        import os
+class _Encoder:
+    """Ids, as little-endian 32-bit numbers, by the tokenizer in the file ``path``; remembers words it has met.
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    The tokenizer drops white space before anything else, so a text's ids are
+    those of its words in a row, and each word is encoded once. Where the
+    file's rules are lower-casing and one pattern that splits into pieces, this
+    is done here for words of plain Latin letters and signs (which NFC leaves
+    as they are), and the ids of each piece, which many words share, come from the
+    tokenizer's model. Words that are not plain, or may hold a special token,
+    go through the whole tokenizer.
+
+    Words and pieces are kept for two generations; one not met in a generation
+    is forgotten with the next.
+    """
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        memory = types.ModuleType(name)
-        memory.tokenizer, memory.words, memory.older = Tokenizer.from_file(path), {}, {}
-        sys.modules[name] = memory
-    return sys.modules[name]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.older_words, self.word_bytes = {}, {}, 0
+        self.pieces, self.older_pieces, self.piece_bytes = {}, {}, 0
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        cleaning = [r["type"] for r in (rules["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (rules["pre_tokenizer"] or {}).get("pretokenizers", []) or [{}]
+        by_pattern = first.get("type") == "Split" and (first["behavior"], first["invert"]) == ("Removed", True)
+        byte_level = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        # Where the rules are others, no word is plain.
+        self.plain = regex.compile(r"(?!)").fullmatch
+        if cleaning == ["NFC", "Replace", "Lowercase"] and by_pattern and "Regex" in first["pattern"] and rest == byte_level:
+            self.plain = regex.compile(r"[\n\x21-\x7E\xC0-\xFF]*").fullmatch
+            self.split = regex.compile(f"{first['pattern']['Regex']}|\n").findall
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
+    def whole(self, word: bytes) -> bytes:
+        found = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4").tobytes()
 
-def token_bytes(texts: Sequence[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
+    def by_pieces(self, lines: str) -> list[bytes]:
+        """Ids of plain words, one on a line."""
+        flat = self.split(lines.lower())
+        found = list(map(self.pieces.get, flat))
+        if None in found:
+            if self.piece_bytes > REMEMBER:
+                self.older_pieces, self.pieces, self.piece_bytes = self.pieces, {}, 0
+            for p in set(flat).difference(self.pieces):
+                ids = END_OF_WORD if p == "\n" else self.older_pieces.get(p)
+                if ids is None:
+                    tokens = self.model.tokenize(p if p.isascii() else p.translate(self.letters))
+                    ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                self.pieces[p] = ids
+                self.piece_bytes += len(p)
+            found = map(self.pieces.__getitem__, flat)
+        return b"".join(found).split(END_OF_WORD)
 
-    The tokenizer splits at white space before anything else and drops it, so
-    a text's ids are those of its words in a row: each distinct word is
-    encoded once. Words are split at ASCII white space, which no rule spans.
-    """
-    memory = _worker_memory(path)
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    if len(memory.words) > REMEMBER:
-        # Words not met in this generation are forgotten with the next one.
-        memory.words, memory.older = {}, memory.words
-    known, older = memory.words, memory.older
-    new = set().union(*split).difference(known)
-    known.update((w, older[w]) for w in new.intersection(older))
-    new = sorted(new.difference(known))
-    if new:
-        found = memory.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        known.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(new, found, strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    def learn(self, new: set[bytes]) -> None:
+        """Take the words ``new`` into memory."""
+        self.word_bytes += sum(map(len, new))
+        again = new.intersection(self.older_words)
+        self.words.update((w, self.older_words[w]) for w in again)
+        fresh = list(new.difference(again))
+        lines = b"\n".join(fresh).decode("utf-8", "surrogatepass")
+        if not self.is_plain(lines):
+            odd = [w for w in fresh if not self.is_plain(w.decode("utf-8", "surrogatepass"))]
+            self.words.update((w, self.whole(w)) for w in odd)
+            fresh = list(set(fresh).difference(odd))
+            lines = b"\n".join(fresh).decode("utf-8")
+        if fresh:
+            self.words.update(zip(fresh, self.by_pieces(lines), strict=True))
+
+    def is_plain(self, text: str) -> bool:
+        return self.plain(text) is not None and not any(s in text for s in self.special)
+
+    def __call__(self, text: str) -> bytes:
+        if self.word_bytes > REMEMBER:
+            self.older_words, self.words, self.word_bytes = self.words, {}, 0
+        words = text.encode("utf-8", "surrogatepass").split()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
+            ids = map(self.words.__getitem__, words)
+        return b"".join(ids)
+
+
+def token_bytes(texts: Sequence[str | None], path: str) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit numbers; a worker's encoder is kept between its tasks."""
+    name = f"_packing_{zlib.crc32(path.encode())}"
+    if name not in sys.modules:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        memory = types.ModuleType(name)
+        memory.encode = _Encoder(path)
+        sys.modules[name] = memory
+    encode = sys.modules[name].encode
+    return [encode(t or "") for t in texts]
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, tokens: int = 2048, end_id: int = 0) -> DataFrame:

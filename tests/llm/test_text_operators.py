@@ -558,3 +558,25 @@ def test_best_fit_is_tight():
     sequence, _ = packing.best_fit(lengths, 2048, 2048, 2048.0**2)
     assert sequence.max() + 1 <= math.ceil(lengths.sum() / 2048) * 1.01
     assert len(packing.best_fit(np.array([], dtype=np.int64), 2048, 10, 1e6)[0]) == 0
+
+
+def test_encoder_gives_the_ids_of_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [
+        "",
+        None,
+        "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b plain",
+        "I'm it'LL 'S don't a,b12.5",
+        "a b c d\x85e \x1cx \x00\x01",
+        "é É é ß ẞ İ ı ſ Σας ǅ",
+        "日本語 한국어 \U0001f600x ½²",
+        "a" * 5000,
+        prose(3, 3000) + " œuvre " + prose(4, 3000),
+    ]
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(whole.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for remember in (packing.REMEMBER, 50):
+        monkeypatch.setattr(packing, "REMEMBER", remember)
+        encode = packing._Encoder(tokenizer_path())
+        assert [encode(t or "") for t in texts + texts[::-1]] == want + want[::-1]
