@@ -106,9 +106,10 @@ class _Encoder:
     def learn(self, new: set[bytes]) -> None:
         """Take the words ``new`` into memory."""
         self.word_bytes += sum(map(len, new))
-        again = new.intersection(self.older_words)
-        self.words.update((w, self.older_words[w]) for w in again)
-        fresh = list(new.difference(again))
+        older = self.older_words
+        # Not by set.intersection, which would walk through all the older words.
+        self.words.update((w, older[w]) for w in new if w in older)
+        fresh = [w for w in new if w not in older]
         lines = b"\n".join(fresh).decode("utf-8", "surrogatepass")
         if not self.is_plain(lines):
             odd = [w for w in fresh if not self.is_plain(w.decode("utf-8", "surrogatepass"))]
