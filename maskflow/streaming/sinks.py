@@ -76,11 +76,13 @@ def write_masked_session_stream(
         if batch_id:
             before = spark.read.parquet(f"{checkpoint}/counters/{batch_id - 1}")
             start.update({r["entity_type"]: r["used"] for r in before.collect()})
-        masked = mask_requests(batch, "session", entities, start)
-        masked.drop(*SENSITIVE).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if vault_path:
-            rows = vault(masked)
-            rows.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        masked = mask_requests(batch, "session", entities, start).persist()
+        try:
+            masked.drop(*SENSITIVE).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            if vault_path:
+                vault(masked).write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        finally:
+            masked.unpersist()
         totals = entity_totals(batch, ["system_prompt", "prompt"], entities)
         used = F.create_map(*[F.lit(x) for pair in start.items() for x in pair])
         totals.select(
