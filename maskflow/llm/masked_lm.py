@@ -8,8 +8,9 @@ each given its neighbours, is the text's pseudo-likelihood.
 
 Training is numpy in the tasks: per round, each partition starts from the
 shared weights, takes Adagrad steps on every ``stride``-th place of all its
-texts (another offset per text and round) and gives its weights, which are
-averaged by places in two levels of groups. Only the averaged weights and the
+texts (the next offset in each round, so ``stride`` rounds use each place
+once) and gives its weights, which are averaged by places in two levels of
+groups. Texts are turned into class numbers once, in a written table. Only the averaged weights and the
 commonest words, both of fixed size, reach the driver. Scores are for a given
 partitioning of the input; another one gives slightly other weights.
 
@@ -30,10 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.llm.common import unused, write_table
+from maskflow.llm.common import remove_table, unused, write_table
 
 #: Neighbours by place.
 PLACES = (-2, -1, 1, 2)
+#: Places whose outputs are held at a time, and places of a training step.
+BLOCK, STEP = 512, 2048
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Shape:
     known: int = 128
     hashed: int = 128
     wide: int = 16
-    stride: int = 8
+    stride: int = 2
     rounds: int = 2
     rate: float = 0.1
 
@@ -81,6 +84,11 @@ def neighbours(ids: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
     return np.stack([padded[at + 2 + p] for p in PLACES], axis=1)
 
 
+def trained(n: int, first: int, turn: int, stride: int) -> np.ndarray:
+    """The places of a text of ``n`` words that round ``turn`` trains on; ``stride`` rounds in a row have each once."""
+    return np.arange((first + turn) % stride, n, stride)
+
+
 class Network:
     """Tables for the neighbours, weights and biases of the output."""
 
@@ -96,36 +104,48 @@ class Network:
         self.tables, self.out, self.bias = a.reshape(p, n + 1, d), b.reshape(d, n), c
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.tables[k][around[:, k]] for k in range(len(PLACES))))
+        return np.tanh(sum(self.tables[k].take(around[:, k], axis=0) for k in range(len(PLACES))))
+
+    def outputs(self, h: np.ndarray) -> np.ndarray:
+        """Outputs for hidden numbers, lowered by their maximum where exp might overflow."""
+        z = h @ self.out
+        z += self.bias
+        # Hidden numbers are within 1, so this bounds every output.
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > 60:
+            z -= z.max(axis=1, keepdims=True)
+        return z
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
         found = np.empty(len(target), dtype=np.float64)
-        for i in range(0, len(target), 4096):
-            some, own = around[i : i + 4096], target[i : i + 4096]
-            z = self.hidden(some) @ self.out + self.bias
-            high = z.max(axis=1)
-            picked = z[np.arange(len(own)), own] - high
-            z -= high[:, None]
+        for i in range(0, len(target), BLOCK):
+            some, own = around[i : i + BLOCK], target[i : i + BLOCK]
+            z = self.outputs(self.hidden(some))
+            picked = z[np.arange(len(own)), own]
             np.exp(z, out=z)
-            found[i : i + 4096] = picked - np.log(z.sum(axis=1))
+            found[i : i + BLOCK] = picked - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))
         return found
 
     def step(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step; ``squares`` sums the squared gradients of ``flat``."""
-        n, d, rows = self.shape.classes, self.shape.wide, np.arange(len(target))
-        h = self.hidden(around)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[rows, target] -= 1
-        z /= len(target)
-        back = (z @ self.out.T) * (1 - h * h)
-        grads = []
-        for k in range(len(PLACES)):
-            grads.append(np.stack([np.bincount(around[:, k], back[:, j], n + 1) for j in range(d)], axis=1).ravel())
-        grad = np.concatenate([*grads, (h.T @ z).ravel(), z.sum(axis=0)]).astype(np.float32)
+        n, d = self.shape.classes, self.shape.wide
+        grad = np.zeros(len(self.flat))
+        tables, out, bias = np.split(grad, np.cumsum([self.tables.size, self.out.size]))
+        tables, out = tables.reshape(len(PLACES), -1), out.reshape(d, n)
+        for i in range(0, len(target), BLOCK):
+            some, own = around[i : i + BLOCK], target[i : i + BLOCK]
+            h = self.hidden(some)
+            z = self.outputs(h)
+            np.exp(z, out=z)
+            z *= (1 / (len(target) * (z @ np.ones(n, dtype=z.dtype))))[:, None]
+            z[np.arange(len(own)), own] -= np.float32(1 / len(target))
+            back = ((z @ self.out.T) * (1 - h * h)).astype(np.float64).ravel()
+            for k in range(len(PLACES)):
+                at = (some[:, k, None].astype(np.intp) * d + np.arange(d)).ravel()
+                tables[k] += np.bincount(at, back, (n + 1) * d)
+            out += h.T @ z
+            bias += z.sum(axis=0)
+        grad = grad.astype(np.float32)
         squares += grad * grad
         self.flat -= self.shape.rate * grad / (np.sqrt(squares) + 1e-6)
 
@@ -149,10 +169,21 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
     """(common words, weights) of a network trained on all documents."""
     common = common_words(docs, text_col, shape.known) if common is None else common
     flat = Network(shape).flat
+
+    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = Classes(common, shape)
+        for batch in batches:
+            ids = [(words[0], classes(words)) for words in map(words_of, batch["text"]) if words]
+            yield pd.DataFrame(
+                {"ids": [x.astype(kind_of_ids).tobytes() for _, x in ids], "first": [(zlib.crc32(w) + len(x)) % 2**31 for w, x in ids]}
+            )
+
+    kind_of_ids = "<u1" if shape.classes <= 2**8 else "<i4"
+    texts, path = write_table(docs.select(F.col(text_col).alias("text")).mapInPandas(classed, "ids binary, first int"), "classes")
     for turn in range(shape.rounds):
 
         def learn(batches: Iterator[pd.DataFrame], start=flat, turn=turn) -> Iterator[pd.DataFrame]:
-            net, classes = Network(shape, start), Classes(common, shape)
+            net = Network(shape, start)
             squares = np.full(len(start), 1e-4, dtype=np.float32)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             places = size = 0
@@ -160,19 +191,15 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
             def flush() -> None:
                 nonlocal size
                 around, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                for i in range(0, len(target), 512):
-                    net.step(around[i : i + 512], target[i : i + 512], squares)
+                for i in range(0, len(target), STEP):
+                    net.step(around[i : i + STEP], target[i : i + STEP], squares)
                 held.clear()
                 size = 0
 
             for batch in batches:
-                for text in batch["text"]:
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    ids = classes(words)
-                    first = (zlib.crc32(words[0]) + len(words) + turn * 3) % shape.stride
-                    at = np.arange(first, len(ids), shape.stride)
+                for raw, first in zip(batch["ids"], batch["first"], strict=True):
+                    ids = np.frombuffer(raw, dtype=kind_of_ids).astype(np.int32)
+                    at = trained(len(ids), first, turn, shape.stride)
                     if len(at):
                         held.append((neighbours(ids, at, shape.classes), ids[at]))
                         size += len(at)
@@ -192,12 +219,13 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
             return pd.DataFrame({"weights": [mean.astype(np.float32).tobytes()], "places": [total], "deal": [0]})
 
         kind = "weights binary, places long, deal long"
-        given, _ = write_table(docs.select(F.col(text_col).alias("text")).mapInPandas(learn, kind), "weights")
+        given, _ = write_table(texts.mapInPandas(learn, kind), "weights")
         groups = max(1, int(given.count() ** 0.5))
         some = given.groupBy(F.pmod("deal", F.lit(groups)).alias("g")).applyInPandas(average, kind)
         last = some.groupBy("deal").applyInPandas(average, kind).collect()
         if last:
             flat = np.frombuffer(bytes(last[0]["weights"]), dtype=np.float32).copy()
+    remove_table(docs.sparkSession, path)
     return common, flat
 
 

@@ -484,6 +484,18 @@ def test_network_learns_both_sides(spark):
     assert (got[10]["n_words"], got[10]["log_prob"], got[10]["mean_log_prob"]) == (0, 0.0, None)
 
 
+def test_registered_training_uses_every_place(spark):
+    shape = masked_lm.Shape()
+    for n in (1, 2, 7, 50):
+        for first in range(9):
+            met = np.concatenate([masked_lm.trained(n, first, turn, shape.stride) for turn in range(shape.rounds)])
+            assert sorted(met.tolist()) == sorted(list(range(n)) * (shape.rounds // shape.stride))
+    # A text shorter than its offset used to give nothing.
+    word = next(w for w in "abcdefgh" if {(zlib.crc32(w.encode()) + 1 + 3 * turn) % 8 for turn in range(2)}.isdisjoint({0}))
+    _, weights = masked_lm.train(docs_of(spark, [(1, word, "s")]))
+    assert not np.array_equal(weights, masked_lm.Network(shape).flat)
+
+
 def test_gradient_by_differences():
     shape = masked_lm.Shape(known=3, hashed=2, wide=4, rate=1e-3)
     net = masked_lm.Network(shape)
