@@ -1,7 +1,10 @@
 """Masked pseudo-likelihood: a window network guesses each word from both sides.
 
-Words are classes: the commonest ones by count over all documents, the others
-by hash. For each place the network sums one learned vector per neighbour (two
+Words are counted over all documents, in a table that grows with them. They
+fall into classes: the commonest ones by themselves, the others by hash; a
+word's log-probability is that of its class, given the neighbours, and that of
+the word in its class, by the counts (all words never counted share one). For
+each place the network sums one learned vector per neighbour (two
 on either side, a table per place), applies tanh and a softmax over classes;
 the word itself is masked. The sum of the log-probabilities of a text's words,
 each given its neighbours, is the text's pseudo-likelihood.
@@ -10,8 +13,10 @@ Training is numpy in the tasks: per round, each partition starts from the
 shared weights, takes Adagrad steps on every ``stride``-th place of all its
 texts (the next offset in each round, so ``stride`` rounds use each place
 once) and gives its weights, which are averaged by places in two levels of
-groups. Texts are turned into class numbers once, in a written table. Only the averaged weights and the
-commonest words, both of fixed size, reach the driver. Scores are for a given
+groups. Texts are turned into class numbers once, in a written table. Only the averaged weights, the
+commonest words and the sizes of the classes, of fixed size all, reach the
+driver. The counted words meet the texts in a join by word; texts go there in
+batches, as numbers of the texts that a word stands in. Scores are for a given
 partitioning of the input; another one gives slightly other weights.
 
 Defined results: null and empty texts have no words, log-probability 0 and a
@@ -21,8 +26,9 @@ leaves the weights as they began.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,22 +66,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Classes:
-    """Class numbers of words; remembers those it has met, within a bound."""
+    """Class numbers of words."""
 
     def __init__(self, common: list[bytes], shape: Shape):
-        self.common, self.shape = common, shape
-        self.memo: dict[bytes, int] = {w: i for i, w in enumerate(common)}
+        self.shape = shape
+        self.common = {w: i for i, w in enumerate(common)}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo, known, hashed = self.memo, self.shape.known, self.shape.hashed
-        new = set(words).difference(memo)
-        if new:
-            if len(memo) + len(new) > 300_000:
-                memo.clear()
-                memo.update((w, i) for i, w in enumerate(self.common))
-                new = set(words).difference(memo)
-            memo.update((w, known + zlib.crc32(w) % hashed) for w in new)
-        return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+        get, crc, known, hashed = self.common.get, zlib.crc32, self.shape.known, self.shape.hashed
+        return np.array([crc(w) % hashed + known if (i := get(w)) is None else i for w in words], dtype=np.int32)
 
 
 def neighbours(ids: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
@@ -150,24 +149,87 @@ class Network:
         self.flat -= self.shape.rate * grad / (np.sqrt(squares) + 1e-6)
 
 
-def common_words(docs: DataFrame, text_col: str, n: int) -> list[bytes]:
-    """The ``n`` commonest words of all documents, ties by the word."""
+#: Words and texts of a batch of ``met_words``, about and at most.
+BATCH_WORDS, BATCH_TEXTS = 1_000_000, 2**16
+#: Tasks that copies of one text are dealt to when its part joins them.
+SALTS = 8
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: Counter[bytes] = Counter()
-            for text in batch["text"]:
-                found.update(words_of(text))
-            yield pd.DataFrame({"word": list(found.keys()), "n": list(found.values())})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word binary, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [bytes(r[0]) for r in top.collect()]
+def met_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Written (batch, word, places): per batch of texts, its words and the numbers of the texts they stand in.
+
+    One more row per batch, its word a space and the batch, holds the texts' keys (hashes).
+    """
+
+    def whole(texts: list[list[bytes]], keys: list[int]) -> pd.DataFrame:
+        number = np.repeat(np.arange(len(texts), dtype="<u2"), [len(t) for t in texts])
+        codes, kinds = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+        ends = [0, *(2 * np.cumsum(np.bincount(codes))).tolist()]
+        raw, name = number[np.argsort(codes, kind="stable")].tobytes(), np.array(keys, dtype="<i8").tobytes()
+        mark = hashlib.blake2b(name, digest_size=8).digest()
+        places = [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return pd.DataFrame({"batch": int.from_bytes(mark, "little", signed=True), "word": [*kinds, b" " + mark], "places": [*places, name]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: list[list[bytes]] = []
+        keys: list[int] = []
+        size = 0
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                if words := words_of(text):
+                    texts.append(words)
+                    keys.append(key)
+                    size += len(words)
+                if size >= BATCH_WORDS or len(texts) == BATCH_TEXTS:
+                    yield whole(texts, keys)
+                    texts, keys, size = [], [], 0
+        if texts:
+            yield whole(texts, keys)
+
+    rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return write_table(rows.mapInPandas(meet, "batch long, word binary, places binary"), "met")[0]
+
+
+def count_words(met: DataFrame) -> DataFrame:
+    """Written (word, n): how often each word stands in the texts of ``met_words``."""
+    words = met.filter(~F.startswith("word", F.lit(b" ")))
+    return write_table(words.groupBy("word").agg(F.sum(F.octet_length("places") / 2).cast("long").alias("n")), "words")[0]
+
+
+def common_words(counts: DataFrame, n: int) -> list[bytes]:
+    """The ``n`` commonest words of ``count_words``, ties by the word."""
+    return [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def in_class(met: DataFrame, counts: DataFrame, common: list[bytes], shape: Shape) -> DataFrame:
+    """(key, part) of texts with uncommon words: the summed log-probabilities of these in their classes.
+
+    The counts of a class are taken as one more, which words that were never counted share.
+    """
+    known = F.broadcast(met.sparkSession.createDataFrame([(w,) for w in common], "word binary"))
+    own = F.pmod(F.crc32("word"), F.lit(shape.hashed))
+    others = counts.join(known, "word", "left_anti")
+    sizes = {r[0]: r[1] for r in others.groupBy(own.alias("class")).agg(F.sum("n")).collect()}
+    less = F.array(*[F.lit(math.log(sizes.get(i, 0) + 1)) for i in range(shape.hashed)])
+    log = F.log(F.coalesce("n", F.lit(1)).cast("double")) - F.get(less, own.cast("int"))
+    rows = met.join(known, "word", "left_anti").join(others, "word", "left")
+    rows = rows.select("batch", F.startswith("word", F.lit(b" ")).alias("whole"), "places", log.alias("log"))
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        whole = group["whole"].to_numpy(dtype=bool)
+        keys = np.frombuffer(group["places"][whole].iloc[0], dtype="<i8")
+        words = group[~whole].sort_values("log")
+        at = np.frombuffer(b"".join(words["places"]), dtype="<u2")
+        logs = np.repeat(words["log"].to_numpy(), [len(p) // 2 for p in words["places"]])
+        # Batches of equal texts have one number, and so are added up as often.
+        return pd.DataFrame({"key": keys, "part": np.bincount(at, logs, len(keys)) / whole.sum()})
+
+    return rows.groupBy("batch").applyInPandas(add, "key long, part double").groupBy("key").agg(F.max("part").alias("part"))
 
 
 def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), common: list[bytes] | None = None) -> tuple[list[bytes], np.ndarray]:
     """(common words, weights) of a network trained on all documents."""
-    common = common_words(docs, text_col, shape.known) if common is None else common
+    common = common_words(count_words(met_words(docs, text_col)), shape.known) if common is None else common
     flat = Network(shape).flat
 
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,8 +291,20 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
     return common, flat
 
 
-def score(docs: DataFrame, common: list[bytes], flat: np.ndarray, text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
-    """``docs`` with n_words, log_prob (summed) and mean_log_prob of each text."""
+def score(
+    docs: DataFrame,
+    common: list[bytes],
+    flat: np.ndarray,
+    text_col: str = "text",
+    shape: Shape = Shape(),
+    counts: DataFrame | None = None,
+    met: DataFrame | None = None,
+) -> DataFrame:
+    """``docs`` with n_words, log_prob (summed) and mean_log_prob of each text.
+
+    Without ``counts`` (of the texts trained on) the scores are those of the
+    classes. ``met``: ``met_words`` of ``docs``, if it is there already.
+    """
 
     @F.pandas_udf("n_words long, log_prob double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -247,7 +321,18 @@ def score(docs: DataFrame, common: list[bytes], flat: np.ndarray, text_col: str
                 sums += [float(total[e] - total[e - len(x)]) for e, x in zip(ends, ids, strict=True)]
             yield pd.DataFrame({"n_words": np.array(sizes, dtype=np.int64), "log_prob": np.array(sums, dtype=np.float64)})
 
-    (found,) = unused(docs, "_found")
+    found, key, part, salt = unused(docs, "_found", "_key", "_part", "_salt")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "log_prob", "mean_log_prob")]
-    out = docs.withColumn(found, scored(F.col(text_col))).select(*own, f"{found}.*")
+    out = docs.withColumn(found, scored(F.col(text_col)))
+    if counts is None:
+        out = out.select(*own, f"{found}.*")
+    else:
+        met = met_words(docs, text_col) if met is None else met
+        parts = in_class(met, counts, common, shape).withColumnsRenamed({"key": key, "part": part})
+        # Copies of one text are dealt to SALTS tasks.
+        out = out.withColumn(key, F.xxhash64(text_col)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        parts = parts.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+        out = out.join(parts, [key, salt], "left")
+        log_prob = F.col(f"{found}.log_prob") + F.coalesce(part, F.lit(0.0))
+        out = out.select(*own, f"{found}.n_words", log_prob.alias("log_prob"))
     return out.withColumn("mean_log_prob", F.try_divide("log_prob", F.col("n_words").cast("double")))

@@ -113,8 +113,10 @@ def op8_html_extraction(spark, sf):
 def op9_lm_scores(spark, sf):
     """Pseudo-likelihood of all documents under a network trained on all of them."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    common, weights = masked_lm.train(docs)
-    return masked_lm.score(docs, common, weights).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    met = masked_lm.met_words(docs)
+    counts = masked_lm.count_words(met)
+    common, weights = masked_lm.train(docs, common=masked_lm.common_words(counts, masked_lm.Shape().known))
+    return masked_lm.score(docs, common, weights, counts=counts, met=met).select("doc_id", "n_words", "log_prob", "mean_log_prob")
 
 
 def tokenizer_path() -> str:

@@ -496,6 +496,28 @@ def test_registered_training_uses_every_place(spark):
     assert not np.array_equal(weights, masked_lm.Network(shape).flat)
 
 
+def test_scores_are_of_words_not_of_classes(spark):
+    shape = masked_lm.Shape(known=2, hashed=1, wide=4)
+    corpus = ["a b a b a b a b often often often often seen seen once a b", "a b often A B seen"]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate([*corpus, corpus[0], None])])
+    met = masked_lm.met_words(docs)
+    counts = masked_lm.count_words(met)
+    got = {bytes(r["word"]).decode(): r["n"] for r in counts.collect()}
+    assert got == Counter(w for t in [*corpus, corpus[0]] for w in t.lower().split())
+    common, weights = masked_lm.train(docs, "text", shape, masked_lm.common_words(counts, shape.known))
+    rare = {w: n for w, n in got.items() if w.encode() not in common}
+    total = sum(rare.values()) + 1
+    texts = ["a often b", "a once b", "a zzz b", "a b", "", "a often b", corpus[0]]
+    test = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    by_class = {r["doc_id"]: r["log_prob"] for r in masked_lm.score(test, common, weights, "text", shape).collect()}
+    by_word = {r["doc_id"]: r["log_prob"] for r in masked_lm.score(test, common, weights, "text", shape, counts).collect()}
+    assert len(by_word) == len(texts)
+    for i, t in enumerate(texts):
+        inner = sum(math.log(rare.get(w, 1) / total) for w in t.split() if w.encode() not in common)
+        assert math.isclose(by_word[i], by_class[i] + inner, rel_tol=1e-9, abs_tol=1e-9)
+    assert by_class[0] == by_class[1] == by_class[2] and by_word[0] > by_word[1] > by_word[2] and by_word[0] == by_word[5]
+
+
 def test_gradient_by_differences():
     shape = masked_lm.Shape(known=3, hashed=2, wide=4, rate=1e-3)
     net = masked_lm.Network(shape)
