@@ -455,6 +455,28 @@ def test_repeated_runs_of_a_host_go(spark, odd):
     assert html.extract(pages).count() == len(ODD) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_repeats_do_not_cut_real_text(spark):
+    phrase = "as the old saying has it"
+    menu = "Home News Sport Weather Travel About us today"
+    rows = [
+        # Copies of one page, by different urls.
+        (1, "http://a.org/x", f"<div>{prose(1, 40)}</div>"),
+        (2, "https://a.org/x?s=1", f"<div>{prose(1, 40)}</div>"),
+        # A heading that the menus of other pages name, and a phrase on two pages of six.
+        (3, "http://b.org/0", f"<h1>Seven days in the far quiet north</h1><div>{prose(2, 9)} {phrase} {prose(3, 9)}</div>"),
+        (4, "http://b.org/1", f"<div>{prose(4, 9)} {phrase} {prose(5, 9)}</div>"),
+        *[(5 + i, f"http://b.org/{2 + i}", f"<ul><li>Seven days in the far quiet north</li></ul><div>{menu}</div><p>{prose(6 + i, 9)}</p>") for i in range(4)],
+        # Pages without a host.
+        *[(20 + i, None, f"<div>{menu}</div><p>{prose(20 + i, 9)}</p>") for i in range(4)],
+    ]
+    got = {r["page_id"]: r["main_text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == prose(1, 40)
+    assert got[3] == f"Seven days in the far quiet north\n{prose(2, 9)} {phrase} {prose(3, 9)}"
+    assert got[4] == f"{prose(4, 9)} {phrase} {prose(5, 9)}"
+    for i in range(4):
+        assert got[5 + i] == prose(6 + i, 9) and got[20 + i] == f"{menu}\n{prose(20 + i, 9)}"
+
+
 # ---- 9 language model -----------------------------------------------------------------------
 
 
