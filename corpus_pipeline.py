@@ -38,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line equals or nearly equals."""
-    clean = lines.dedup_lines(docs, "doc_id", "text", threshold=2, min_chars=40)
+    clean = lines.dedup_lines(docs, "doc_id", "text", threshold=2, min_chars=40, fold_chars=1)
     return _sized(clean if "removed" in docs.columns else clean.drop("removed"))
 
 

@@ -1,7 +1,8 @@
 """Line dedup: of equal and nearly equal lines over all documents the first stays.
 
-Lines are compared in a normal form (trimmed, lower-cased), from ``min_chars``
-code points on. Equal lines are folded by hash. For the rest, a line is cut
+Lines are compared in a normal form (trimmed, lower-cased). Equal lines are
+folded by hash, from ``fold_chars`` code points on; nearly equal ones are looked
+for from ``min_chars`` on. For these, a line is cut
 into ``threshold + 1`` segments: within ``threshold`` edits of another line,
 one segment stays whole and moves little (pigeonhole), so an index of (length,
 segment number, segment text) is probed, for each length up to ``threshold``
@@ -21,8 +22,8 @@ narrow rows of hashes, and the texts of candidate lines. The copies of lines
 with more than one in ``HEAVY`` of all lines are left out of the index but for
 the first; there are fewer than ``HEAVY`` such lines, so they are broadcast.
 
-Defined results: a null text has no lines and stays null; short lines (and so
-empty ones) always stay; rows equal in id and text are edited alike, as one; an
+Defined results: a null text has no lines and stays null; lines shorter than
+``fold_chars`` and lines of white space alone always stay; rows equal in id and text are edited alike, as one; an
 empty table gives no rows.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.functions.detect import let
-from maskflow.llm.common import unused, write_table
+from maskflow.llm.common import SPACE_CHARS, unused, write_table
 
 #: A line with more than one in HEAVY of all lines is heavy.
 HEAVY = 10_000
@@ -52,10 +53,10 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, text_hash, line, hash, chars, body): the normal form of each long line."""
+    """(doc, text_hash, line, hash, chars, body): the normal form of each line of ``min_chars`` or more, but white space."""
     lines = F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")
     out = docs.select("doc", "text_hash", lines).select("doc", "text_hash", "line", _normal(F.col("raw")).alias("body"))
-    out = out.withColumn("chars", F.length("body")).filter(F.col("chars") >= min_chars)
+    out = out.withColumn("chars", F.length("body")).filter((F.col("chars") >= min_chars) & (F.translate("body", SPACE_CHARS, "") != ""))
     return out.withColumn("hash", F.xxhash64("body"))
 
 
@@ -274,13 +275,19 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), middle)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40) -> DataFrame:
-    """(doc, text_hash, removed): numbers, from 0, of the lines that go, for documents that lose any."""
-    lines = split_lines(_document(docs, id_col, text_col), min_chars)
+def removed_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40, fold_chars: int | None = None
+) -> DataFrame:
+    """(doc, text_hash, removed): numbers, from 0, of the lines that go, for documents that lose any.
+
+    ``fold_chars``: equal lines go from this length on, ``min_chars`` if it is not given.
+    """
+    lines = split_lines(_document(docs, id_col, text_col), min_chars if fold_chars is None else min(fold_chars, min_chars))
     narrow, _ = write_table(lines.select("doc", "text_hash", "line", "hash"), "lines")
     place = F.struct(F.isnull("doc").alias("none"), "doc", "text_hash", "line")
     firsts, _ = write_table(narrow.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
 
+    lines = lines.filter(F.col("chars") >= min_chars)
     # Copies of heavy lines beyond the first stay out of the index. At most HEAVY rows are broadcast.
     total = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     heavy = firsts.filter(F.col("copies") * HEAVY > total).select("hash", F.col("first").alias("own"))
@@ -300,13 +307,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40, fold_chars: int | None = None
+) -> DataFrame:
     """``docs`` without the lines that go, ``removed`` added: the numbers of the lines taken out.
 
     The texts are exchanged once, to meet the narrow list of their lines.
     """
     doc, its_hash, here, gone = unused(docs, "_doc", "_hash", "_here", "_gone")
-    found = removed_lines(docs, id_col, text_col, threshold, min_chars).select(
+    found = removed_lines(docs, id_col, text_col, threshold, min_chars, fold_chars).select(
         F.col("doc").alias(doc), F.col("text_hash").alias(its_hash), F.col("removed").alias(gone)
     )
     rows = docs.withColumn(here, F.xxhash64(text_col))

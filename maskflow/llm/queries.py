@@ -58,7 +58,7 @@ def op3_embedding_neardup(spark, sf):
 def op4_line_dedup(spark, sf):
     """Which lines of each document an earlier line, of any document, makes redundant."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    gone = lines.removed_lines(docs, "doc_id", "text", threshold=2, min_chars=40)
+    gone = lines.removed_lines(docs, "doc_id", "text", threshold=2, min_chars=40, fold_chars=1)
     n = F.when(F.isnull("text"), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     here = docs.select("doc_id", F.xxhash64("text").alias("_hash"), n.alias("n_lines"))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), "removed")

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskflow.llm import html, lattice, licenses, lines, masked_lm, mixing, packing, quality, secrets, simhash
+import corpus_pipeline
+from maskflow.llm import html, lattice, licenses, lines, masked_lm, mixing, packing, quality, queries, secrets, simhash
 from maskflow.llm.common import connected, word_count
 from maskflow.llm.queries import tokenizer_path
 
@@ -302,6 +303,15 @@ def test_common_line_stays_once(spark):
     assert sum(line in t for t in left) == 1 and all(prose(i, 12) in "\n".join(left) for i in range(200))
 
 
+def test_equal_short_lines_go(spark, tmp_path):
+    rows = [(1, "Menu\n\n\t\nbody one\nmenu", "s"), (2, " menu \n\n\t\nbody two", "s"), (3, None, "s")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [4], 2: [0], 3: []}
+    left = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "")
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: "Menu\n\n\t\nbody one", 2: "\n\t\nbody two", 3: None}
+
+
 # ---- 5 licenses ---------------------------------------------------------------------
 
 
