@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.llm import html, lattice, licenses, lines, masked_lm, mixing, packing, quality, secrets, simhash
+from maskflow.llm import conversation_trie, html, lattice, licenses, lines, masked_lm, mixing, packing, quality, secrets, simhash
 from maskflow.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,24 @@ def tokenizer_path() -> str:
 def op10_pack_sequences(spark, sf):
     """All documents packed into sequences of at most 2,048 tokens."""
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), "doc_id", "text", tokens=2048)
+
+
+@query
+def op11_conversation_trie(spark, sf):
+    """Trie nodes of all conversations, each with its first turns taken from the first of its five."""
+    turns = conversation_trie.number_turns(table(spark, sf, "conversations"))
+    conv = F.col("conv_id")
+    turns, convs = conversation_trie.rebuild(turns, F.crc32(conv.cast("string").cast("binary")) % 9, conv - conv % 5)
+    nodes, ends = conversation_trie.trie(turns, convs)
+    hashes = conversation_trie.hash_ends(conversation_trie.node_ends(ends))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(hashes, conversation_trie.KEY, "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("sha256", none).alias("ends_sha256"),
+    )
