@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.llm import conversation_trie, html, lattice, licenses, lines, masked_lm, mixing, packing, quality, secrets, simhash
+from maskflow.llm import conversation_trie, html, lattice, licenses, lines, masked_lm, mixing, packing, periodic, quality, secrets, simhash
 from maskflow.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,24 @@ def op11_conversation_trie(spark, sf):
         "saved_tokens",
         F.coalesce("sha256", none).alias("ends_sha256"),
     )
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    """Runs of the words of all documents, a tenth of which get a tail that repeats itself."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tail = periodic.repeat_tail(F.col("text"), F.floor(h / 10))
+    docs = table(spark, sf, "documents").select("doc_id", F.when(h % 10 == 0, tail).otherwise(F.col("text")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.longest_run(F.col("runs")))
+    each = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(each, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
