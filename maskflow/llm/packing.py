@@ -29,6 +29,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from maskflow.llm.common import write_table
 GROUP = 16384
 #: Bytes of words, and of pieces of words, in one of the generations that a worker remembers (some 500,000 words).
 REMEMBER = 5_000_000
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 8_000_000
 #: Stands between the ids of words; no id has such bytes, as ids are below 2^24.
 END_OF_WORD = b"\xff\xff\xff\xff"
 
@@ -122,27 +126,51 @@ class _Encoder:
     def is_plain(self, text: str) -> bool:
         return self.plain(text) is not None and not any(s in text for s in self.special)
 
-    def __call__(self, text: str) -> bytes:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end; a null text has none.
+
+        Each different word of the batch is looked up once.
+        """
         if self.word_bytes > REMEMBER:
             self.older_words, self.words, self.word_bytes = self.words, {}, 0
-        words = text.encode("utf-8", "surrogatepass").split()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         ids = list(map(self.words.get, words))
         if None in ids:
             self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
-            ids = map(self.words.__getitem__, words)
-        return b"".join(ids)
+            ids = list(map(self.words.__getitem__, words))
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        shift = np.repeat(first[codes] - ends[:-1], sizes)
+        return flat[np.arange(ends[-1]) + shift], ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
-def token_bytes(texts: Sequence[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers; a worker's encoder is kept between its tasks."""
+def encoder(path: str) -> _Encoder:
+    """The encoder of the tokenizer file ``path`` that a worker keeps between its tasks."""
     name = f"_packing_{zlib.crc32(path.encode())}"
     if name not in sys.modules:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         memory = types.ModuleType(name)
         memory.encode = _Encoder(path)
         sys.modules[name] = memory
-    encode = sys.modules[name].encode
-    return [encode(t or "") for t in texts]
+    return sys.modules[name].encode
+
+
+def in_slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``TOGETHER`` bytes of the column number ``text``; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    piece = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // TOGETHER if len(sizes) else sizes
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(low, high - low)
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -150,23 +178,24 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, tokens: int
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                some = batch.iloc[i : i + 256]
-                which, rows = [], []
-                for k, ids in enumerate(token_bytes(some["text"].tolist(), path)):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * tokens)):
-                        part = ids[at : at + 4 * tokens]
+            for some in in_slices(batch, 1):
+                ids, ends = encode.batch(some.column(1))
+                which, rows, at = [], [], 0
+                for k, stop in enumerate(ends.tolist()):
+                    whole = ids[at:stop].tobytes() + end
+                    for piece, low in enumerate(range(0, len(whole), 4 * tokens)):
+                        part = whole[low : low + 4 * tokens]
                         which.append(k)
-                        rows.append((piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                made = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-                made.insert(0, "doc_id", some["doc_id"].array.take(which))
-                yield made
+                        rows.append((piece, low // 4, len(part) // 4, zlib.crc32(part)))
+                    at = stop
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 3), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(which)), *made], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return wanted.mapInPandas(cut, f"doc_id {kind}, {PIECES}")
+    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return wanted.mapInArrow(cut, f"doc_id {kind}, {PIECES}")
 
 
 def best_fit(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.llm import conversation_trie, html, lattice, licenses, lines, masked_lm, mixing, packing, periodic, quality, secrets, simhash
+from maskflow.llm import conversation_trie, html, lattice, length_packing, licenses, lines, masked_lm, mixing, packing, periodic, quality, secrets, simhash
 from maskflow.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,9 @@ def op12_periodic_runs(spark, sf):
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_pack_lengths(spark, sf):
+    """All documents packed into windows of 4,096 tokens by combinations of their lengths."""
+    return length_packing.pack_lengths(table(spark, sf, "documents"), tokenizer_path(), "doc_id", "text", tokens=4096, end_id=2)
