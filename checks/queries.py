@@ -712,10 +712,9 @@ def audit_roundtrip(spark, sf):
 @query
 def audit_partial(spark, sf):
     """Placeholders cut by raw chunk limits, and by released pieces (none)."""
-    chunks, mappings = streamed(spark, sf)
-    raw = H.split_placeholders(chunks, mappings).withColumn("variant", F.lit("raw"))
-    held = H.split_placeholders(H.released_pieces(chunks, mappings), mappings)
-    return raw.unionByName(held.withColumn("variant", F.lit("held")))
+    rows = H.splits(*streamed(spark, sf))
+    variant = F.when(F.col("held"), "held").otherwise("raw")
+    return rows.select("request_id", "seq", "placeholder", variant.alias("variant"))
 
 
 @query

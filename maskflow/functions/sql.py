@@ -5,6 +5,33 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from maskflow.functions import patterns as P
+from maskflow.functions.restore import HINT, KEY, TOKEN
+
+
+def _unredact() -> str:
+    """The rule of ``maskflow.functions.restore`` in SQL: whole tokens, found by binary search."""
+    halves = ", ".join(str(1 << i) for i in range(30, -1, -1))
+    name = "regexp_extract(k, r'^([A-Z_]*_)[0-9]{4,}$', 1)"
+    prepared = f"""struct(
+        sort_array(map_entries(m)) AS e,
+        filter(array({halves}), s -> s <= size(map_keys(m))) AS steps,
+        transform(sort_array(transform(filter(array_distinct(transform(map_keys(m), k -> {name})), n -> n <> ''),
+            n -> struct(-length(n) AS less, n AS name))), s -> s.name) AS names)"""
+    last = """aggregate(d.steps, 0, (p, s) -> IF(p + s <= size(d.e) AND get(d.e, p + s - 1).key <= k, p + s, p))"""
+    found = f"""element_at(transform(array({last}), p -> IF(get(d.e, p - 1).key = k, get(d.e, p - 1), NULL)), 1)"""
+    digits = "regexp_extract(w, '[0-9]+$', 0)"
+    keys = f"transform(filter(d.names, n -> endswith(w, concat(n, {digits}))), n -> concat(n, {digits}))"
+    entry = f"get(filter(transform({keys}, k -> {found}), x -> x IS NOT NULL), 0)"
+    shown = f"""element_at(transform(array({entry}),
+        x -> IF(x IS NULL, w, concat(left(w, length(w) - length(x.key)), x.value))), 1)"""
+    odd = f"filter(map_entries(m), x -> NOT rlike(x.key, r'{KEY}'))"
+    text = f"aggregate({odd}, t, (a, x) -> replace(a, x.key, x.value))"
+    pieces = f"struct(split(u, r'{TOKEN}', -1) AS g, regexp_extract_all(u, r'({TOKEN})', 1) AS w, {prepared} AS d)"
+    joined = f"""concat(array_join(zip_with(slice(s.g, 1, size(s.w)),
+        element_at(transform(array(s.d), d -> transform(s.w, w -> {shown})), 1), (g, o) -> concat(g, o)), ''),
+        element_at(s.g, -1))"""
+    whole = f"element_at(transform(array({pieces}), s -> {joined}), 1)"
+    return f"IF(m IS NULL, t, element_at(transform(array({text}), u -> IF(rlike(u, '{HINT}'), {whole}, u)), 1))"
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -51,10 +78,7 @@ def register(spark: SparkSession) -> list[str]:
                 concat(array_join(zip_with(
                     slice(s.g, 1, size(s.h)), sort_array(concat({ranked})),
                     (g, r) -> concat(g, r.ph)), ''), element_at(s.g, -1)))), 1)""",
-        "unredact(t STRING, m MAP<STRING, STRING>) RETURNS STRING": (
-            "IF(m IS NULL, t,"
-            " aggregate(map_entries(m), t, (a, e) -> replace(a, e.key, e.value)))"
-        ),
+        "unredact(t STRING, m MAP<STRING, STRING>) RETURNS STRING": _unredact(),
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -2,173 +2,175 @@
 
 Let T be all chunks of a request joined, c_k its length after chunk k, and L
 the longest placeholder of the request. After chunk k the text up to
-``snap(c_k - L)`` is released, where ``snap`` moves a cut that would split a
-known placeholder to its start. The rest is released at the end. So each
-output depends only on the 2 L characters before its chunk, and T can be
-handled in blocks.
+``c_k - L`` is released, or up to the start of a placeholder that this would
+split. The rest is released at the end. So each output depends only on the 2 L
+characters before its chunk.
+
+Chunks are dealt by request and fixed range of ``seq``, once. A request of any
+length spreads over as many tasks as it has ranges; what a range needs to know
+of the text before it comes from the last characters of the ranges before, one
+narrow row each. The entries of a mapping are looked up by a join of the
+placeholders in each range, so no range carries a mapping along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskflow.functions.detect import let
-from maskflow.functions.restore import holdback_length, snap, unredact
+from maskflow.functions.restore import (
+    HINT,
+    TOKEN,
+    asked_keys,
+    holdback_length,
+    prepare,
+    restore,
+    straddling,
+    type_names,
+    unredact,
+)
 from maskflow.operators.completion import nonempty_chunks
-from maskflow.operators.prefix import running_totals
 
-BLOCK = 4096
-# Blocks per segment: a request's mapping is repeated once per segment.
-SEGMENT = 256
+#: Values of ``seq`` in a range: few, as places in a text are counted from its start.
+RANGE = 64
+#: Ranges before one in which its 2 L characters are looked for; each has a character at least.
+BEFORE = 1024
 
+_ENTRIES = "array<struct<key:string,value:string>>"
+_KEYS = ["request_id", "block"]
 
-def _plan(
-    chunks: DataFrame, mappings: DataFrame, parts: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """Blocks of text and, per (request, segment), what they need to know.
 
-    A block has the chunks that start in its ``BLOCK`` characters, preceded by
-    the last characters before it. A request of any length spreads over as
-    many tasks as it has blocks; its mapping is repeated once per segment.
-    """
-    longest = mappings.agg(F.max(holdback_length(F.col("mapping")))).first()[0] or 0
-    margin = 2 * longest
-    sized = nonempty_chunks(chunks).select(
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """(request_id, block, pieces): the chunks of each range of ``seq``, in order."""
+    rows = nonempty_chunks(chunks).select(
         "request_id",
-        F.col("seq").cast("long").alias("seq"),
-        "content",
-        F.length("content").cast("long").alias("size"),
-    )
-    placed = running_totals(
-        sized, ["seq"], {"start": "size"}, group=["request_id"], parts=parts
-    ).withColumn("end", F.col("start") + F.col("size"))
-
-    # The block a chunk starts in, and later blocks that need its last characters.
-    own, after = F.expr(f"`start` div {BLOCK}"), F.expr(f"`end` div {BLOCK}")
-    near = F.when(F.col("end") > (after + 1) * BLOCK - margin, after + 1)
-    targets = F.array_distinct(F.array_compact(F.array(own, after, near)))
-    spread = placed.withColumns({"_own": own, "_to": targets})
-    spread = spread.withColumn("block", F.explode_outer("_to"))
-    is_own = F.col("block") == F.col("_own")
-    kept = F.when(is_own, F.col("size")).otherwise(
-        F.least(F.col("size"), F.col("end") - F.col("block") * BLOCK + margin)
+        F.floor(F.col("seq") / RANGE).alias("block"),
+        F.struct(F.col("seq").cast("long").alias("seq"), "content").alias("piece"),
     )
-    piece = F.struct(
-        (F.col("end") - kept).alias("start"),
-        "seq",
-        is_own.alias("own"),
-        F.right(F.col("content"), kept.cast("int")).alias("content"),
+    return rows.groupBy(*_KEYS).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+
+
+def _joined(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: p["content"]), "")
+
+
+def _texts(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Ranges as text, preceded by what stands before them, with the entries of their placeholders.
+
+    Columns: request_id, block, is_last, hold, base (characters before), text, pieces, known.
+    """
+    blocks = _blocks(chunks)
+    facts = mappings.select(
+        "request_id", holdback_length(F.col("mapping")).alias("hold"), type_names(F.map_keys("mapping")).alias("names")
     )
-    # Totals are made per request; without a new exchange so would the blocks be.
-    blocks = (
-        spread.repartition("request_id", "block")
-        .groupBy("request_id", "block")
-        .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-        .filter(F.exists("pieces", lambda p: p["own"]))
-        .withColumn("segment", F.expr(f"block div {SEGMENT}"))
+    # A scalar subquery: part of the same query, no job of its own.
+    margin = (2 * F.coalesce(facts.agg(F.max("hold")).scalar(), F.lit(0))).cast("int")
+    too_long = F.raise_error(F.lit(f"placeholders of more than {BEFORE // 2} characters")).cast("int")
+    margin = F.when(margin > BEFORE, too_long).otherwise(margin)
+    order = Window.partitionBy("request_id").orderBy("block")
+    earlier = order.rowsBetween(-BEFORE, -1)
+    ends = blocks.select(*_KEYS, F.right(_joined(F.col("pieces")), margin).alias("end"))
+    around = ends.select(
+        *_KEYS,
+        F.array_join(F.collect_list("end").over(earlier), "").alias("before"),
+        F.lead("block").over(order).isNull().alias("is_last"),
+    ).join(facts, "request_id", "left")
+    around = around.withColumns(
+        {
+            "hold": F.coalesce("hold", F.lit(0)),
+            "names": F.coalesce("names", F.array().cast("array<string>")),
+            "before": F.right("before", (2 * F.coalesce("hold", F.lit(0))).cast("int")),
+        }
     )
-    ends = placed.groupBy("request_id").agg(
-        F.max("end").alias("total"), F.max(own).alias("last_block")
+    texts = blocks.join(around, _KEYS).withColumns(
+        {"base": F.length("before"), "text": F.concat("before", _joined(F.col("pieces")))}
     )
-    segments = F.expr(f"sequence(0L, last_block div {SEGMENT})")
-    known = (
-        ends.join(mappings.select("request_id", "mapping"), "request_id", "left")
-        .withColumn("segment", F.explode(segments))
+
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)))
+    keys = F.array_distinct(F.flatten(F.transform(tokens, lambda t: asked_keys(t, F.col("names"), F.col("hold")))))
+    asked = texts.filter((F.size("names") > 0) & F.col("text").rlike(HINT))
+    asked = asked.select(*_KEYS, F.explode(keys).alias("key"))
+    # A key cut short at either end of the text may be asked for, too; it is no token there.
+    entries = mappings.select("request_id", F.explode("mapping").alias("key", "value"))
+    found = asked.join(entries, ["request_id", "key"]).groupBy(*_KEYS)
+    found = found.agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+    entries = F.coalesce("entries", F.array().cast(_ENTRIES))
+    return texts.join(found, _KEYS, "left").select(
+        *_KEYS, "is_last", "hold", "base", "text", "pieces", prepare(entries, F.col("names")).alias("known")
     )
-    return blocks, known
 
 
-def _texts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks as text, with the placeholders that occur in them."""
-    text = F.array_join(F.transform("pieces", lambda p: p["content"]), "")
-    joined = blocks.join(known, ["request_id", "segment"]).select(
-        "request_id",
-        "segment",
-        "total",
-        "mapping",
-        (F.col("block") == F.col("last_block")).alias("is_last"),
-        F.element_at("pieces", 1)["start"].alias("base"),
-        F.filter("pieces", lambda p: p["own"]).alias("pieces"),
-        holdback_length(F.col("mapping")).alias("hold"),
-        text.alias("text"),
+def _ends() -> Column:
+    """Where each piece ends in the text, after where the first one starts."""
+    start = F.array(F.col("base"))
+    return F.aggregate(
+        "pieces", start, lambda all_, p: F.concat(all_, F.array(F.element_at(all_, -1) + F.length(p["content"])))
     )
-    here = F.filter(F.map_keys("mapping"), lambda k: F.contains(F.col("text"), k))
-    return joined.withColumn("keys", F.coalesce(here, F.array().cast("array<string>")))
 
 
-def _released(texts: DataFrame, restored: bool) -> DataFrame:
-    """request_id, segment, seq and the released ``text`` (the rest: null ``seq``).
+def _split_by(at: Column) -> Column:
+    """The known placeholder that a cut of the text at ``at`` splits, as of ``straddling``."""
+    hold = F.col("hold")
+    low = F.greatest(at - hold, F.lit(0))
+    head, tail = F.substring(F.col("text"), low + 1, at - low), F.substring(F.col("text"), at + 1, hold)
+    return straddling(head, tail, F.col("known"))
 
-    Everything is cut inside the block, so that no row carries its block along.
-    """
-    hold, base = F.col("hold"), F.col("base")
+
+def _cuts() -> Column:
+    """Up to where the text is released at the end of each piece, after where it was before."""
 
     def cut(end: Column) -> Column:
-        at = F.greatest(F.greatest(end - hold, F.lit(0)) - base, F.lit(0)).cast("int")
+        def moved(at: Column) -> Column:
+            return at - F.coalesce(_split_by(at)["ahead"], F.lit(0))
 
-        def moved(c: Column) -> Column:
-            # Only the characters around the cut can hold a placeholder that it splits.
-            around = F.substring(F.col("text"), c["low"] + 1, c["at"] + hold - c["low"])
-            return let(around, lambda w: c["low"] + snap(w, c["at"] - c["low"], F.col("keys")))
+        return let(F.greatest(end - F.col("hold"), F.lit(0)), moved)
 
-        both = F.struct(at.alias("at"), F.greatest(at - hold, F.lit(0)).alias("low"))
-        return F.when(F.size("keys") == 0, at).otherwise(let(both, moved))
+    plain = F.transform(_ends(), lambda end: F.greatest(end - F.col("hold"), F.lit(0)))
+    return F.when(F.size("known.entries") == 0, plain).otherwise(F.transform(_ends(), cut))
 
-    ends = F.transform("pieces", lambda p: p["start"] + F.length(p["content"]))
-    ends = F.concat(F.array(F.element_at("pieces", 1)["start"]), ends)
+
+def _released(texts: DataFrame, restored: bool) -> DataFrame:
+    """request_id, block, seq and the released ``text`` (the rest: null ``seq``)."""
 
     def release(cuts: Column) -> Column:
         def one(seq: Column, low: Column, high: Column) -> Column:
             raw = F.substring(F.col("text"), low + 1, high - low)
-            out = unredact(raw, F.col("mapping")) if restored else raw
+            out = restore(raw, F.col("known")) if restored else raw
             return F.struct(seq.alias("seq"), out.alias("text"))
 
-        said = F.transform(
-            "pieces", lambda p, i: one(p["seq"], F.get(cuts, i), F.get(cuts, i + F.lit(1)))
-        )
+        said = F.transform("pieces", lambda p, i: one(p["seq"], F.get(cuts, i), F.get(cuts, i + F.lit(1))))
         rest = one(F.lit(None).cast("long"), F.element_at(cuts, -1), F.length("text"))
         kind = "array<struct<seq:long,text:string>>"
         tail = F.when(F.col("is_last"), F.array(rest)).otherwise(F.array().cast(kind))
         return F.concat(said.cast(kind), tail.cast(kind))
 
-    rows = texts.select(
-        "request_id", "segment", let(F.transform(ends, cut), release).alias("_out")
-    ).select("request_id", "segment", F.explode_outer("_out").alias("s"))
-    return rows.select("request_id", "segment", "s.seq", "s.text")
+    rows = texts.select(*_KEYS, F.explode(let(_cuts(), release)).alias("s"))
+    return rows.select(*_KEYS, "s.seq", "s.text")
 
 
-def release_chunks(
-    chunks: DataFrame, mappings: DataFrame, parts: int | None = None
-) -> DataFrame:
+def release_chunks(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
     """What each chunk releases, and what is left at the end.
 
     ``chunks``: request_id, seq (unique per request), content; ``mappings``:
     request_id (unique), mapping. Gives request_id, seq, content; a chunk that
     releases nothing has '', the rest of a request has a null ``seq``.
     """
-    released = _released(_texts(*_plan(chunks, mappings, parts)), restored=True)
+    released = _released(_texts(chunks, mappings), restored=True)
     return released.select("request_id", "seq", F.col("text").alias("content"))
 
 
-def full_answers(
-    chunks: DataFrame, mappings: DataFrame, parts: int | None = None
-) -> DataFrame:
+def full_answers(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
     """The whole answer of each request, as received and restored.
 
     Gives request_id, llm_response_redacted, final_response: one row per
     request that has a mapping or a chunk, of whatever length; a request
-    without text has ''.
+    without text has ''. Answers are put together from ranges, not chunk by chunk.
     """
-    blocks, known = _plan(chunks, mappings, parts)
-    # The rest has no seq and comes last.
-    piece = F.struct(F.col("seq").isNull().alias("rest"), "seq", "text")
-    whole = (
-        _released(_texts(blocks, known), restored=False)
-        .groupBy("request_id")
-        .agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-        .select("request_id", F.array_join("_pieces.text", "").alias("raw"))
-    )
+    part = F.struct("block", _joined(F.col("pieces")).alias("text"))
+    whole = _blocks(chunks).select("request_id", part.alias("part")).groupBy("request_id")
+    whole = whole.agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = whole.select("request_id", F.array_join("parts.text", "").alias("raw"))
     asked = chunks.select("request_id").distinct()
     asked = asked.join(mappings.select("request_id", "mapping"), "request_id", "full")
     raw = F.coalesce("raw", F.lit(""))
@@ -179,11 +181,7 @@ def full_answers(
     )
 
 
-def released_pieces(
-    chunks: DataFrame, mappings: DataFrame, parts: int | None = None
-) -> DataFrame:
-    """The released pieces before restoring, as chunks again (rest: last seq + 1)."""
-    released = _released(_texts(*_plan(chunks, mappings, parts)), restored=False)
+def _held(chunks: DataFrame, released: DataFrame) -> DataFrame:
     last = chunks.groupBy("request_id").agg((F.max("seq") + 1).cast("long").alias("_after"))
     rest = released.filter(F.col("seq").isNull()).join(last, "request_id")
     rest = rest.select("request_id", F.col("_after").alias("seq"), F.col("text").alias("content"))
@@ -191,27 +189,41 @@ def released_pieces(
     return pieces.select("request_id", "seq", F.col("text").alias("content")).unionByName(rest)
 
 
-def split_placeholders(
-    chunks: DataFrame, mappings: DataFrame, parts: int | None = None
-) -> DataFrame:
+def released_pieces(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The released pieces before restoring, as chunks again (rest: last seq + 1)."""
+    return _held(chunks, _released(_texts(chunks, mappings), restored=False))
+
+
+def split_placeholders(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
     """Known placeholders that the limit before a chunk cuts in two.
 
     An occurrence is reported at the chunk in which it ends.
     """
+    return splits(chunks, mappings).filter("NOT held").drop("held")
+
+
+def splits(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(request_id, seq, placeholder, held): what the limits before chunks split, as they
+    come (``held`` false) and as they are released (true: nothing, or the rule is broken).
+
+    Both are read off the same ranges: the places of the chunks, and of the cuts.
+    """
+
+    def at(limits: Column, held: bool) -> Column:
+        """Placeholders split by the limit before each piece, if they end in it."""
+
+        def one(p: Column, i: Column) -> Column:
+            low, high = F.get(limits, i), F.get(limits, i + F.lit(1))
 
-    def cuts(p: Column) -> Column:
-        at = (p["start"] - F.col("base")).cast("int")
-        reach = at + F.length(p["content"])
+            def whole(s: Column) -> Column:
+                return F.when(low + s["rest"] <= high, s["key"])
 
-        def straddles(key: Column) -> Column:
-            size = F.length(key)
-            low = F.greatest(at - size + 1, F.lit(0))
-            high = F.least(at + size - 1, reach)
-            return (at > 0) & (F.instr(F.substring(F.col("text"), low + 1, high - low), key) > 0)
+            cut = F.when(low > 0, _split_by(low))
+            return F.struct(p["seq"].alias("seq"), let(cut, whole).alias("placeholder"), F.lit(held).alias("held"))
 
-        return F.struct(p["seq"].alias("seq"), F.filter("keys", straddles).alias("keys"))
+        return F.transform("pieces", one)
 
-    texts = _texts(*_plan(chunks, mappings, parts))
-    rows = texts.select("request_id", F.transform("pieces", cuts).alias("_cuts"))
-    rows = rows.select("request_id", F.explode_outer("_cuts").alias("c"))
-    return rows.select("request_id", "c.seq", F.explode("c.keys").alias("placeholder"))
+    texts = _texts(chunks, mappings).filter(F.size("known.entries") > 0)
+    both = F.concat(let(_ends(), lambda e: at(e, False)), let(_cuts(), lambda c: at(c, True)))
+    rows = texts.select("request_id", F.explode(both).alias("s")).select("request_id", "s.*")
+    return rows.filter("placeholder IS NOT NULL").select("request_id", "seq", "placeholder", "held")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from maskflow.functions.restore import Restorer
 from maskflow.operators.completion import STREAM_FAILED
 from maskflow.operators.masking import mask_requests
 
@@ -107,45 +108,35 @@ def call_model(
     return sent.mapInPandas(call, TAGGED)
 
 
-def _restore(text: str, mapping: dict[str, str]) -> str:
-    for name, original in mapping.items():
-        text = text.replace(name, original)
-    return text
-
-
-def _safe_length(buffer: str, mapping: dict[str, str], hold: int) -> int:
-    """How many characters of the buffer may go out without splitting a placeholder."""
-    cut = max(0, len(buffer) - hold)
-    for name in mapping:
-        if cut:
-            at = buffer.find(name, max(0, cut - len(name) + 1), cut + len(name) - 1)
-            cut = cut if at < 0 else at
-    return cut
-
-
 def _events(keep_final: bool, timeout_ms: int | None):
     """The state function. State is one JSON text per request."""
+    made: dict = {}
+
+    def restorer(opened: dict) -> Restorer:
+        if made.get("of") is not opened:
+            made.update(of=opened, rule=Restorer(opened.get("mappings") or {}))
+        return made["rule"]
 
     def drain(s: dict) -> Iterator[tuple]:
         while s["open"] is not None and str(s["next"]) in s["early"]:
             kind, content = s["early"].pop(str(s["next"]))
             seq, s["next"] = s["next"], s["next"] + 1
-            mapping = s["open"].get("mappings") or {}
+            rule = restorer(s["open"])
             if kind == "chunk" and content:
                 s["buffer"] += content
                 if keep_final:
                     s["full"].append(content)
-                cut = _safe_length(s["buffer"], mapping, s["hold"])
-                out, s["buffer"] = _restore(s["buffer"][:cut], mapping), s["buffer"][cut:]
+                cut = rule.safe_length(s["buffer"])
+                out, s["buffer"] = rule.restore(s["buffer"][:cut]), s["buffer"][cut:]
                 if out:
                     yield "chunk", seq, out, None
             elif kind == "end":
                 if s["buffer"]:
-                    yield "chunk", None, _restore(s["buffer"], mapping), None
+                    yield "chunk", None, rule.restore(s["buffer"]), None
                 full = "".join(s["full"]) if keep_final else None
                 final = {
                     "llm_response_redacted": full,
-                    "final_response": _restore(full, mapping) if keep_final else None,
+                    "final_response": rule.restore(full) if keep_final else None,
                 }
                 yield "final", None, None, json.dumps(final)
                 s["done"] = True
@@ -162,8 +153,6 @@ def _events(keep_final: bool, timeout_ms: int | None):
         if kind == "open":
             if s["open"] is None:
                 s["open"] = json.loads(content)
-                names = s["open"].get("mappings") or {}
-                s["hold"] = max(map(len, names), default=0)
                 yield "metadata", None, None, content
         elif seq >= s["next"]:
             s["early"].setdefault(str(seq), (kind, content))
@@ -194,7 +183,7 @@ def _events(keep_final: bool, timeout_ms: int | None):
             s = json.loads(state.get[0])
         else:
             s = {
-                "open": None, "hold": 0, "next": 0, "early": {}, "buffer": "",
+                "open": None, "next": 0, "early": {}, "buffer": "",
                 "full": [], "events": 0, "done": False,
             }
         if s.get("closed"):

@@ -1,11 +1,13 @@
 """Released chunks against a model of a reader that gets chunk after chunk."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import maskflow as mf
+from maskflow.functions.restore import Restorer
 from maskflow.operators import holdback as H
 
 
@@ -41,8 +43,8 @@ def tables(spark, cases):
     )
 
 
-def check(spark, cases, parts=None):
-    got = mf.release_chunks(*tables(spark, cases), parts=parts).collect()
+def check(spark, cases):
+    got = mf.release_chunks(*tables(spark, cases)).collect()
     by = {(r.request_id, r.seq): r.content for r in got}
     assert len(by) == len(got)
     for i, (chunks, mapping) in enumerate(cases):
@@ -91,19 +93,17 @@ def cases(n, size, seed):
     return out
 
 
-@pytest.mark.parametrize("parts", [None, 5])
-def test_random(spark, parts):
-    check(spark, cases(150, 20, 5), parts)
+def test_random(spark):
+    check(spark, cases(150, 20, 5))
 
 
-@pytest.mark.parametrize("parts", [None, 6])
-def test_long_request_spreads_over_blocks(spark, monkeypatch, parts):
-    monkeypatch.setattr(H, "BLOCK", 64)
-    monkeypatch.setattr(H, "SEGMENT", 4)
-    many = cases(6, 1500, 8) + cases(30, 10, 9)
-    check(spark, many, parts)
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_long_request_spreads_over_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(H, "RANGE", size)
+    many = cases(6, 600, 8) + cases(30, 10, 9)
+    check(spark, many)
     chunks, mappings = tables(spark, many)
-    rows = mf.full_answers(chunks, mappings, parts=parts).collect()
+    rows = mf.full_answers(chunks, mappings).collect()
     assert len(rows) == len(many)
     for i, (cs, mapping) in enumerate(many):
         mine = [r for r in rows if r.request_id == i]
@@ -127,10 +127,63 @@ def test_split_placeholders(spark):
             start = end
     got = H.split_placeholders(chunks, mappings).collect()
     assert want and {tuple(r) for r in got} == want
+    assert H.splits(chunks, mappings).filter("held").count() == 0
     held = H.released_pieces(chunks, mappings)
     assert H.split_placeholders(held, mappings).count() == 0
 
 
+def many_hits(n):
+    """A request with n placeholders, beyond four digits, and its answer in chunks."""
+    mapping = {f"EMAIL_ADDRESS_{i:04d}": f"<{i}>" for i in range(1, n + 1)}
+    return ["".join(f"{k}, " for k in list(mapping)[i : i + 3]) for i in range(0, n, 3)], mapping
+
+
+def test_more_than_ten_thousand_hits(spark):
+    chunks, mapping = many_hits(10_500)
+    want = "".join(f"<{i}>, " for i in range(1, 10_501))
+    both = tables(spark, [(chunks, mapping)])
+    out = mf.release_chunks(*both).collect()
+    shown = sorted(out, key=lambda r: (r.seq is None, r.seq))
+    assert "".join(r.content for r in shown) == want
+    (answer,) = mf.full_answers(*both).collect()
+    assert answer.final_response == want
+
+
+def test_time_grows_with_the_hits_alone(spark):
+    def seconds(n):
+        both = [d.cache() for d in tables(spark, [many_hits(n)])]
+        for d in both:
+            d.count()
+        mf.full_answers(*both).collect()
+        began = time.perf_counter()
+        mf.full_answers(*both).collect()
+        mf.release_chunks(*both).collect()
+        return time.perf_counter() - began
+
+    few, many = seconds(4_000), seconds(16_000)
+    assert many < 6 * few + 1
+
+
+def test_unknown_longer_tokens_are_not_misread(spark):
+    # However it is cut, the number 00015 is not 0001 and a 5.
+    text = "to EMAIL_ADDRESS_00015 and MYUS_SSN_0001, EMAIL_ADDRESS_0001 US_SSN_000123"
+    mapping = {"EMAIL_ADDRESS_0001": "a@b.c", "US_SSN_0001": "856"}
+    want = "to EMAIL_ADDRESS_00015 and MY856, a@b.c US_SSN_000123"
+    cuts = [([text[:i], text[i:j], text[j:]], mapping) for i in range(1, len(text), 2) for j in range(i + 1, len(text), 5)]
+    out = {}
+    for r in sorted(mf.release_chunks(*tables(spark, cuts)).collect(), key=lambda r: (r.seq is None, r.seq)):
+        out[r.request_id] = out.get(r.request_id, "") + r.content
+    assert out == dict.fromkeys(range(len(cuts)), want)
+    reader = Restorer(mapping)
+    for chunks, _ in cuts:
+        shown, held = "", ""
+        for c in chunks:
+            held += c
+            cut = reader.safe_length(held)
+            shown, held = shown + reader.restore(held[:cut]), held[cut:]
+        assert shown + reader.restore(held) == want
+
+
 def test_empty_chunks_count_for_nothing(spark):
     chunks = spark.createDataFrame(
         [(1, 0, "a"), (1, 1, None), (1, 2, ""), (1, 3, "b")], "request_id long, seq long, content string"

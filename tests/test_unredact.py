@@ -1,9 +1,12 @@
 """Restoring: literals."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import maskflow as mf
+from maskflow.functions.restore import Restorer
 
 ALL = {"US_SSN_0001": "123-45-6789", "EMAIL_ADDRESS_0001": "john@example.com", "PHONE_NUMBER_0001": "555-123-4567"}
 LETTER = "Dear US_SSN_0001,\n\n    Your email EMAIL_ADDRESS_0001 is fine.\n\n    Call PHONE_NUMBER_0001."
@@ -30,11 +33,40 @@ def test_literals(spark, text, mapping, want):
     assert row[0] == row[1] == want
 
 
-def test_where_the_two_forms_differ(spark):
-    """Entry by entry replaces inside a longer token; token by token does not."""
-    df = spark.createDataFrame([("US_SSN_00012", {"US_SSN_0001": "x"})], "t string, m map<string,string>")
+@pytest.mark.parametrize(
+    "text, mapping, want",
+    [
+        ("US_SSN_00012", {"US_SSN_0001": "x"}, "US_SSN_00012"),
+        ("EMAIL_ADDRESS_10000 EMAIL_ADDRESS_1000", {"EMAIL_ADDRESS_1000": "a", "EMAIL_ADDRESS_10000": "b"}, "b a"),
+        ("MYUS_SSN_0001 US_SSN_EMAIL_ADDRESS_0001", {"US_SSN_0001": "x", "EMAIL_ADDRESS_0001": "y"}, "MYx US_SSN_y"),
+        ("TAX_ID_0001 ID_0001", {"ID_0001": "i", "TAX_ID_0001": "t"}, "t i"),
+        ("A_0001B_0001", {"A_0001": "B_0001", "B_0001": "z"}, "B_0001z"),
+        ("_0001 __0001 A_B_0001é", {"_0001": "x", "A_B_0001": "$0"}, "x _x $0é"),
+    ],
+)
+def test_whole_tokens(spark, text, mapping, want):
+    """Never inside a longer number, the longest placeholder, nothing read twice."""
+    df = spark.createDataFrame([(text, mapping)], "t string, m map<string,string>")
     row = df.select(mf.unredact(F.col("t"), F.col("m")), mf.unredact_tokens(F.col("t"), F.col("m"))).first()
-    assert tuple(row) == ("x2", "US_SSN_00012")
+    assert row[0] == row[1] == want == Restorer(mapping).restore(text)
+
+
+def test_other_keys_are_replaced_literally(spark):
+    df = spark.createDataFrame([("name is {n}, US_SSN_0001", {"{n}": "Jo", "US_SSN_0001": "856"})], "t string, m map<string,string>")
+    assert df.select(mf.unredact(F.col("t"), F.col("m"))).first()[0] == "name is Jo, 856"
+
+
+def test_only_some_entities(spark):
+    df = spark.createDataFrame([("US_SSN_0001 EMAIL_ADDRESS_0001", ALL)], "t string, m map<string,string>")
+    assert df.select(mf.unredact_tokens(F.col("t"), F.col("m"), ["US_SSN"])).first()[0] == "123-45-6789 EMAIL_ADDRESS_0001"
+
+
+def test_long_runs_of_letters_are_linear(spark):
+    df = spark.range(1).select(F.expr("repeat('A_', 1000000)").alias("t"), F.expr("map('US_SSN_0001', 'x')").alias("m"))
+    text = F.concat("t", F.lit("_0001 US_SSN_0001 "), "t", F.lit("_000"))
+    began = time.perf_counter()
+    assert df.select(F.length(mf.unredact(text, F.col("m")))).first()[0] == 4_000_000 + 5 + 3 + 4
+    assert time.perf_counter() - began < 20
 
 
 def test_holdback_length(spark):
