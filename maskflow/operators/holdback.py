@@ -43,7 +43,9 @@ _KEYS = ["request_id", "block"]
 
 def _blocks(chunks: DataFrame) -> DataFrame:
     """(request_id, block, pieces): the chunks of each range of ``seq``, in order."""
-    rows = nonempty_chunks(chunks).select(
+    # Said here, as joins would else infer it for some readers, and the others could not share the exchange.
+    named = nonempty_chunks(chunks).filter("request_id IS NOT NULL AND seq IS NOT NULL")
+    rows = named.select(
         "request_id",
         F.floor(F.col("seq") / RANGE).alias("block"),
         F.struct(F.col("seq").cast("long").alias("seq"), "content").alias("piece"),
@@ -113,8 +115,13 @@ def _split_by(at: Column) -> Column:
     """The known placeholder that a cut of the text at ``at`` splits, as of ``straddling``."""
     hold = F.col("hold")
     low = F.greatest(at - hold, F.lit(0))
-    head, tail = F.substring(F.col("text"), low + 1, at - low), F.substring(F.col("text"), at + 1, hold)
-    return straddling(head, tail, F.col("known"))
+    around = F.substring(F.col("text"), low + 1, at - low + hold)
+
+    def split(w: Column) -> Column:
+        inside = straddling(F.left(w, at - low), F.substring(w, at - low + 1, hold), F.col("known"))
+        return F.when(F.contains(w, F.lit("_")), inside)
+
+    return let(around, split)
 
 
 def _cuts() -> Column:
