@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions import patterns as P
 
-_MARK = "\x01"
+_MARK, _OTHER = "\x01\x03", "\x01\x02"
 _SPANS = "array<struct<entity_type:string,start:int,end:int,value:string,pos:int>>"
 
 
@@ -51,7 +51,7 @@ def has_pii(text: Column, entities: Sequence[str] | None = None) -> Column:
 def hit_values(text: Column, entities: Sequence[str] | None = None) -> Column:
     """All hits of ``text`` from left to right; empty for null or clean text."""
     rules = P.pick(entities)
-    found = F.regexp_extract_all(text, F.lit(P.spark_pattern(rules)), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(P.spark_pattern(rules)), F.lit(P.HIT))
     none = F.array().cast("array<string>")
     return F.when(may_have_pii(text, entities), found).otherwise(none)
 
@@ -60,11 +60,17 @@ def gaps(text: Column, entities: Sequence[str] | None = None) -> Column:
     """The text around the hits: one piece more than there are hits.
 
     A regular split compiles its pattern for each row. So the hits become a
-    character that is rare, and a text that has it takes the slow way.
+    mark of two control characters; if the text has the first one, it is
+    followed by another second one there, which makes no difference to the rules.
     """
-    pattern = P.spark_pattern(P.pick(entities))
-    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(_MARK)), _MARK, -1)
-    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
+    pattern, before = P.spark_pattern(P.pick(entities)), f"${P.BEFORE}"
+
+    def cut(t: Column) -> Column:
+        return F.split(F.regexp_replace(t, F.lit(pattern), F.lit(f"{before}{_MARK}")), _MARK, -1)
+
+    escaped = cut(F.replace(text, F.lit(_MARK[0]), F.lit(_OTHER)))
+    plain = F.transform(escaped, lambda g: F.replace(g, F.lit(_OTHER), F.lit(_MARK[0])))
+    return F.when(F.contains(text, F.lit(_MARK[0])), plain).otherwise(cut(text))
 
 
 def entity_of(value: Column, entities: Sequence[str] | None = None) -> Column:

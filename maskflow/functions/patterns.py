@@ -6,11 +6,11 @@ the Java engine, which needs its own rendering for three reasons:
 * ``\\b`` is not ASCII-only there, so it becomes explicit look-arounds;
 * a repeated group recurses once per round and overflows the stack on a text
   with a very long dotted name, so repeats are possessive (they iterate);
-* an e-mail attempt at every dot of a long run would be quadratic. A start is
-  tried only where no earlier start in the same run exists, which a look at
-  the separators before tells (Java wants a bound; more than 1,000 separators in
-  a row cost time, never a hit). ``\\G`` keeps the one exception, a run cut by
-  the previous hit.
+* an e-mail attempt at every dot of a long run would be quadratic. So it is
+  tried once, where a run of its characters begins: the separators there are
+  taken along, as group ``BEFORE``, and the hit is the group ``HIT`` behind them.
+  An e-mail starts at the first word character of its run, so no other start
+  can be missed. ``\\G`` keeps the one exception, a run cut by the previous hit.
 
 Both forms find the same hits; the tests compare them on random texts.
 """
@@ -21,14 +21,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 _W = "[0-9A-Za-z_]"
+_LOCAL = "[A-Za-z0-9._%+-]"
 _ENDS = f"(?!{_W})"
 _EDGE = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 _TLD = f"[A-Za-z]{{2,}}+{_ENDS}"
 # A digit that starts a word; the cheap test comes first.
 _FIRST_DIGIT = f"[0-9](?<!{_W}[0-9])"
-# Where a hit of any rule can start.
+# Where a hit of a rule other than e-mail can start.
 _START = rf"(?:(?<!{_W})|(?=[+(])|\G)"
 
+#: Groups of ``spark_pattern``: what stands before the hit and belongs to the text, and the hit.
+BEFORE, HIT = 1, 4
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,8 +48,7 @@ class Rule:
 EMAIL = Rule(
     "EMAIL_ADDRESS",
     r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
-    rf"(?:(?<!{_W})(?={_W}++[.%+@-])(?:(?<![.%+-])|(?<!{_W}[.%+-]{{1,1000}}))|\G{_EDGE})"
-    r"[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-])"
+    rf"{_LOCAL}++@(?=[A-Za-z0-9-])"
     rf"(?:[A-Za-z0-9-]*+(?:\.(?!{_TLD})[A-Za-z0-9-]++)*+\.{_TLD})++",
     r"@",
     r"@",
@@ -86,7 +89,17 @@ def canonical_pattern(rules: Sequence[Rule]) -> str:
 
 
 def spark_pattern(rules: Sequence[Rule]) -> str:
-    return f"{_START}(?:{'|'.join(r.spark for r in rules)})"
+    """The Java rendering; a hit is its group ``HIT``, after the group ``BEFORE``."""
+    others = [r.spark for r in rules if r is not EMAIL]
+    if EMAIL not in rules:
+        return f"{_START}()()()({'|'.join(others)})"
+    # A number that starts with one of the separators comes first.
+    plus = rf"(?!{PHONE.spark})\+" if PHONE in rules else r"\+"
+    run = rf"(?<!{_LOCAL})((?:[.%-]|{plus})*+)()(?={_W})"
+    # An empty group that is set tells that an e-mail may start here.
+    email = rf"(?:\2|\3){EMAIL.spark}"
+    start = f"|{_START}" if others else ""
+    return rf"(?:{run}|\G{_EDGE}(){start})({'|'.join([email, *others])})"
 
 
 def hints(rules: Sequence[Rule]) -> tuple[str, ...]:

@@ -46,9 +46,12 @@ def register(spark: SparkSession) -> list[str]:
         f" WHEN rlike(v, r'{r.tell}') THEN '{r.name}'" for r in P.RULES[:-1]
     )
     kind = f"CASE{kind} ELSE '{P.RULES[-1].name}' END"
-    found = f"IF(rlike(t, r'{hint}'), regexp_extract_all(t, r'{pattern}', 0), array())"
-    # split compiles its pattern for each row, so clean texts are spared it.
-    pieces = f"IF(rlike(t, r'{hint}'), split(t, r'{pattern}', -1), array(t))"
+    found = f"IF(rlike(t, r'{hint}'), regexp_extract_all(t, r'{pattern}', {P.HIT}), array())"
+    # A split by the pattern would compile it for each row: the hits become marks, as in ``gaps``.
+    mark, other, first = "concat(chr(1), chr(3))", "concat(chr(1), chr(2))", "chr(1)"
+    marked = f"regexp_replace(replace(t, {first}, {other}), r'{pattern}', concat('${P.BEFORE}', {mark}))"
+    pieces = f"""IF(rlike(t, r'{hint}'),
+        transform(split({marked}, {mark}, -1), g -> replace(g, {other}, {first})), array(t))"""
     span = "ARRAY<STRUCT<entity_type: STRING, start: INT, end: INT, value: STRING, pos: INT>>"
     ends = """
         aggregate(

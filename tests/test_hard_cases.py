@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 
 import maskflow as mf
 from maskflow.functions import detect as D
+from maskflow.operators import holdback as H
 
 
-@pytest.mark.parametrize("separators", [1, 8, 9, 20, 50])
-def test_dotted_runs_take_linear_time(spark, separators):
-    run = ("a" + "." * separators) * (200_000 // (separators + 1))
+@pytest.mark.parametrize("separators", [1, 8, 50, 1000, 1001, 5000, 2_000_000])
+def test_runs_of_two_megabytes_take_linear_time(spark, separators):
+    run = ("a" + "." * separators) * max(1, 2_000_000 // (separators + 1))
     df = spark.createDataFrame([(run + " x@y.zz",)], "t string").cache()
     df.select(D.hit_values(F.col("t"))).first()
     start = time.perf_counter()
     assert df.select(D.hit_values(F.col("t"))).first()[0] == ["x@y.zz"]
+    assert time.perf_counter() - start < 2
+
+
+@pytest.mark.parametrize("unit", ["+", "a+", "+1", "@", ".@", "a@.", "+1 ", "a@b.", "-1-"])
+def test_other_runs_take_linear_time(spark, unit):
+    df = spark.createDataFrame([(unit * (1_000_000 // len(unit)) + " x@y.zz",)], "t string").cache()
+    df.select(D.hit_values(F.col("t"))).first()
+    start = time.perf_counter()
+    assert df.select(D.hit_values(F.col("t"))).first()[0][-1] == "x@y.zz"
     assert time.perf_counter() - start < 3
 
 
@@ -42,7 +52,7 @@ def test_restored_chunks_do_not_depend_on_the_size_of_the_mapping(spark, entries
     maps = spark.createDataFrame([(1, mapping)], "request_id long, mapping map<string,string>")
     rows = mf.release_chunks(chunks, maps).collect()
     text = "".join(r.content for r in sorted(rows, key=lambda r: (r.seq is None, r.seq)))
-    assert text.startswith("go second@z.orgx@y.com end")
+    assert text.startswith("go EMAIL_ADDRESS_0002x@y.com end")  # what was put in is not read again
 
 
 def test_answers_of_any_length_are_one_row(spark):
@@ -54,11 +64,14 @@ def test_answers_of_any_length_are_one_row(spark):
     assert got == {1: "x" * 2_000_000, 2: "", 3: "", 4: "", 5: "no map"}
 
 
-def test_blocks_of_one_answer_are_dealt_anew(spark):
-    chunks = spark.createDataFrame([(1, 0, "x")], "request_id long, seq long, content string")
+def test_ranges_of_one_answer_are_dealt_apart(spark):
+    chunks = spark.createDataFrame([(1, i, "x" * 50) for i in range(2000)], "request_id long, seq long, content string")
     maps = spark.createDataFrame([(1, {"US_SSN_0001": "1"})], "request_id long, mapping map<string,string>")
     plan = mf.release_chunks(chunks, maps)._jdf.queryExecution().toString()
-    assert "hashpartitioning(request_id" in plan and "block" in plan.split("REPARTITION_BY_COL")[0].rsplit("hashpartitioning", 1)[1]
+    # Texts are dealt by request and range; only their last characters by request.
+    assert "hashpartitioning(request_id" in plan and "Window [collect_list(end" in plan
+    rows = H._texts(chunks, maps)
+    assert rows.count() == -(-2000 // H.RANGE) and rows.agg(F.max(F.size("pieces"))).first()[0] == H.RANGE
 
 
 def _stream(spark, folder, header, row, out, columns=None):
