@@ -38,16 +38,91 @@ from maskflow.llm.common import write_table
 
 #: Pieces that one task packs, on average.
 GROUP = 16384
-#: Bytes of words, and of pieces of words, in one of the generations that a worker remembers (some 500,000 words).
-REMEMBER = 5_000_000
+#: Bytes of words, and of pieces of words, in one of the generations that a worker remembers (some 300,000 words).
+REMEMBER = 3_000_000
 #: Bytes of texts whose words are looked up together.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 #: Stands between the ids of words; no id has such bytes, as ids are below 2^24.
 END_OF_WORD = b"\xff\xff\xff\xff"
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+class _Merges:
+    """The merges of a byte-pair model, for many pieces at once.
+
+    In each round every piece joins all occurrences of its pair of lowest rank,
+    from the left, until it has no pair with a rank.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str):
+        self.size = max(vocab.values()) + 1
+        self.single, self.last = (np.full(512, -1, np.int64) for _ in range(2))
+        for code in range(512):
+            self.single[code], self.last[code] = vocab.get(chr(code), -1), vocab.get(chr(code) + end, -1)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        # A table of places by hash; the next free one takes what does not fit.
+        self.bits = max(10, len(keys).bit_length() + 2)
+        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.rank, self.made = np.full(len(self.keys), len(keys), np.int64), np.zeros(len(self.keys), np.int64)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self.place(keys).tolist(), strict=True)):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.rank[at], self.made[at] = key, rank, made[rank]
+        self.none = len(keys)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands in the table, or a free place."""
+        at = self.place(keys)
+        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(open_):
+            at[open_] += 1
+            seen = self.keys[at[open_]]
+            open_ = open_[(seen != keys[open_]) & (seen >= 0)]
+        return at
+
+    def ids(self, pieces: list[str]) -> list[bytes] | None:
+        """Little-endian 32-bit ids of each piece, of byte letters; None if a letter has no id."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        codes = np.frombuffer("".join(pieces).encode("utf-16-le"), dtype="<u2")
+        word = np.repeat(np.arange(len(pieces)), sizes)
+        if not len(codes) or codes.max() >= 512:
+            return None
+        ids = self.single[codes]
+        ends = np.cumsum(sizes)[sizes > 0] - 1
+        ids[ends] = self.last[codes[ends]]
+        if ids.min() < 0:
+            return None
+        done_word, done_ids = [], []
+        while len(ids):
+            at = self.find(ids[:-1] * self.size + ids[1:])
+            rank = np.append(np.where(word[:-1] == word[1:], self.rank[at], self.none), self.none)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = least == self.none
+            done_word.append(word[over])
+            done_ids.append(ids[over])
+            join = (rank == least) & ~over
+            # Of pairs that overlap, every second one from the left.
+            begins = join & ~np.append(False, join[:-1])
+            place = np.arange(len(ids))
+            since = place - np.maximum.accumulate(np.where(begins, place, 0))
+            join &= since % 2 == 0
+            ids = np.where(join, self.made[np.append(at, 0)], ids)
+            keep = ~over & ~np.append(False, join[:-1])
+            ids, word = ids[keep], word[keep]
+        word, ids = np.concatenate(done_word), np.concatenate(done_ids)
+        flat = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        stops = 4 * np.cumsum(np.bincount(word, minlength=len(pieces)))
+        stops = stops.tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
 class _Encoder:
     """Ids, as little-endian 32-bit numbers, by the tokenizer in the file ``path``; remembers words it has met.
 
@@ -57,7 +132,8 @@ class _Encoder:
     is done here for words of plain Latin letters and signs (which NFC leaves
     as they are), and the ids of each piece, which many words share, come from the
     tokenizer's model. Words that are not plain, or may hold a special token,
-    go through the whole tokenizer.
+    go through the whole tokenizer. Where the model merges pairs by rank and no more, new
+    pieces are merged together (``_Merges``).
 
     Words and pieces are kept for two generations; one not met in a generation
     is forgotten with the next.
@@ -82,6 +158,10 @@ class _Encoder:
         if cleaning == ["NFC", "Replace", "Lowercase"] and by_pattern and "Regex" in first["pattern"] and rest == byte_level:
             self.plain = regex.compile(r"[\n\x21-\x7E\xC0-\xFF]*").fullmatch
             self.split = regex.compile(f"{first['pattern']['Regex']}|\n").findall
+        model = rules["model"]
+        self.merges = None
+        if model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback")):
+            self.merges = _Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.special = [t["content"] for t in rules["added_tokens"]]
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -97,16 +177,24 @@ class _Encoder:
         if None in found:
             if self.piece_bytes > REMEMBER:
                 self.older_pieces, self.pieces, self.piece_bytes = self.pieces, {}, 0
-            for p in set(flat).difference(self.pieces):
-                ids = END_OF_WORD if p == "\n" else self.older_pieces.get(p)
-                if ids is None:
-                    tokens = self.model.tokenize(p if p.isascii() else p.translate(self.letters))
-                    ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-                self.pieces[p] = ids
-                self.piece_bytes += len(p)
+            self.pieces.setdefault("\n", END_OF_WORD)
+            new = set(flat).difference(self.pieces)
+            self.piece_bytes += sum(map(len, new))
+            older = self.older_pieces
+            self.pieces.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in older]
+            self.pieces.update(zip(new, self.model_ids([p if p.isascii() else p.translate(self.letters) for p in new]), strict=True))
             found = map(self.pieces.__getitem__, flat)
         return b"".join(found).split(END_OF_WORD)
 
+    def model_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of byte letters. Long ones go one by one, so that none keeps the others' rounds up."""
+        short = [p for p in pieces if len(p) <= 64]
+        ids = self.merges.ids(short) if self.merges and short else None
+        known = {} if ids is None else dict(zip(short, ids, strict=True))
+        one = lambda p: b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)])
+        return [known[p] if p in known else one(p) for p in pieces]
+
     def learn(self, new: set[bytes]) -> None:
         """Take the words ``new`` into memory."""
         self.word_bytes += sum(map(len, new))
@@ -135,11 +223,14 @@ class _Encoder:
             self.older_words, self.words, self.word_bytes = self.words, {}, 0
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        _, places, data = coded.dictionary.buffers()
+        data = data.to_pybytes() if data else b""
+        places = np.frombuffer(places, dtype=np.int32)[: len(coded.dictionary) + 1].tolist() if len(coded.dictionary) else [0]
+        words = [data[a:b] for a, b in zip(places, places[1:], strict=False)]
         ids = list(map(self.words.get, words))
         if None in ids:
             self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
-            ids = list(map(self.words.__getitem__, words))
+            ids = [self.words[w] if i is None else i for w, i in zip(words, ids, strict=True)]
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(size) - size
