@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskflow.functions import detect as D
 from maskflow.functions import mask as M
 from maskflow.functions import patterns as P
-from maskflow.operators.prefix import running_totals
-
-# Rows of the offsets table (a key and three counters) that may be broadcast.
-BROADCAST_ROWS = 200_000
+from maskflow.operators.ranges import Ranges, ahead
 
 
 def _names(entities: Sequence[str] | None) -> list[str]:
@@ -57,24 +54,51 @@ def count_hits(
     )
 
 
-def session_offsets(
+def _hit_counts(fields: Sequence[str], names: Sequence[str]) -> dict[str, Column]:
+    types = F.concat(*[F.col(f"_t_{f}") for f in fields])
+    return {f"_c_{n}": M.count_of(types, n) for n in names}
+
+
+def _session(
     df: DataFrame,
     key: str,
     fields: Sequence[str],
-    entities=None,
-    parts: int | None = None,
-    only: Column | None = None,
+    entities,
+    start: Mapping[str, int],
+    parts: int | None,
+    only: Column | None,
+    dirty: Column,
 ) -> DataFrame:
-    """For each row with hits, how many numbers of each type are used before it.
+    """Rows that may have hits (``dirty``), with ``with_hits`` columns and ``_used_<type>``.
 
-    The counters of a session run over all rows in ``key`` order. Only keys
-    and counts are written and sorted, never the texts.
+    The table is cut into ranges of the key. A first pass adds up the hits of
+    each range: one row per range. Then the rows that may have hits are dealt
+    by range, and a window runs over each range from what the ranges before used.
     """
     names = _names(entities)
+    ranges = Ranges(df, key, parts)
+    number = ranges.number()
     counts = count_hits(df, key, fields, entities, only)
-    return running_totals(counts, [key], {f"_used_{n}": n for n in names}, parts=parts).select(
-        key, *[f"_used_{n}" for n in names]
-    )
+    totals = counts.groupBy(number.alias("_range")).agg(*[F.sum(n).alias(f"_used_{n}") for n in names])
+    before = ahead(totals, "_range", [f"_used_{n}" for n in names], [start.get(n, 0) for n in names])
+    # Every range gets a row, as one without hits may hold rows that only seemed to have some.
+    every = df.sparkSession.range(ranges.count).select(F.col("id").cast("int").alias("_range"))
+    before = every.join(before, "_range", "left").select("_range", *[F.col(f"_used_{n}").alias(f"_before_{n}") for n in names])
+
+    found = with_hits(df.filter(dirty).withColumn("_range", number), fields, entities, only)
+    found = found.withColumns(_hit_counts(fields, names))
+    order = Window.partitionBy("_range").orderBy(key)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    has = F.greatest(*[F.col(f"_c_{n}") for n in names], F.lit(0)) > 0
+    lost = has & (F.col(key).isNull() | F.coalesce(F.lag(key).over(order) == F.col(key), F.lit(False)))
+    error = F.raise_error(F.lit(f"'{key}' must be unique and not null in rows with hits")).cast("boolean")
+    used = {f"_used_{n}": F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)) for n in names}
+    # At most one row per range: a size that is known beforehand.
+    placed = found.withColumns({**used, "_lost": F.when(lost, error)}).join(F.broadcast(before), "_range", "left")
+    first = F.coalesce("_lost", F.lit(True))
+    return placed.withColumns(
+        {f"_used_{n}": F.when(first, F.col(f"_used_{n}") + F.coalesce(f"_before_{n}", F.lit(0))) for n in names}
+    ).drop("_range", "_lost", *[f"_before_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
 def _masked(found: DataFrame, fields: Sequence[str], entities) -> DataFrame:
@@ -120,8 +144,9 @@ def mask_fields(
     Fields are visited in the given order, each from its last hit to its
     first. ``scope='request'`` restarts the numbers in each row: a projection
     without any shuffle. ``scope='session'`` numbers over the whole table in
-    ``key`` order (unique, not null), going on from the ``start`` counters; it
-    reads ``df`` twice, the first time at once.
+    ``key`` order (unique and not null, else the query fails), going on from the
+    ``start`` counters; it takes a sample of the keys at once, and reads the
+    texts twice, for the hits of each range of keys and to mask them.
     Rows for which ``only`` does not hold (e.g. other languages) stay as they are.
     """
     names = _names(entities)
@@ -132,28 +157,18 @@ def mask_fields(
     if scope != "session":
         raise ValueError("scope must be 'request' or 'session'")
 
-    offsets = session_offsets(df, key, fields, entities, parts, only)
-    used = {
-        f"_used_{n}": F.coalesce(f"_used_{n}", F.lit(0)) + F.lit(int(start.get(n, 0)))
-        for n in names
-    }
-    if offsets.count() <= BROADCAST_ROWS:
-        joined = df.join(F.broadcast(offsets), key, "left").withColumns(used)
-        return _masked(with_hits(joined, fields, entities, only), fields, entities)
-
-    # Too many to broadcast: only texts that may have hits take part in the shuffle.
+    # Texts without a sign of a hit stay where they are.
     dirty = F.lit(False)
     for f in fields:
         dirty = dirty | D.may_have_pii(_seen(f, only), entities)
-    joined = df.filter(dirty).join(offsets, key, "left").withColumns(used)
+    found = _session(df, key, fields, entities, start, parts, only, dirty)
     clean = df.filter(~dirty).withColumns(
         {
             **{f"redacted_{f}": F.col(f) for f in fields},
             "entries": F.array().cast(f"array<{M.ENTRY}>"),
         }
     )
-    masked = _masked(with_hits(joined, fields, entities, only), fields, entities)
-    return masked.unionByName(clean)
+    return _masked(found, fields, entities).unionByName(clean)
 
 
 def mask_column(

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from maskflow.operators.prefix import running_totals
+from maskflow.operators.ranges import Ranges, ahead
 
 REQUIRED = ("system_prompt", "prompt")
 
@@ -88,17 +89,20 @@ def number_requests(df: DataFrame, order_by: str, parts: int | None = None) -> D
     """Add ``request_num``, dense from 1 in the order of a key.
 
     Rows with the same key get consecutive numbers, in any order; a null key is
-    an error. Only the keys are sorted and counted; the rows get their number
-    by a join.
+    an error. The rows are dealt by range of the key, once; a first pass counts
+    the rows of each range. A key with more rows than a range has several, and
+    its rows are dealt to them by a hash of all their columns (so only rows
+    that are equal throughout stay together).
     """
-    counts = df.groupBy(order_by).agg(F.count(F.lit(1)).alias("_rows"))
-    if counts.filter(F.col(order_by).isNull()).limit(1).count():
-        raise ValueError(f"'{order_by}' is null in some rows; they have no place in the order")
-    before = running_totals(counts, [order_by], {"_before": "_rows"}, parts=parts)
-    # Dealt by key for the join already, so the window needs no further exchange.
-    nth = F.row_number().over(Window.partitionBy(order_by).orderBy(F.lit(1)))
-    placed = df.join(before.drop("_rows"), order_by)
-    return placed.withColumn("request_num", F.col("_before") + nth).drop("_before")
+    ranges = Ranges(df, order_by, parts, refuse_null=True)
+    comparable = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    number = ranges.number(F.xxhash64(*comparable) if ranges.hot() else None)
+    before = ahead(df.groupBy(number.alias("_range")).agg(F.count(F.lit(1)).alias("_ahead")), "_range", ["_ahead"])
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(order_by))
+    placed = df.withColumn("_range", number).withColumn("_nth", nth)
+    # One row per range: a size that is known beforehand.
+    placed = placed.join(F.broadcast(before), "_range")
+    return placed.withColumn("request_num", F.col("_ahead") + F.col("_nth")).drop("_range", "_nth", "_ahead")
 
 
 def read_requests_stream(

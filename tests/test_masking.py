@@ -1,5 +1,7 @@
 """Masking: literals, counters, scopes, skew-proof numbering."""
 
+from pathlib import Path
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ import maskflow as mf
 from maskflow.functions import mask as M
 from maskflow.functions import restore as R
 from maskflow.operators import audit as A
-from maskflow.operators import masking as K
+from maskflow.operators import ranges
 
 
 def one(spark, text, **kw):
@@ -94,9 +96,9 @@ def by_hand(rows):
 
 
 @pytest.mark.parametrize("parts", [None, 1, 4, 37])
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_session_numbers(spark, monkeypatch, parts, broadcast_rows):
-    monkeypatch.setattr(K, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("sample", [16_384, 50])
+def test_session_numbers(spark, monkeypatch, parts, sample):
+    monkeypatch.setattr(ranges, "SAMPLE", sample)
     df = requests(spark)
     want = by_hand(df.orderBy("request_num").collect())
     got = mf.mask_requests(df.repartition(5), "session", parts=parts).collect()
@@ -106,6 +108,28 @@ def test_session_numbers(spark, monkeypatch, parts, broadcast_rows):
         assert r.mappings == dict(want[r.request_num])
 
 
+def test_session_scope_plan(spark, tmp_path):
+    """Nothing is written, and the texts are shuffled once, by range; the count is narrow."""
+    folder = tmp_path / "requests"
+    requests(spark).write.parquet(str(folder))
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "maskflow"
+    written = len(list(shared.glob("*"))) if shared.exists() else 0
+    masked = mf.mask_requests(spark.read.parquet(str(folder)))
+    assert masked.count() == 300
+    assert (len(list(shared.glob("*"))) if shared.exists() else 0) == written
+    plan = masked._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Window [") == 2
+    by_range = [line for line in plan.splitlines() if "HashAggregate(keys=[_range" in line or "functions=[sum(US_SSN" in line]
+    assert by_range and not any("system" in line or "prompt" in line for line in by_range)
+
+
+def test_string_keys(spark):
+    df = requests(spark).withColumn("request_num", F.format_string("%04d", "request_num"))
+    want = by_hand(df.orderBy("request_num").collect())
+    got = mf.mask_fields(df, "request_num", ["system_prompt", "prompt"], "session", parts=9).collect()
+    assert {r.request_num: [(e.placeholder, e.original) for e in r.entries] for r in got} == want
+
+
 def test_start_counters(spark):
     df = requests(spark, 2)
     row = mf.mask_requests(df, "session", start={"US_SSN": 9998}).orderBy("request_num").collect()

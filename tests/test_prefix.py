@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import maskflow as mf
 from maskflow.operators import prefix
+from maskflow.operators import ranges as ranges_of
 from maskflow.operators.prefix import lookup, running_totals
+from maskflow.operators.ranges import Ranges
 from maskflow.operators.vaults import unredact_with_vault
 
 
@@ -68,3 +71,38 @@ def test_vault_restores_many_answers_to_one_request(spark, hot_rows):
         v = "856-45-6789" if i % 3 else "$1\\"
         assert got[i] == f"{v} US_SSN_0002, {v}"
     assert (got[20], got[21]) == ("none", None)
+
+
+@pytest.mark.parametrize("parts", [None, 1, 3, 40])
+def test_hot_key_is_dealt_to_many_ranges(spark, parts):
+    rnd = random.Random(7)
+    keys = ["m"] * 900 + [rnd.choice("abcxyz") for _ in range(100)]
+    rnd.shuffle(keys)
+    df = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "k string, t string").repartition(6)
+    out = mf.number_requests(df, "k", parts)
+    assert out.columns == ["k", "t", "request_num"]
+    rows = sorted(out.collect(), key=lambda r: r.request_num)
+    assert [r.request_num for r in rows] == list(range(1, 1001))
+    assert [r.k for r in rows] == sorted(keys) and {r.t for r in rows} == {f"text {i}" for i in range(1000)}
+    ranges = Ranges(df, "k", 40)
+    sizes = df.groupBy(ranges.number(F.xxhash64("k", "t")).alias("r")).count().collect()
+    assert len(sizes) >= 30 and max(r["count"] for r in sizes) < 100
+
+
+@pytest.mark.parametrize("sample", [16_384, 64])
+def test_sketch_bounds_and_rows(spark, monkeypatch, sample):
+    monkeypatch.setattr(ranges_of, "SAMPLE", sample)
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
+    keys, rows = ranges_of.sketch(df, "k")
+    assert len(keys) == min(sample, 5000) and keys == sorted(keys) and 0.5 * 5000 < rows < 2 * 5000
+    ranges = Ranges(df, "k", 16)
+    got = df.select("k", ranges.number().alias("r")).collect()
+    assert all(r.r == sum(b <= r.k for b in ranges.bounds) for r in got)
+    assert ranges.count == 16 and len({r.r for r in got}) == 16
+
+
+def test_ranges_of_no_rows_and_one_key(spark):
+    none = spark.createDataFrame([], "k long, t string")
+    assert mf.number_requests(none, "k").collect() == []
+    one = spark.createDataFrame([(1, {"a": "b"})] * 3, "k long, m map<string,string>")
+    assert sorted(r.request_num for r in mf.number_requests(one, "k").collect()) == [1, 2, 3]
