@@ -254,6 +254,35 @@ ORACLES: dict[str, str] = {
     "holdback_stream": f"""{STREAM}, {_CHUNK_EVENTS}
         SELECT request_id AS request_num, seq, content FROM rel WHERE content <> ''
         UNION ALL SELECT request_id, NULL, content FROM rest WHERE content <> ''""",
+    "holdback_broken": f"""{STREAM} SELECT request_id, seq, content FROM rel
+        WHERE NOT ({X.BROKEN.replace("request_num", "request_id")}) OR seq < {X.BROKEN_AT}
+        UNION ALL SELECT request_id, NULL, content FROM rest WHERE NOT ({X.BROKEN.replace("request_num", "request_id")})""",
+    "final_broken": f"""{STREAM} SELECT request_id,
+        CASE WHEN NOT ({X.BROKEN.replace("request_num", "request_id")}) THEN t END AS llm_response_redacted,
+        CASE WHEN NOT ({X.BROKEN.replace("request_num", "request_id")}) THEN {_restore('t')} END AS final_response,
+        CASE WHEN {X.BROKEN.replace("request_num", "request_id")} THEN '{X.BROKEN_CAUSE}' END AS error FROM answer""",
+    "holdback_rest_nomap": f"""{DOCS} SELECT id AS request_id, '' AS content FROM red WHERE length(redacted) > 0""",
+    "stream_session_batches": f"""{_masked()} SELECT CAST(floor(3 * (request_num - 1) / max(request_num) OVER ()) AS INT) AS batch,
+        request_num, redacted_system, redacted_user FROM masked""",
+    "stream_outcomes": f"""{STREAM}, said AS (SELECT * FROM rel
+            WHERE content <> '' AND (request_id % 5 <> 0 OR seq < {X.BROKEN_AT})),
+        ev AS (SELECT request_id, -1 AS at, 'metadata' AS type, NULL AS chunk_seq, NULL AS content FROM answer
+            UNION ALL SELECT request_id, seq, 'chunk', seq, content FROM said
+            UNION ALL SELECT request_id, 999999999, 'chunk', NULL, content FROM rest
+                WHERE content <> '' AND request_id % 5 <> 0
+            UNION ALL SELECT request_id, 1000000000, CASE WHEN request_id % 5 = 0 THEN 'error' ELSE 'final' END, NULL, NULL FROM answer)
+        SELECT request_num, row_number() OVER (PARTITION BY request_num ORDER BY ev.at) - 1 AS event_seq,
+            type, chunk_seq, content,
+            CASE WHEN type IN ('metadata', 'error') THEN original_system END AS original_system,
+            CASE WHEN type IN ('metadata', 'error') THEN original_user END AS original_user,
+            CASE WHEN type = 'metadata' THEN redacted_system END AS redacted_system,
+            CASE WHEN type = 'metadata' THEN redacted_user END AS redacted_user,
+            CASE WHEN type = 'metadata' THEN '{{' || array_to_string(list_transform(masked.m,
+                lambda e: to_json(e.k) || ':' || to_json(e.v)), ',') || '}}' END AS mappings,
+            CASE WHEN type = 'final' THEN t END AS llm_response_redacted,
+            CASE WHEN type = 'final' THEN {_restore('t', 'masked.m')} END AS final_response,
+            CASE WHEN type = 'error' THEN '{X.BROKEN_CAUSE}' END AS error
+        FROM ev JOIN masked ON request_num = request_id JOIN answer USING (request_id)""",
     "holdback_nomap": f"""{DOCS}, p AS (SELECT id, regexp_extract_all(redacted, '{X.CHUNK_LONG}') AS p FROM red)
         SELECT id AS request_id, i - 1 AS seq, p[i] AS content FROM p, unnest(range(1, len(p) + 1)) AS u(i)""",
     "stream_final": f"""{DOCS} SELECT id AS request_id,

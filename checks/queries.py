@@ -192,6 +192,19 @@ def stream_session(spark, sf):
     return spark.read.parquet(out).select("request_num", "redacted_system", "redacted_user")
 
 
+@query
+def stream_session_batches(spark, sf):
+    """Numbers that go on from micro-batch to micro-batch: a third of the requests in each."""
+    raw, path, out = raw_requests(spark, sf), new_path(spark, "csv"), new_path(spark, "masked")
+    last = raw.agg(F.max("request_num")).first()[0]
+    for part in range(3):
+        third = raw.filter(F.floor(3 * (F.col("request_num") - 1) / last) == part)
+        third.coalesce(1).write.options(header=True, escape='"').csv(f"{path}/part{part}")
+    stream = mf.read_requests_stream(spark, f"{path}/*", files_per_batch=1)
+    W.write_masked_session_stream(stream, out, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).select("batch", "request_num", "redacted_system", "redacted_user")
+
+
 @query
 def results_table(spark, sf):
     masked = mf.mask_requests(requests(spark, sf), "session")
@@ -557,6 +570,37 @@ def holdback_flush(spark, sf):
     return released.filter("seq IS NULL").select("request_id", "content")
 
 
+def _broken(spark, sf) -> DataFrame:
+    return requests(spark, sf).filter(X.BROKEN).select(F.col("request_num").alias("request_id"), F.lit(X.BROKEN_CAUSE).alias("error"))
+
+
+def _broken_off(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks and mappings of ``streamed``, some answers broken off, and which."""
+    chunks, mappings = streamed(spark, sf)
+    fails = F.expr(X.BROKEN.replace("request_num", "request_id"))
+    return chunks.filter(~fails | (F.col("seq") < X.BROKEN_AT)), mappings, _broken(spark, sf)
+
+
+@query
+def holdback_broken(spark, sf):
+    """All that is released, the rests included; nothing held back of answers that broke off."""
+    return mf.release_chunks(*_broken_off(spark, sf))
+
+
+@query
+def final_broken(spark, sf):
+    return mf.full_answers(*_broken_off(spark, sf))
+
+
+@query
+def holdback_rest_nomap(spark, sf):
+    """Without placeholders nothing is held back, so each rest is empty."""
+    chunks, mappings = document_chunks(spark, sf)
+    none = F.create_map().cast("map<string,string>")
+    released = mf.release_chunks(chunks, mappings.withColumn("mapping", none))
+    return released.filter("seq IS NULL").select("request_id", "content")
+
+
 @query
 def holdback_nomap(spark, sf):
     chunks, mappings = document_chunks(spark, sf)
@@ -614,6 +658,28 @@ def stream_error(spark, sf):
     )
 
 
+@query
+@with_workers
+def stream_outcomes(spark, sf):
+    """All events of all streams, whole and broken off."""
+    events = _events(spark, sf, broken=True)
+    return events.select(
+        "request_num",
+        F.col("event_seq").cast("long").alias("event_seq"),
+        "type",
+        "chunk_seq",
+        "content",
+        "original_system",
+        "original_user",
+        "redacted_system",
+        "redacted_user",
+        F.to_json("mappings").alias("mappings"),
+        "llm_response_redacted",
+        "final_response",
+        "error",
+    )
+
+
 @query
 @with_workers
 def stream_summary(spark, sf):

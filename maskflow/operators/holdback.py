@@ -37,6 +37,9 @@ RANGE = 64
 #: Ranges before one in which its 2 L characters are looked for; each has a character at least.
 BEFORE = 1024
 
+#: The error of an answer that broke off without a cause.
+BROKEN = "answer broke off"
+
 _ENTRIES = "array<struct<key:string,value:string>>"
 _KEYS = ["request_id", "block"]
 
@@ -156,23 +159,33 @@ def _released(texts: DataFrame, restored: bool) -> DataFrame:
     return rows.select(*_KEYS, "s.seq", "s.text")
 
 
-def release_chunks(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+def release_chunks(chunks: DataFrame, mappings: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """What each chunk releases, and what is left at the end.
 
     ``chunks``: request_id, seq (unique per request), content; ``mappings``:
     request_id (unique), mapping. Gives request_id, seq, content; a chunk that
     releases nothing has '', the rest of a request has a null ``seq``.
+
+    ``broken``: request_id of the requests whose answer broke off after its
+    last chunk. What was held back of it then is dropped.
     """
     released = _released(_texts(chunks, mappings), restored=True)
-    return released.select("request_id", "seq", F.col("text").alias("content"))
+    released = released.select("request_id", "seq", F.col("text").alias("content"))
+    if broken is None:
+        return released
+    rest = released.filter("seq IS NULL").join(broken.select("request_id"), "request_id", "left_anti")
+    return released.filter("seq IS NOT NULL").unionByName(rest)
 
 
-def full_answers(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+def full_answers(chunks: DataFrame, mappings: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """The whole answer of each request, as received and restored.
 
     Gives request_id, llm_response_redacted, final_response: one row per
     request that has a mapping or a chunk, of whatever length; a request
     without text has ''. Answers are put together from ranges, not chunk by chunk.
+
+    With ``broken`` (request_id, error) there is a column ``error``, too. An
+    answer that broke off has its error and no texts.
     """
     part = F.struct("block", _joined(F.col("pieces")).alias("text"))
     whole = _blocks(chunks).select("request_id", part.alias("part")).groupBy("request_id")
@@ -180,11 +193,15 @@ def full_answers(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
     whole = whole.select("request_id", F.array_join("parts.text", "").alias("raw"))
     asked = chunks.select("request_id").distinct()
     asked = asked.join(mappings.select("request_id", "mapping"), "request_id", "full")
-    raw = F.coalesce("raw", F.lit(""))
+    raw, ok, error = F.coalesce("raw", F.lit("")), F.lit(True), []
+    if broken is not None:
+        causes = broken.select("request_id", F.coalesce("error", F.lit(BROKEN)).alias("error"))
+        asked, ok, error = asked.join(causes, "request_id", "full"), F.isnull("error"), ["error"]
     return asked.join(whole, "request_id", "left").select(
         "request_id",
-        raw.alias("llm_response_redacted"),
-        unredact(raw, F.col("mapping")).alias("final_response"),
+        F.when(ok, raw).alias("llm_response_redacted"),
+        F.when(ok, unredact(raw, F.col("mapping"))).alias("final_response"),
+        *error,
     )
 
 

@@ -106,7 +106,7 @@ def number_requests(df: DataFrame, order_by: str, parts: int | None = None) -> D
 
 
 def read_requests_stream(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
     """Stream of request CSV files that arrive in a folder.
 
@@ -114,6 +114,7 @@ def read_requests_stream(
     that are there already, else request_num and the two prompts are expected.
     Columns are found by name, in any order and among others; a file with
     another header stops the stream, and so does a request without a number.
+    ``files_per_batch`` bounds a micro-batch; files come in by their age.
     """
     if columns is None:
         try:
@@ -125,6 +126,8 @@ def read_requests_stream(
         raise ValueError(f"requests must contain {wanted} columns. Found: {list(columns)}")
     schema = ", ".join(f"`{c}` {'long' if c == 'request_num' else 'string'}" for c in columns)
     options = {**_csv_options(True), "enforceSchema": "false"}
+    if files_per_batch:
+        options["maxFilesPerTrigger"] = str(files_per_batch)
     raw = spark.readStream.schema(schema).options(**options).csv(path)
     number = F.col("request_num")
     lost = F.raise_error(F.lit("a request has no number in request_num")).cast("long")
