@@ -45,7 +45,7 @@ PIECES = 16
 
 
 def _normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(SPACE_CHARS)))
 
 
 def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -303,8 +303,14 @@ def removed_lines(
     later = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("hash")).distinct()
 
     told = firsts.join(later.withColumn("near", F.lit(True)), "hash", "left").filter("copies > 1 OR near")
-    gone = narrow.join(told, "hash").filter(F.col("near") | (place != F.col("first")))
-    return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    # Copies of a heavy line meet a broadcast (at most HEAVY rows), not one another in a task.
+    told, _ = write_table(told, "told")
+    many = F.broadcast(told.filter(F.col("copies") * HEAVY > total))
+    few = told.filter(F.col("copies") * HEAVY <= total)
+    met = narrow.join(many, "hash").unionByName(narrow.join(many.select("hash"), "hash", "left_anti").join(few, "hash"))
+    gone = met.filter(F.col("near") | (place != F.col("first")))
+    # A set, as a repeated row has each of its lines once more.
+    return gone.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(

@@ -296,6 +296,22 @@ def test_lines_odd_rows(odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_repeated_rows_lose_a_line_once(spark, tmp_path):
+    rows = [(1, "Menu\nalpha"), (2, "Menu\nbody"), (1, "Menu\nalpha"), (2, "Menu\nbody"), (3, "\tMenu\r\nother \x0b")]
+    docs_of(spark, [(i, t, "s") for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()
+    removed = {(r["doc_id"], r["n_lines"], r["n_removed"], tuple(r["removed"])) for r in got}
+    assert len(got) == 5 and removed == {(1, 2, 0, ()), (2, 2, 1, (0,)), (3, 2, 1, (0,))}
+
+
+@pytest.mark.parametrize("heavy", [1, 10_000])
+def test_heavy_lines_meet_their_copies(spark, monkeypatch, heavy):
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    rows = [(i, f"common line\nown {i:03d}", "s") for i in range(40)]
+    got = {r["doc"]: list(r["removed"]) for r in lines.removed_lines(docs_of(spark, rows), fold_chars=1).collect()}
+    assert got == {i: [0] for i in range(1, 40)}
+
+
 def test_common_line_stays_once(spark):
     line = "a line that very many documents have in common"
     docs = docs_of(spark, [(i, f"{line}\n{prose(i, 12)}", "s") for i in range(200)])
