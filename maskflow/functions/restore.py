@@ -201,11 +201,16 @@ _HEAD = re.compile("([A-Z_]+)([0-9]*)$")
 class Restorer:
     """The rule for one mapping, in plain Python; looks tokens up by hash."""
 
-    def __init__(self, mapping: Mapping[str, str]):
+    def __init__(self, mapping: Mapping[str, str], names: Sequence[str] | None = None, hold: int | None = None):
+        """``names`` and ``hold`` are those of the mapping; given, its keys are looked up alone, never listed."""
         self.mapping = mapping
-        self.hold = max(map(len, mapping), default=0)
+        self.names, self.hold = self.facts(mapping) if names is None else (list(names), hold)
+
+    @staticmethod
+    def facts(mapping: Mapping[str, str]) -> tuple[list[str], int]:
+        """What the placeholders have before their digits, longest first, and the length of the longest key."""
         names = {m[1] for m in (re.match("^([A-Z_]*_)[0-9]{4,}$", k) for k in mapping) if m}
-        self.names = sorted(names, key=len, reverse=True)
+        return sorted(names, key=len, reverse=True), max(map(len, mapping), default=0)
 
     def key(self, token: str) -> str | None:
         digits = token[len(token.rstrip("0123456789")) :]
@@ -219,7 +224,7 @@ class Restorer:
             key = self.key(match[0])
             return match[0] if key is None else match[0][: -len(key)] + self.mapping[key]
 
-        return _TOKEN.sub(shown, text) if self.mapping else text
+        return _TOKEN.sub(shown, text) if self.names else text
 
     def safe_length(self, text: str) -> int:
         """How many characters of ``text`` may go out while the longest placeholder is held back."""

@@ -11,9 +11,9 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from maskflow.functions.restore import Restorer
 from maskflow.operators.completion import STREAM_FAILED
@@ -36,6 +36,9 @@ _PAYLOAD = (
 )
 TIMED_OUT = "stream timed out"
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 CompleteStream = Callable[[str, str], Iterable[str]]
 
 
@@ -108,135 +111,184 @@ def call_model(
     return sent.mapInPandas(call, TAGGED)
 
 
-def _events(keep_final: bool, timeout_ms: int | None):
-    """The state function. State is one JSON text per request."""
-    made: dict = {}
+class _Entries:
+    """The mapping of a request as its state holds it: each key is looked up once, none is listed."""
+
+    def __init__(self, state):
+        self.state, self.seen = state, {}
+
+    def get(self, key: str) -> str | None:
+        if key not in self.seen:
+            found = self.state.getValue((key,))
+            self.seen[key] = None if found is None else found[0]
+        return self.seen[key]
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __getitem__(self, key: str) -> str:
+        return self.get(key)
 
-    def restorer(opened: dict) -> Restorer:
-        if made.get("of") is not opened:
-            made.update(of=opened, rule=Restorer(opened.get("mappings") or {}))
-        return made["rule"]
 
-    def drain(s: dict) -> Iterator[tuple]:
-        while s["open"] is not None and str(s["next"]) in s["early"]:
-            kind, content = s["early"].pop(str(s["next"]))
-            seq, s["next"] = s["next"], s["next"] + 1
-            rule = restorer(s["open"])
+class _Restoring(StatefulProcessor):
+    """One request at a time: tagged rows in, events out.
+
+    State: ``place`` (next chunk, events so far, text held back) is all that a
+    micro-batch writes anew; ``entries`` is a map, of which only the keys in
+    the text are read; ``answer`` is a list that is only added to; ``early``
+    has rows that came before their turn; ``originals`` are written once and
+    read for an error alone, and so not at all if ``keep_originals`` is off.
+    """
+
+    def __init__(self, keep_final: bool, timeout_ms: int | None, keep_originals: bool):
+        self.keep_final, self.timeout_ms, self.keep_originals = keep_final, timeout_ms, keep_originals
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, events int, early int, buffer string")
+        self.facts = handle.getValueState("facts", "names string, hold int")
+        self.originals = handle.getValueState("originals", "original_system string, original_user string")
+        self.entries = handle.getMapState("entries", "placeholder string", "original string")
+        self.early = handle.getMapState("early", "seq long", "kind string, content string")
+        self.answer = handle.getListState("answer", "content string")
+        self.closed = handle.getValueState("closed", "closed boolean", self.timeout_ms)
+
+    def _keep(self, opened: dict, facts: tuple[list[str], int]) -> None:
+        self.facts.update((json.dumps(facts[0]), facts[1]))
+        for key, value in (opened.get("mappings") or {}).items():
+            self.entries.updateValue((key,), (value,))
+        if self.keep_originals:
+            self.originals.update((opened.get("original_system"), opened.get("original_user")))
+
+    def _error(self, cause: str | None, opened: dict | None) -> tuple:
+        named = ("original_system", "original_user")
+        if opened is None:
+            values = (self.originals.get() if self.keep_originals else None) or (None, None)
+        else:
+            values = [opened.get(k) if self.keep_originals else None for k in named]
+        return "error", None, None, json.dumps({**dict(zip(named, values, strict=True)), "error": cause})
+
+    def _close(self, early: int) -> None:
+        states = [self.place, self.facts, self.originals, self.entries, self.answer]
+        for state in [*states, self.early] if early else states:
+            state.clear()
+
+    def _wait(self, now: int) -> None:
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(now + self.timeout_ms)
+
+    def _steps(self, rows: list[tuple], place: list, known: bool) -> Iterator[tuple | None]:
+        """Events of the rows; ``place`` is changed as they go. Ends with None if the request does.
+
+        ``known``: earlier micro-batches left something. Nothing is written
+        before the rows are through, so a request that comes whole leaves its mark alone.
+        """
+        facts, opened, rule, told = self.facts.get() if known else None, None, None, []
+        if facts is not None:
+            facts = (json.loads(facts[0]), facts[1])
+        waiting = {seq: (kind, content) for kind, seq, content in reversed(rows) if kind != "open" and seq >= place[0]}
+        if facts is None:
+            first = next((content for kind, _, content in rows if kind == "open"), None)
+            if first is not None:
+                opened = json.loads(first)
+                facts = Restorer.facts(opened.get("mappings") or {})
+                yield "metadata", None, None, first
+        while facts is not None:
+            found = waiting.pop(place[0], None)
+            if found is None and place[2]:
+                found = self.early.getValue((place[0],))
+                if found is not None:
+                    self.early.removeKey((place[0],))
+                    place[2] -= 1
+            if found is None:
+                break
+            (kind, content), seq = found, place[0]
+            if rule is None:
+                rule = Restorer(_Entries(self.entries) if opened is None else opened.get("mappings") or {}, *facts)
+            place[0] += 1
             if kind == "chunk" and content:
-                s["buffer"] += content
-                if keep_final:
-                    s["full"].append(content)
-                cut = rule.safe_length(s["buffer"])
-                out, s["buffer"] = rule.restore(s["buffer"][:cut]), s["buffer"][cut:]
+                place[3] += content
+                if self.keep_final:
+                    told.append(content)
+                cut = rule.safe_length(place[3])
+                out, place[3] = rule.restore(place[3][:cut]), place[3][cut:]
                 if out:
                     yield "chunk", seq, out, None
             elif kind == "end":
-                if s["buffer"]:
-                    yield "chunk", None, rule.restore(s["buffer"]), None
-                full = "".join(s["full"]) if keep_final else None
-                final = {
-                    "llm_response_redacted": full,
-                    "final_response": rule.restore(full) if keep_final else None,
-                }
+                if place[3]:
+                    yield "chunk", None, rule.restore(place[3]), None
+                whole = None
+                if self.keep_final:
+                    whole = "".join([*((r[0] for r in self.answer.get()) if known else ()), *told])
+                final = {"llm_response_redacted": whole, "final_response": rule.restore(whole) if self.keep_final else None}
                 yield "final", None, None, json.dumps(final)
-                s["done"] = True
+                yield None
+                return
             elif kind == "error":
-                yield "error", None, None, json.dumps({**_originals(s), "error": content})
-                s["done"] = True
-            if s["done"]:
+                yield self._error(content, opened)
+                yield None
                 return
-
-    def _originals(s: dict) -> dict:
-        return {k: s["open"].get(k) for k in ("original_system", "original_user")}
-
-    def feed(s: dict, kind: str, seq: int, content: str | None) -> Iterator[tuple]:
-        if kind == "open":
-            if s["open"] is None:
-                s["open"] = json.loads(content)
-                yield "metadata", None, None, content
-        elif seq >= s["next"]:
-            s["early"].setdefault(str(seq), (kind, content))
-        yield from drain(s)
-
-    def numbered(num: int, s: dict, events: Iterable[tuple]) -> pd.DataFrame | None:
-        rows = list(events)
-        if not rows:
-            return None
-        kinds, seqs, contents, payloads = zip(*rows)
-        first, s["events"] = s["events"], s["events"] + len(rows)
-        return pd.DataFrame(
-            {
-                "request_num": num,
-                "event_seq": range(first, s["events"]),
-                "type": kinds,
-                "chunk_seq": pd.array(seqs, dtype="Int64"),
-                "content": contents,
-                "payload": payloads,
-            }
-        )
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        num = int(key[0])
-        if state.exists:
-            s = json.loads(state.get[0])
-        else:
-            s = {
-                "open": None, "next": 0, "early": {}, "buffer": "",
-                "full": [], "events": 0, "done": False,
-            }
-        if s.get("closed"):
+        if opened is not None:
+            self._keep(opened, facts)
+        if told:
+            self.answer.appendValue(("".join(told),))
+        for seq, (kind, content) in waiting.items():
+            if not place[2] or not self.early.containsKey((seq,)):
+                self.early.updateValue((seq,), (kind, content))
+                place[2] += 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
+        saved = self.place.get()
+        if saved is None and self.closed.exists():
             # Repeats after the end of a request give nothing.
-            if state.hasTimedOut:
-                state.remove()
-            elif timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-            return
-        if state.hasTimedOut:
-            state.remove()
-            if s["open"] is not None:
-                payload = json.dumps({**_originals(s), "error": TIMED_OUT})
-                yield numbered(num, s, [("error", None, None, payload)])
             return
-        for batch in batches:
-            rows = zip(batch["kind"], batch["seq"], batch["content"])
-            out = numbered(
-                num,
-                s,
-                (
-                    event
-                    for kind, seq, content in rows
-                    if not s["done"]
-                    for event in feed(s, kind, int(seq), content)
-                ),
-            )
-            if out is not None:
-                yield out
-        if s["done"]:
-            s = {"closed": True}
-            state.update((json.dumps(s),))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms is not None else 0
+        place = list(saved or (0, 0, 0, ""))
+        given = [(r["kind"], r["seq"], r["content"]) for r in rows]
+        for event in self._steps(given, place, saved is not None):
+            if event is None:
+                if saved is not None:
+                    self._close(place[2])
+                self.closed.update((True,))
+                self._wait(now)
+                return
+            kind, seq, content, payload = event
+            yield Row(request_num=key[0], event_seq=place[1], type=kind, chunk_seq=seq, content=content, payload=payload)
+            place[1] += 1
+        self.place.update(tuple(place))
+        self._wait(now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        place = self.place.get()
+        if place is None:
+            self.closed.clear()
             return
-        if keep_final:
-            s["full"] = ["".join(s["full"])]
-        state.update((json.dumps(s),))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+        opened = self.facts.exists()
+        error = self._error(TIMED_OUT, None)[3]
+        self._close(place[2])
+        if opened:
+            yield Row(request_num=key[0], event_seq=place[1], type="error", chunk_seq=None, content=None, payload=error)
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def restore_stream(
-    tagged: DataFrame, keep_final: bool = True, timeout_ms: int | None = None
+    tagged: DataFrame, keep_final: bool = True, timeout_ms: int | None = None, keep_originals: bool = True
 ) -> DataFrame:
     """Events of a stream of tagged rows, in order per request by ``event_seq``.
 
     ``metadata``, then ``chunk`` events, then ``final`` or ``error``. Nothing
     of a placeholder goes out before all of it is there. On an error the text
     held back is dropped. ``keep_final=False`` keeps the whole answer out of
-    the state; the final event then carries no text.
+    the state; the final event then carries no text. ``keep_originals=False``
+    keeps the prompts out of it; error events then carry none.
+
+    The state is typed and kept by RocksDB, which the session is told to use: a
+    micro-batch writes the place in the answer and what it adds to it, not the
+    answer again.
 
     Of a request that has ended, a small mark stays, so that repeats of its
     rows give no further event; it goes with ``timeout_ms``, else it stays.
@@ -245,18 +297,12 @@ def restore_stream(
     error event. Use it with triggers that go on: a run that stops when all
     input is read would wait for timeouts for ever.
     """
-    waits = (
-        GroupStateTimeout.NoTimeout
-        if timeout_ms is None
-        else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    raw = tagged.groupBy("request_num").applyInPandasWithState(
-        _events(keep_final, timeout_ms),
-        _RAW_EVENTS,
-        "state string",
-        "append",
-        waits,
-    )
+    spark = tagged.sparkSession
+    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    processor = _Restoring(keep_final, timeout_ms, keep_originals)
+    mode = "none" if timeout_ms is None else "processingTime"
+    raw = tagged.groupBy("request_num").transformWithState(processor, _RAW_EVENTS, "append", mode)
     fields = [f.strip().split(" ")[0] for f in _PAYLOAD.split(", ")]
     return raw.withColumn("p", F.from_json("payload", _PAYLOAD)).select(
         "request_num", "event_seq", "type", "chunk_seq", "content", *[f"p.{f}" for f in fields]

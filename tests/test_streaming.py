@@ -172,3 +172,76 @@ def test_session_numbers_over_batches(spark, tmp_path):
 def test_stream_needs_its_columns(spark, tmp_path, column):
     with pytest.raises(ValueError):
         mf.read_requests_stream(spark, str(tmp_path), ["request_num", column])
+
+
+class _Kept:
+    """A state variable that counts the characters written to it."""
+
+    def __init__(self):
+        self.value, self.list, self.map, self.written, self.read = None, [], {}, [], []
+
+    def exists(self):
+        return self.value is not None or bool(self.list) or bool(self.map)
+
+    def clear(self):
+        self.value, self.list, self.map = None, [], {}
+
+    def get(self):
+        return self.value if not self.list else iter(self.list)
+
+    def update(self, value):
+        self.value = value
+        self.written.append(len(str(value)))
+
+    def appendValue(self, value):  # noqa: N802
+        self.list.append(value)
+        self.written.append(len(str(value)))
+
+    def getValue(self, key):  # noqa: N802
+        self.read.append(key)
+        return self.map.get(key)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+        self.written.append(len(str(value)))
+
+    def removeKey(self, key):  # noqa: N802
+        del self.map[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self.states.setdefault(name, _Kept())
+
+    getListState = getMapState = getValueState
+
+
+def test_what_a_micro_batch_writes_does_not_grow_with_the_answer():
+    handle, processor = _Handle(), E._Restoring(True, None, True)
+    processor.init(handle)
+    mapping = {f"US_SSN_{i:04d}": f"<{i}>" for i in range(1, 2001)}
+    opened = json.dumps({"original_user": "u" * 5000, "mappings": mapping})
+    row = lambda kind, seq, content: {"kind": kind, "seq": seq, "content": content}
+    list(processor.handleInputRows((1,), [row("open", -1, opened)], None))
+    given, shown = [], []
+    for batch in range(300):
+        rows = [row("chunk", 2 * batch + i, f"{'word ' * 20}US_SSN_{batch + 1:04d} ") for i in (1, 0)]
+        given += [r["content"] for r in reversed(rows)]
+        shown += [e["content"] for e in processor.handleInputRows((1,), rows, None)]
+    states = handle.states
+    assert max(states["place"].written) < 100 and max(states["answer"].written) < 300
+    assert len(states["originals"].written) == len(states["facts"].written) == 1
+    assert len(states["entries"].written) == 2000 and len(states["entries"].read) <= 2 * 300
+    *rest, final = processor.handleInputRows((1,), [row("end", 600, None)], None)
+    want = "".join(given)
+    for key, value in mapping.items():
+        want = want.replace(key, value)
+    assert "".join([*shown, *[e["content"] for e in rest]]) == want == json.loads(final["payload"])["final_response"]
+    assert [name for name, state in states.items() if state.exists()] == ["closed"]
+    assert list(processor.handleInputRows((1,), [row("chunk", 0, "again")], None)) == []
