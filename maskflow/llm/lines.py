@@ -45,7 +45,11 @@ PIECES = 16
 
 
 def _normal(line: Column) -> Column:
-    return F.lower(F.trim(line, F.lit(SPACE_CHARS)))
+    # Taking off other white space than blanks costs more, so only where there is some.
+    body = F.trim(line)
+    others = [test(body, F.lit(c)) for c in SPACE_CHARS[1:] for test in (F.startswith, F.endswith)]
+    some = functools.reduce(Column.__or__, others)
+    return F.lower(F.when(some, F.trim(line, F.lit(SPACE_CHARS))).otherwise(body))
 
 
 def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
