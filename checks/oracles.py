@@ -295,6 +295,8 @@ ORACLES: dict[str, str] = {
         SELECT request_num, row_number() OVER (PARTITION BY request_num ORDER BY ev.seq) - 1 AS event_seq,
             type, content, CASE WHEN type <> 'chunk' THEN original_user END AS original_user, error
         FROM ev JOIN masked ON request_num = request_id WHERE {X.BROKEN}""",
+    "sink_vault": f"""{_masked('request')} SELECT id AS request_num, ord, ph AS placeholder, value AS original
+        FROM entry""",
     "stream_summary": f"""WITH {RAW} SELECT count(*) AS total,
         count(*) FILTER (NOT ({X.BROKEN})) AS successful,
         count(*) FILTER ({X.BROKEN}) AS failed FROM raw""",
@@ -345,3 +347,5 @@ ORACLES: dict[str, str] = {
             CAST(sum(s) AS BIGINT) AS us_ssn, CAST(sum(p) AS BIGINT) AS phone_number,
             CAST(sum(e) AS BIGINT) AS email_address FROM doc GROUP BY ROLLUP (lang, source)""",
 }
+ORACLES["sink_events"] = f"""SELECT request_num, event_seq, type, content, final_response, error
+    FROM ({ORACLES["stream_outcomes"]})"""

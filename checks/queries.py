@@ -202,7 +202,7 @@ def stream_session_batches(spark, sf):
         third.coalesce(1).write.options(header=True, escape='"').csv(f"{path}/part{part}")
     stream = mf.read_requests_stream(spark, f"{path}/*", files_per_batch=1)
     W.write_masked_session_stream(stream, out, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("batch", "request_num", "redacted_system", "redacted_user")
+    return W.read_committed(spark, out).select("batch", "request_num", "redacted_system", "redacted_user")
 
 
 @query
@@ -686,6 +686,31 @@ def stream_summary(spark, sf):
     return mf.stream_summary(_events(spark, sf, broken=True))
 
 
+def _two_sinks(spark, sf) -> tuple[str, str]:
+    """Events and vault of all streams, written by micro-batches; run again on nothing new."""
+    out, kept, progress = (new_path(spark, name) for name in ("events", "vault", "progress"))
+    stream = mf.restore_stream(as_stream(tagged(spark, sf, True)))
+    for _ in range(2):
+        W.write_event_stream(stream, out, progress, kept).awaitTermination()
+    return out, kept
+
+
+@query
+@with_workers
+def sink_events(spark, sf):
+    out, _ = _two_sinks(spark, sf)
+    return W.read_committed(spark, out).select(
+        "request_num", F.col("event_seq").cast("long").alias("event_seq"), "type", "content", "final_response", "error"
+    )
+
+
+@query
+@with_workers
+def sink_vault(spark, sf):
+    rows = W.read_committed(spark, *_two_sinks(spark, sf))
+    return rows.select("request_num", F.col("ord").cast("long").alias("ord"), "placeholder", "original")
+
+
 def _words(model):
     def complete(system, user):
         yield ""

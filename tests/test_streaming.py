@@ -103,6 +103,27 @@ def test_two_sinks(spark, tmp_path):
     assert [(r.placeholder, r.original) for r in kept] == [("A_0001", "X"), ("B_0001", "Y"), ("C_0001", "Z")]
 
 
+def test_readers_see_both_tables_of_a_batch_or_neither(spark, tmp_path):
+    out, vault = str(tmp_path / "out"), str(tmp_path / "vault")
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "id long, name string")
+
+    def fails():
+        raise RuntimeError("lost")
+
+    with pytest.raises(FileNotFoundError):
+        W.read_committed(spark, out)
+    W._write_batch(out, 0, {out: lambda: rows, vault: lambda: rows.select("id")})
+    with pytest.raises(RuntimeError):
+        W._write_batch(out, 1, {out: lambda: rows, vault: fails})
+    assert spark.read.parquet(out).count() == 10  # the first table of the failed attempt is there
+    assert W.read_committed(spark, out).count() == W.read_committed(spark, out, vault).count() == 5
+    for _ in range(2):  # done again, and replayed once more
+        W._write_batch(out, 1, {out: lambda: rows, vault: lambda: rows.select("id")})
+    for table in (None, vault):
+        got = W.read_committed(spark, out, table)
+        assert sorted((r.batch, r.id) for r in got.collect()) == [(b, i) for b in (0, 1) for i in range(5)]
+
+
 def test_abandoned_request_times_out(spark, tmp_path):
     folder = str(tmp_path / "in")
     arrive(spark, folder, tagged_rows(LITERALS[1:2])[:-1])
