@@ -73,3 +73,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM measured
 """
+
+# CRC-32 of a decimal number, bit by bit; 3988292384 is its polynomial, 4294967295 all ones.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+ORACLES["op11_conversation_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns,
+    {_CRC} % 9 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), member AS (
+  SELECT conv_id, d, turns[1:d] AS k, len(turns) = d AS last FROM built, unnest(range(0, len(turns) + 1)) AS u(d)
+), node AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM member GROUP BY d, k
+), kids AS (
+  SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), known AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN d > 0 THEN (n_convs - 1) * strlen(k[d].t) ELSE 0 END AS worth
+  FROM node LEFT JOIN kids USING (d, k)
+), below AS (
+  SELECT a AS d, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(worth)::BIGINT AS saved_tokens
+  FROM known, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens,
+  sha256(n.ends) AS ends_sha256
+FROM known n JOIN below b ON n.d = b.d AND n.k = b.k LEFT JOIN node p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""

@@ -126,3 +126,15 @@ def test_tree_against_prefix_counts():
             n, least = want.get(k[:d], (0, name))
             want[k[:d]] = (n + 1, min(least, name))
     assert counted == want
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+
+    from maskflow.llm.oracles import ORACLES
+
+    rows = random_rows(5, 120) + [(-7, 0, "a", "b"), (None, 1, "user", "x")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(ORACLES["op11_conversation_trie"]).fetchall(), key=repr) == brute(rows)
