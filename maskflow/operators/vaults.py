@@ -27,10 +27,12 @@ def unredact_with_vault(
     answer to its vault rows (they may repeat, e.g. many answers to one
     request). Each answer asks once for each placeholder in it and gets its own
     small mapping back. Gives the columns of ``answers`` plus ``restored``.
+    Answers without anything like a placeholder take no part in any shuffle.
     """
     pattern = P.token_pattern(entities)
+    some = F.coalesce(F.col(text).rlike(pattern), F.lit(False))
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    asked = answers.filter(F.col(text).rlike(pattern)).select(
+    asked = answers.filter(some).select(
         key, *[c for c in scope if c != key], F.explode(tokens).alias("placeholder")
     )
     known = vault.select(*scope, "placeholder", "original")
@@ -42,4 +44,5 @@ def unredact_with_vault(
         .agg(F.map_from_entries(pairs).alias("_known"))
     )
     restored = unredact_tokens(F.col(text), F.col("_known"), entities)
-    return answers.join(maps, key, "left").withColumn("restored", restored).drop("_known")
+    touched = answers.filter(some).join(maps, key, "left").withColumn("restored", restored).drop("_known")
+    return touched.unionByName(answers.filter(~some).withColumn("restored", F.col(text)))

@@ -73,6 +73,17 @@ def test_vault_restores_many_answers_to_one_request(spark, hot_rows):
     assert (got[20], got[21]) == ("none", None)
 
 
+def test_answers_without_placeholders_are_not_shuffled(spark, tmp_path):
+    vault = spark.createDataFrame([(1, "US_SSN_0001", "856-45-6789")], "r long, placeholder string, original string")
+    rows = [(i, 1, "plain text" if i % 4 else "US_SSN_0001") for i in range(40)]
+    spark.createDataFrame(rows, "a long, r long, t string").write.parquet(str(tmp_path / "answers"))
+    out = unredact_with_vault(spark.read.parquet(str(tmp_path / "answers")), vault, "a", "t", ["r"])
+    assert {r.a: r.restored for r in out.collect()} == {i: "plain text" if i % 4 else "856-45-6789" for i in range(40)}
+    union = out._jdf.queryExecution().sparkPlan()
+    plain = union.children().apply(1).toString()
+    assert "Join" not in plain and "Exchange" not in plain and "RLIKE" in plain.upper()
+
+
 @pytest.mark.parametrize("parts", [None, 1, 3, 40])
 def test_hot_key_is_dealt_to_many_ranges(spark, parts):
     rnd = random.Random(7)
