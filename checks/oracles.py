@@ -155,6 +155,7 @@ _CHUNK_EVENTS = """shown AS (
 
 ORACLES: dict[str, str] = {
     "read_requests": f"WITH {REQ} SELECT * FROM req",
+    "read_requests_split": f"WITH {REQ} SELECT * FROM req",
     "normalize_text": f"WITH {REQ} SELECT * FROM req",
     "number_requests": """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS request_num
         FROM orders""",

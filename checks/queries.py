@@ -145,6 +145,13 @@ def read_requests(spark, sf):
     return mf.read_requests(spark, path)
 
 
+@query
+def read_requests_split(spark, sf):
+    """Cells with line breaks, read by file block; numbers follow file order."""
+    path = write_csv(raw_requests(spark, sf).orderBy("request_num").drop("request_num"))
+    return mf.read_requests(spark, path, multi_line="split")
+
+
 @query
 def normalize_text(spark, sf):
     return raw_requests(spark, sf).select(

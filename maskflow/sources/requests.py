@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from maskflow.operators.ranges import Ranges, ahead
+from maskflow.sources.csv_blocks import read_split
 
 REQUIRED = ("system_prompt", "prompt")
 
@@ -53,19 +54,28 @@ def project_requests(df: DataFrame) -> DataFrame:
 
 
 def read_requests(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = True
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool | str = True
 ) -> DataFrame:
     """Read request CSV files: request_num, system_prompt, prompt.
 
     Every column is read as text. ``request_num`` counts from 1 in file order
     (files by path). Quoted line breaks need ``multi_line``, which makes a file
-    one task; turn it off for large files without them.
+    one task; turn it off for large files without them. ``"split"`` reads such
+    files in many tasks, if quotes stand around cells alone (``csv_blocks``).
 
     Numbering shuffles no text: a first pass counts the rows of each file part
     and the second adds the part's offset to the position in the part.
     """
-    raw = spark.read.options(**_csv_options(multi_line)).csv(path)
+    raw = spark.read.options(**_csv_options(bool(multi_line))).csv(path)
     require_columns(raw)
+    if multi_line == "split":
+        rows = read_split(spark, path, raw.columns, _csv_options(True))
+        # One row per file.
+        files = rows.groupBy("file").agg(F.max("record").alias("_rows"))
+        earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        files = files.select("file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_ahead"))
+        number = F.col("_ahead") + F.col("record")
+        return project_requests(rows.join(files, "file").select(number.alias("request_num"), *REQUIRED))
     at = F.monotonically_increasing_id()
     rows = raw.select(
         *REQUIRED,

@@ -1,5 +1,8 @@
 """CSV sources, completion, result records."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +212,30 @@ def test_nothing_to_do(spark, tmp_path):
     none = spark.createDataFrame([], "request_id long, seq long, content string")
     maps = spark.createDataFrame([], "request_id long, mapping map<string,string>")
     assert mf.release_chunks(none, maps).count() == mf.full_answers(none, maps).count() == 0
+
+
+@pytest.mark.parametrize("block", [200, 1500, 10_000_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_in_many_tasks(spark, tmp_path, block, end):
+    rnd = random.Random(block)
+    cells = ["a", "", 'say "hi"', "two\nlines", "\n\n", ",", "é\n\"\n", "NA", "x" * 150 + "\n" + "y" * 250, " ", '"']
+    for f, n in enumerate([120, 1, 0, 40]):
+        with open(tmp_path / f"part-{f}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(["id", "system_prompt", "prompt"])
+            for i in range(n):
+                writer.writerow([f"{f}-{i}", rnd.choice(cells), rnd.choice(cells)])
+                if i % 9 == 0:
+                    out.write(end)
+    want = mf.read_requests(spark, str(tmp_path)).orderBy("request_num").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        rows = mf.read_requests(spark, str(tmp_path), multi_line="split")
+        got = rows.orderBy("request_num").collect()
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows.columns == ["request_num", "system_prompt", "prompt"] and len(want) == 161
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert (tasks > 5) == (block < 10_000)
