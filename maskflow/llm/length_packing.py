@@ -188,7 +188,7 @@ class Plan:
     """
 
     def __init__(self, counts: np.ndarray, lengths: np.ndarray, tokens: int):
-        self.tokens, self.kept = tokens, 0
+        self.tokens, self.kept = tokens, 1
         while True:
             self.patterns = patterns(counts[:, self.kept :].sum(axis=1), tokens)
             self.windows = sum(w * n for w, n, _ in self.patterns)
@@ -196,8 +196,9 @@ class Plan:
             self.spare = int(lengths[:, : self.kept].sum())
             if self.spare >= self.gaps:
                 break
-            self.kept += max(1, self.kept // 4)
-            self.kept = min(self.kept, SHARES)
+            # As many shares as would do if gaps shrink with what is packed.
+            open_ = self.gaps / int(lengths[:, self.kept :].sum())
+            self.kept = min(SHARES, max(self.kept + 1, -int(-SHARES * open_ // (1 + open_))))
         #: Slots by bin: first number of a piece, pieces in a window, first window, its size, first slot in it.
         slots, at = [], 0
         taken = np.zeros(len(counts), np.int64)
