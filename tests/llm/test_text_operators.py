@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -463,6 +464,61 @@ def test_main_text_by_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<!-- open") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h1>H</h1><div class="overflow-hidden"><p>The whole story.</p></div></article>', "H\nThe whole story."),
+        *[
+            (f"<article><h1>H</h1><div class='{name}'><p>kept</p></div></article>", "H\nkept")
+            for name in ("side-by-side", "related-work", "alert-system", "form-factor", "social-history", "search-results", "article-header")
+        ],
+        *[
+            (f"<article><h1>H</h1><div class='{name}'><p>gone</p></div></article>", "H")
+            for name in ("cookie-notice", "siteFooter", "share_buttons", "x ad", "comment-list", "sidebar left")
+        ],
+        ("<article><section id='search'>How to search</section><section id='comments'>no</section></article>", "How to search"),
+        ("<div id=post>Post text</div><article class='comment'>reader says</article>", "Post text"),
+        ("<article>Text</article><section id=comments><article>Reader</article></section>", "Text"),
+        ("<article>Text</article><aside><article>Teaser</article></aside>", "Text"),
+        ("<form id=page><article>Text</article></form>", "Text"),
+        ("<article><p>x <span class=share>Share</p><p>Text <span class='ad'>Buy</span> on</p></article>", "x\nText on"),
+        ("<article><p class=ad>Buy<p>Text</p></article>", "Text"),
+        ("<article><a title='x > y'>link</a> 1 < 2 &amp; 3</article>", "link 1 < 2 & 3"),
+        ("<article><p>it's <a b=c>don't</a></p></article>", "it's don't"),
+        ("<article><svg>in<p>yes</p></article>", "in\nyes"),
+        ("<article hidden>no</article><article aria-hidden=false><p>yes</article>", "yes"),
+        ("<article><div style='display: none'>no</div><a x='unclosed>text</a> more</article>", "text more"),
+    ],
+)
+def test_main_text_of_odd_markup(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000,
+        "<a x='" * 170_000,
+        "<a ='" * 200_001 + ">",
+        "<div>" * 200_000,
+        "<div>" * 90_000 + "</section>" * 90_000,
+        "<table><article>" + "<div>" * 60_000 + "</table>" * 60_000,
+        "<svg>" * 200_000,
+        "<!--" * 250_000,
+        "<span class=ad>" * 50_000 + "</p>" * 50_000,
+        "<div a" + " " * 1_000_000 + ">",
+        "</script" * 120_000 + "<script>x",
+        "<noscript></noscript " * 50_000,
+        "&#" * 500_000,
+    ],
+    ids=lambda page: page[:12],
+)
+def test_parse_is_linear(page):
+    start = time.process_time()
+    html.blocks_of(page)
+    assert time.process_time() - start < 8
+
+
 def test_repeated_runs_of_a_host_go(spark, odd):
     menu, legal = "Home News Sport Weather Travel About us today", "All rights reserved by the owners of this site"
     rows = []
