@@ -8,19 +8,27 @@ candidate templates of a text and the diagonals on which they lie; around
 each, template and text are aligned word by word in a band, and the share of
 the template's words that match, and where, is reported.
 
+A short notice may have no such run: any match of it holds one of its anchors,
+its rarest words, one more than a match may lack, so each is a place to align at.
+What a match covers is taken off the text before the next one is looked for.
+
 One pass over the texts, no shuffle; the work on a text is linear in it but
 for the alignments, which are as long as a template.
 
 Defined results: null and empty texts have no matches; a template is reported
-as often as it occurs; of overlapping matches the one with the higher
+as often as it occurs, in texts of any length; of overlapping matches the one with the higher
 coverage stays, then the longer one, then the one listed first; repeated rows
 have equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -29,6 +37,8 @@ from pyspark.sql import functions as F
 
 #: Words of a k-gram, k-grams of a window, places that an alignment may drift.
 GRAM, WINDOW, BAND = 3, 3, 8
+#: Templates of so many words or fewer are found by single rare words, too.
+SHORT = 20
 
 #: Notices and opening passages of common licenses.
 TEMPLATES: Mapping[str, str] = {
@@ -68,6 +78,7 @@ TEMPLATES: Mapping[str, str] = {
 }
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -97,9 +108,12 @@ def winnow(ids: np.ndarray, base: int, gram: int = GRAM, window: int = WINDOW) -
 
 
 class Index:
-    """The templates' words, and an inverted index of their fingerprints."""
+    """The templates' words, an inverted index of their fingerprints, and the anchors of short ones.
+
+    ``coverage`` is the least share of a short template's words that its anchors can find.
+    """
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float = 0.8):
         self.names = list(templates)
         split = [_WORD.findall(t.lower()) for t in templates.values()]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words), 1)}
@@ -109,6 +123,18 @@ class Index:
         for t, words in enumerate(self.words):
             for value, at in winnow(words, self.base):
                 self.where.setdefault(value, []).append((t, at))
+        # A match lacks so few words of a template that one of its anchors is among the others.
+        times = Counter(w for words in self.words for w in set(words.tolist()))
+        long = {i: len(w) for w, i in self.ids.items()}
+        self.anchors: dict[int, list[tuple[int, int]]] = {}
+        for t, words in enumerate(self.words):
+            if len(words) <= SHORT:
+                lacking = len(words) - math.ceil(coverage * len(words) - 1e-9)
+                rare = sorted(range(len(words)), key=lambda i: (times[int(words[i])], -long[int(words[i])], i))
+                for i in rare[: lacking + 1]:
+                    self.anchors.setdefault(int(words[i]), []).append((t, i))
+        self.anchor = np.zeros(self.base, dtype=bool)
+        self.anchor[list(self.anchors)] = True
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -141,42 +167,68 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return best[1:]
 
 
+def matches_of(t: int, seeds: list[tuple[int, int]], ids: np.ndarray, index: Index, coverage: float) -> list[tuple[int, int, int]]:
+    """(matches, first, end) of all occurrences of template ``t`` around its seeds (place in the text, place in the template)."""
+    template = index.words[t]
+    size, own = len(template), np.zeros(index.base, dtype=bool)
+    own[template] = True
+    # Words of the template up to each place of the text: too few in the band's reach, and nothing is aligned.
+    upto = np.concatenate([[0], np.cumsum(own[ids])])
+    left, past, missed = ids.copy(), 0, set()
+    found = []
+
+    def best(shift: int) -> tuple[int, int, int]:
+        low, high = max(0, shift - BAND), max(0, min(len(ids), shift + size + BAND))
+        if upto[high] - upto[low] < coverage * size:
+            return 0, -1, -1
+        m, first, end = align(template, left[low:high], shift - low)
+        return m, first + low, end + low
+
+    for n, (at, i) in enumerate(seeds):
+        # The match found may be another one in the band, so a seed is tried until one covers it, or none is left.
+        while left[at] and at - i not in missed:
+            m, first, end = best(at - i)
+            if m < coverage * size:
+                missed.add(at - i)
+                break
+            # Other diagonals of the same words may show more of the template.
+            near = {at - i} | {b - j for b, j in takewhile(lambda seed: seed[0] < end, islice(seeds, n + 1, None))}
+            m, first, end = max((best(shift) for shift in sorted(near)), key=lambda f: (f[0], f[1] - f[2]))
+            found.append((m, first, end))
+            left[first:end] = 0
+    return found
+
+
 def find(text: str | None, index: Index, coverage: float = 0.8) -> list[tuple[str, int, int, float]]:
     """(template, start, end, coverage) of all matches, by start; places in code points."""
     if not text:
         return []
     # Lower-casing may change lengths beyond ASCII; such characters are no words here.
-    low = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else " " for c in text) if _may_match(text, index) else ""
+    low = (text if text.isascii() else _BEYOND.sub(" ", text)).lower()
     words = _WORD.findall(low)
     get = index.ids.get
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-    seeds = sorted({(t, at - i) for value, at in winnow(ids, index.base) for t, i in index.where.get(value, ())})
-    if not seeds:
+    seeds: dict[int, set[tuple[int, int]]] = {}
+    for value, at in winnow(ids, index.base):
+        for t, i in index.where.get(value, ()):
+            seeds.setdefault(t, set()).add((at, i))
+    for at in np.flatnonzero(index.anchor[ids]).tolist():
+        for t, i in index.anchors[int(ids[at])]:
+            seeds.setdefault(t, set()).add((at, i))
+    found = []
+    for t, own in seeds.items():
+        size = len(index.words[t])
+        found += [(-m / size, -m, t, first, end) for m, first, end in matches_of(t, sorted(own), ids, index, coverage)]
+    if not found:
         return []
     places = [m.span() for m in _WORD.finditer(low)]
-    found, last = [], None
-    for t, shift in seeds:
-        if last is not None and last[0] == t and shift - last[1] <= BAND:
-            continue  # the band around the seed before holds this one
-        last = (t, shift)
-        size = len(index.words[t])
-        m, first, end = align(index.words[t], ids, shift)
-        if m >= coverage * size:
-            found.append((-m / size, -m, t, places[first][0], places[end - 1][1]))
     taken: list[tuple[int, int, int, float]] = []
-    for share, _, t, start, end in sorted(found):
-        if all(end <= s or start >= e for s, e, _, _ in taken):
-            taken.append((start, end, t, -share))
-    return [(index.names[t], s, e, round(share, 4)) for s, e, t, share in sorted(taken)]
-
-
-def _may_match(text: str, index: Index) -> bool:
-    """Cheap test on the lower-cased text: some run of template words is long enough."""
-    words = _WORD.findall(text.lower())
-    get = index.ids.get
-    known = np.fromiter((get(w, 0) for w in words), np.int64, len(words)) != 0
-    need = GRAM + WINDOW - 1
-    return len(known) >= need and bool((np.convolve(known, np.ones(need, dtype=np.int64), "valid") == need).any())
+    for share, _, t, first, end in sorted(found):
+        start, end = places[first][0], places[end - 1][1]
+        at = bisect_left(taken, (start,))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end, t, -share))
+    return [(index.names[t], s, e, round(share, 4)) for s, e, t, share in taken]
 
 
 MATCHES = "array<struct<license:string,start:int,end:int,coverage:double>>"
@@ -184,7 +236,7 @@ MATCHES = "array<struct<license:string,start:int,end:int,coverage:double>>"
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """``docs`` with ``licenses``: all template matches of each text, by start."""
-    index = Index(templates)
+    index = Index(templates, coverage)
 
     @F.pandas_udf(MATCHES)
     def matches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,8 +11,9 @@ blobs to scan. A common blob is no hot key there, as only the row that stands
 for it matches.
 
 Defined results: a null text is an empty one; repeated rows get the same
-findings; spans count code points, end exclusive; an empty history gives
-empty results and an empty ledger.
+findings; texts of any length are scanned whole, in time linear in their
+length; spans count code points, end exclusive; an empty history gives empty
+results and an empty ledger.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from string import ascii_letters, ascii_lowercase, digits
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,10 @@ class Rule:
     """A pattern for one kind of secret.
 
     A match counts if ``group`` of it has ``least`` characters or more. Only
-    texts with one of ``hints`` (lower-cased if ``fold``) are searched.
+    texts with one of ``hints`` (lower-cased if ``fold``) are searched. With
+    ``head``, the match begins where ``head`` does, the leftmost that reaches
+    ``pattern``'s match through characters of ``run``; so the search starts at
+    the rarer middle, and a long run is passed once, not from each of its places.
     """
 
     kind: str
@@ -44,11 +49,31 @@ class Rule:
     least: int = 0
     hints: tuple[str, ...] = ()
     fold: bool = False
+    run: frozenset[str] = frozenset()
+    head: str = ""
 
     @property
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of all matches that count, leftmost first, none overlapping."""
+        past = 0
+        for m in re.compile(self.pattern, self.flags).finditer(text):
+            if m.end(self.group) - m.start(self.group) < self.least:
+                continue
+            start, end = m.start(), m.end(self.group) if self.head else m.end()
+            if self.head:
+                low = start
+                while low > past and text[low - 1] in self.run:
+                    low -= 1
+                head = re.compile(f"(?:{self.head})\\Z", self.flags).search(text[low:start])
+                if start < past or not head:
+                    continue
+                start = low + head.start()
+            past = end
+            yield start, end
+
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -58,9 +83,13 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", least=16, hints=("AKIA",)),
     Rule("hex", 1, r"[0-9a-f]{32,}", least=32),
     Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyJ",)),
+    # The second part and the signature are looked ahead at, as each part may turn out to be the first of a token.
+    Rule(
+        "jwt", 2, r"\.(?=(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+))", group=1, hints=("eyJ",), run=frozenset(ascii_letters + digits + "_-"),
+        head=r"eyJ[A-Za-z0-9_-]{8,}",
+    ),
     Rule("prefixed", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})", hints=("gh", "xox", "AIza")),
-    Rule("url", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@", hints=("://",)),
+    Rule("url", 2, r"://[^\s:/@]++:[^\s:/@]{3,}+@", hints=("://",), run=frozenset(ascii_lowercase + digits + "+.-"), head=r"[a-z][a-z0-9+.-]+"),
 )
 
 _HEX_DIGITS = bytes(ord("h") if chr(b) in "0123456789abcdef" else ord(".") for b in range(256))
@@ -80,9 +109,7 @@ def scan_text(text: str | None, rules: Sequence[Rule] = RULES) -> list[tuple[str
                 low = text.lower()
             if not any(h in (low if rule.fold else text) for h in rule.hints):
                 continue
-        for m in re.compile(rule.pattern, rule.flags).finditer(text):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                found.append((m.start(), order, rule.kind, m.end()))
+        found += [(start, order, rule.kind, end) for start, end in rule.spans(text)]
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 

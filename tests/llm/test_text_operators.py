@@ -1,7 +1,9 @@
 """Operators for training text against plain Python, and their odd inputs."""
 
+import hashlib
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -144,6 +146,46 @@ def test_secret_rules():
     assert secrets.scan_text(None) == [] == secrets.scan_text("")
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mysql://u:" + "p" * 129 + "@h", [("url", 0, 140)]),
+        ("9http://" + "u" * 65 + ":pwd@h x://a:bcd@", [("url", 1, 78)]),
+        ("1eyJabcdefghi.eyJabcdefghi.sigsigsig1", [("jwt", 1, 37)]),
+        ("x.eyJabcdefghi.eyJabcdefghi.sigsigsig1 eyJabcd.eyJabcdefghi.sigsigsig1", [("jwt", 2, 38)]),
+    ],
+)
+def test_secrets_of_any_length(text, found):
+    assert secrets.scan_text(text) == found
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["eyJ" * 300_000, "eyJabcdefgh." * 80_000, "a" * 10**6 + "://", "a:" * 500_000 + "://", "a://" * 250_000, "a://b:c" * 140_000, "token " * 150_000],
+    ids=lambda text: text[:12],
+)
+def test_scan_is_linear(text):
+    start = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - start < 5
+
+
+def test_base_spans_against_a_plain_scan(spark):
+    sf = "/root/testdata/sf0.001"
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r["text"] or ""
+        hits = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[1]) >= 8]
+        hits += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        hits += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        named = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(hits))
+        n = Counter(kind for _, _, kind, _ in hits)
+        want[r["doc_id"]] = (n["assign"], n["access"], n["hex"], hashlib.sha256(named.encode()).hexdigest())
+    got = queries.QUERIES["op2_secret_scan"](spark, sf).collect()
+    assert {r["doc_id"]: tuple(r[1:5]) for r in got} == want and len(got) == len(want)
+
+
 def test_ledger_scans_only_what_is_new(spark):
     rows = [("a", 1, "token=abcdefgh"), ("a", 2, "clean"), ("b", 1, "token=abcdefgh"), (None, 1, None)]
     history = spark.createDataFrame(rows, "path string, version int, text string")
@@ -357,6 +399,53 @@ def test_winnowing_finds_every_run_it_must():
         assert x & y
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Licensed under CC BY 4.0. " * 4, ["CC-BY-4.0-notice"] * 4),
+        ("Released under the MIT License.\n" * 6, ["MIT-notice"] * 6),
+        ("Licensed under the Apache License, Version 2.0. " * 5, ["Apache-2.0-notice"] * 5),
+        ("Released under our MIT License.", ["MIT-notice"]),
+        ("Released under the new MIT License.", ["MIT-notice"]),
+        ("Released under some MIT thing", []),
+    ],
+)
+def test_short_notices_as_often_as_they_occur(text, found):
+    assert [f[0] for f in licenses.find(text, licenses.Index(licenses.TEMPLATES))] == found
+
+
+def test_anchors_miss_nothing_that_any_equal_word_finds():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(5)
+    words = sorted(index.ids)
+    hits = 0
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            text += rng.choices(words, k=rng.randint(0, 6))
+            notice = list(index.words[rng.choice([t for t, w in enumerate(index.words) if len(w) <= licenses.SHORT])])
+            text += [rng.choice(words) if rng.random() < 0.12 else words_of(index)[w] for w in notice]
+        ids = np.array([index.ids[w] for w in text])
+        for t, own in enumerate(index.words):
+            if len(own) <= licenses.SHORT:
+                seeds = [(at, i) for at in range(len(ids)) for i in range(len(own)) if ids[at] == own[i]]
+                anchors = [(at, i) for at, i in seeds if (t, i) in index.anchors.get(int(own[i]), ())]
+                plain, quick = (licenses.matches_of(t, s, ids, index, 0.8) for s in (seeds, anchors))
+                hits += len(plain)
+                assert len(plain) == len(quick)
+    assert hits > 200
+
+
+def words_of(index):
+    return {i: w for w, i in index.ids.items()}
+
+
+def test_licenses_are_linear_in_notices():
+    index = licenses.Index(licenses.TEMPLATES)
+    start = time.process_time()
+    assert len(licenses.find("Released under the MIT License. " * 8000, index)) == 8000
+    assert time.process_time() - start < 25
+
+
 def test_licenses_odd_rows(odd, none):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
 
