@@ -3,19 +3,28 @@
 A page is parsed into blocks of text in page order. Blocks in an article (or
 main) element are the main text. Blocks that the markup names as something
 else (menus, headers, footers, sidebars, adverts, forms, notices, comments) are
-not. All others are open. Runs of ``RUN`` tokens of open blocks are repeated
-if they stand in ``BODIES`` distinct bodies of a host at least, and in ``SHARE``
-of its bodies; a body is all text of a page but the named blocks, so copies of
-a page, whatever their urls and menus, count once. Tokens that repeated runs
-cover are boilerplate; of open blocks the uncovered tokens stay, on pages that
-have no article. Never cut are articles, headings, shorter blocks and pages
-without a host.
-
-The runs of a host are not brought together. They are hashed, and aggregated
-by run and body before they are by run, so a host, or a menu, with a third of
-all pages is no hot group. A page's html stays where
-it is but for a join with the repeated places of its open blocks, where there
-are any.
+not. All others are open, and are the main text of pages without an article.
+
+Markup does not tell all. A substring of ``RUN`` tokens or more is boilerplate if
+it stands in ``BODIES`` distinct bodies of a host at least, and in ``SHARE`` of
+its bodies; a body is all text of a page but the named blocks, so copies of
+a page, whatever their urls and menus, count once. Such substrings are found
+in the sorted suffixes of a host's blocks: where neighbours have ``RUN`` tokens
+in common, they are of one repeat (``repeats``). Each longer repeat is the
+union of its parts of ``RUN`` tokens, each in as many bodies at least, so what
+is covered is what the maximal repeats cover. Of open blocks the covered tokens
+go. Of an article those blocks go that are covered whole and begin as blocks
+of as many bodies do (share lines, notices without a telling class); if they were
+more than half of its words, it is a copy with changes, and nothing goes.
+Never cut are headings, shorter blocks and pages without a host.
+
+Only suffixes that can matter are sorted: the runs of open blocks, and those
+that begin blocks of articles, are hashed and counted first, by run and body before by
+run, and blocks without a frequent one take no further part. Suffixes are sorted by
+range, with the page as salt, so a host, or a menu, with a third of all pages is no hot
+group; repeats that go over a limit of two ranges are put together by one row
+per range. A page's html stays where it is but for joins with blocks that have
+frequent runs and with repeated places.
 
 Defined results: null or empty html gives empty text; a null or odd url
 belongs to no host; equal rows count as one page and have equal results;
@@ -34,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +51,8 @@ from maskflow.llm.common import unused, write_table
 
 #: Tokens of a run; shorter blocks are never cut.
 RUN = 6
+#: Tokens by which suffixes are sorted.
+DEPTH = 2 * RUN
 #: Distinct bodies of a host that a repeated run stands in, at least, and share of its bodies.
 BODIES, SHARE = 3, 0.5
 
@@ -193,7 +205,7 @@ def _tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
-    """(kind, text) of a page's blocks in order; kind: main, other, open or, of open headings, head."""
+    """(kind, text) of a page's blocks in order; kind: main, other, open or, of headings, title (of articles) or head."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     # Of each open element its tag and, with all around it: other, apart, in an article, muted; and blocks opened in it.
@@ -205,7 +217,7 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(("head" if heading and kind == "open" else kind, text))
+            out.append(({"open": "head", "main": "title"}.get(kind, kind) if heading else kind, text))
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
@@ -263,10 +275,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def heads(text: str, run: int = RUN) -> list[tuple[int, str]]:
-    """(token number, run) of each run of ``run`` tokens of a block."""
+def heads(text: str, run: int = RUN, most: int | None = None, depth: int | None = None) -> list[tuple[int, str]]:
+    """(token number, its first ``depth`` tokens) of the suffixes of a block, of ``run`` tokens or more; the first ``most``."""
     words = text.split(" ")
-    return [(i, " ".join(words[i : i + run])) for i in range(len(words) - run + 1)]
+    count = max(0, len(words) - run + 1)
+    return [(i, " ".join(words[i : i + (depth or run)])) for i in range(count if most is None else min(most, count))]
 
 
 def uncovered(text: str, starts: list[int], run: int = RUN) -> str:
@@ -278,50 +291,152 @@ def uncovered(text: str, starts: list[int], run: int = RUN) -> str:
     return " ".join(w for w, c in zip(words, cover, strict=True) if not c)
 
 
+def _has_article(blocks: list[tuple[str, str]]) -> bool:
+    return any(kind in ("main", "title") for kind, _ in blocks)
+
+
+def _of_article(blocks: list[tuple[str, str]], repeated: dict[int, list[int]]) -> Iterator[str]:
+    """The blocks of an article but those that repeats cover whole, unless these are more than half of it."""
+    own = [(n, kind, text) for n, (kind, text) in enumerate(blocks) if kind in ("main", "title")]
+    covered = {n for n, kind, text in own if kind == "main" and n in repeated and not uncovered(text, repeated[n])}
+    words = {n: text.count(" ") + 1 for n, _, text in own}
+    if 2 * sum(words[n] for n in covered) > sum(words.values()):
+        covered = set()
+    return (text for n, _, text in own if n not in covered)
+
+
 def main_text(html: str | None, repeated: dict[int, list[int]] | None = None) -> str:
-    """The main text, given the repeated places (block number to token numbers) of the open blocks."""
-    found = blocks_of(html)
-    if any(kind == "main" for kind, _ in found):
-        return "\n".join(text for kind, text in found if kind == "main")
+    """The main text, given the repeated places (block number to token numbers) of open blocks and of an article's."""
+    found, repeated = blocks_of(html), repeated or {}
+    if _has_article(found):
+        return "\n".join(_of_article(found, repeated))
     kept = []
     for number, (kind, text) in enumerate(found):
         if kind == "open":
-            kept.append(uncovered(text, (repeated or {}).get(number, [])))
+            kept.append(uncovered(text, repeated.get(number, [])))
         elif kind == "head":
             kept.append(text)
     return "\n".join(t for t in kept if t)
 
 
+def _body(blocks: list[tuple[str, str]]) -> int:
+    """A number of the page's body: all of its text but the named blocks."""
+    own = "\n".join(text for kind, text in blocks if kind != "other")
+    return int.from_bytes(hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def common_tokens(a: str, b: str) -> int:
+    """With how many equal tokens two suffixes begin."""
+    n = 0
+    for x, y in zip(a.split(" "), b.split(" "), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def repeats(suffixes: DataFrame, run: int = RUN) -> DataFrame:
+    """``suffixes`` (host, head and others) with ``repeat``: the same for all that are neighbours by ``run`` tokens.
+
+    Suffixes are sorted by range of host, head and, as salt, all else, and each
+    is compared with the one before it. Repeats are numbered within a range;
+    one that goes on from the range before has the number it had there.
+    """
+    names = suffixes.columns
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, before = TaskContext.get().partitionId(), -1, None
+        for batch in batches:
+            numbers, edge = [], [False] * len(batch)
+            if before is None:
+                edge[:1] = [True] * len(edge[:1])
+            for now in zip(batch["host"], batch["head"], strict=True):
+                if before is None or before[0] != now[0] or before[1] != now[1] and common_tokens(before[1], now[1]) < run:
+                    number += 1
+                numbers.append(number)
+                before = now
+            yield batch.assign(part=part, number=numbers, edge=edge)
+            # The last of each batch, too, as none knows whether it is the last of the range.
+            if edge:
+                yield batch.iloc[-1:].assign(part=part, number=number, edge=None)
+
+    order = [F.col(c) for c in ("host", "head", *[c for c in names if c not in ("host", "head")])]
+    dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in suffixes.dtypes) + ", part int, number int, edge boolean"
+    rows, _ = write_table(dealt.mapInPandas(neighbours, schema), "suffixes")
+    # One row per range and end: the limits between ranges.
+    ends = rows.filter("edge OR edge IS NULL").groupBy("part").agg(
+        F.min_by(F.struct("host", "head"), F.when(F.col("edge"), 0)).alias("first"),
+        F.max_by(F.struct("host", "head", "number"), F.when(F.isnull("edge"), F.struct("number", "host", "head"))).alias("last"),
+    )
+    moved, last = [], None
+    for end in sorted(ends.collect(), key=lambda r: r["part"]):
+        first, of = end["first"], (end["part"], 0)
+        if last and last[0] == first["host"] and common_tokens(last[1], first["head"]) >= run:
+            of = last[2]
+            moved.append((end["part"], 0, *of))
+        number = end["last"]["number"]
+        last = end["last"]["host"], end["last"]["head"], of if number == 0 else (end["part"], number)
+    moves = suffixes.sparkSession.createDataFrame(moved, "part int, number int, to_part int, to_number int")
+    met = rows.filter("edge IS NOT NULL").join(F.broadcast(moves), ["part", "number"], "left")
+    repeat = F.struct(F.coalesce("to_part", "part").alias("part"), F.coalesce("to_number", "number").alias("number"))
+    return met.select(*names, repeat.alias("repeat"))
+
+
 def repeated_places(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """(key, places) of pages (key, host, html): repeated (block, token) places of their open blocks."""
+    """(key, places) of pages (key, host, html): repeated (block, token) places of their open blocks and of articles' blocks."""
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, host, html in zip(batch["key"], batch["host"], batch["html"], strict=True):
                 found = blocks_of(html)
-                own = "\n".join(text for kind, text in found if kind != "other")
-                body = int.from_bytes(hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                rows.append((host, None, key, body, -1, -1, False))
-                article = any(kind == "main" for kind, _ in found)
+                body, article = _body(found), _has_article(found)
+                rows.append((host, None, key, body, -1, False))
                 for number, (kind, text) in enumerate(found):
                     if kind == "open":
-                        rows += [(host, head, key, body, number, at, not article) for at, head in heads(text, run)]
-            yield pd.DataFrame(rows, columns=["host", "head", "key", "body", "block", "token", "open"])
+                        rows += [(host, head, key, body, number, not article) for _, head in heads(text, run)]
+                    elif kind == "main":
+                        rows += [(host, head, key, body, number, True) for _, head in heads(text, run, 1)]
+            yield pd.DataFrame(rows, columns=["host", "head", "key", "body", "block", "cut"])
 
     # Each page gives one more row, without a run: the bodies that have it are all of the host.
     named = pages.filter("host <> ''")
-    found = named.mapInPandas(suffixes, "host string, head string, key long, body long, block int, token int, open boolean")
+    found = named.mapInPandas(seeds, "host string, head string, key long, body long, block int, cut boolean")
     hashes = F.xxhash64("host", "head").alias("a"), F.xxhash64("head", F.lit(1), "host").alias("b")
     # Written, as it is read three times and pages are costly to parse.
     found, _ = write_table(
-        found.select(F.xxhash64("host").alias("host"), F.isnull("head").alias("page"), *hashes, "key", "body", "block", "token", "open"), "runs"
+        found.select(F.xxhash64("host").alias("host"), F.isnull("head").alias("page"), *hashes, "key", "body", "block", "cut"), "runs"
+    )
+    met = found.groupBy("host", "page", "a", "b").agg(F.count_distinct("body").alias("n"), F.max("cut").alias("cut"))
+    hosts = met.filter("page").select("host", F.greatest(F.lit(BODIES), F.ceil(SHARE * F.col("n"))).alias("least"))
+    often = met.filter("NOT page AND cut").join(hosts, "host").filter("n >= least").select("a", "b")
+    # All blocks with a frequent run, those that are not cut, too: their bodies count.
+    some = found.filter("NOT page").join(often, ["a", "b"]).groupBy("key")
+    some, _ = write_table(some.agg(F.collect_set("block").alias("blocks")), "blocks")
+    if some.isEmpty():
+        return some.select("key", F.array().cast("array<struct<block:int,token:int>>").alias("places"))
+
+    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, host, html, blocks in zip(batch["key"], batch["host"], batch["html"], batch["blocks"], strict=True):
+                found = blocks_of(html)
+                body, article = _body(found), _has_article(found)
+                for number in blocks:
+                    kind, text = found[number]
+                    cut = kind == "main" or not article
+                    rows += [(host, head, key, body, int(number), at, cut) for at, head in heads(text, run, depth=max(run, DEPTH))]
+            yield pd.DataFrame(rows, columns=["host", "head", "key", "body", "block", "token", "cut"])
+
+    parsed = named.join(some, "key").select("key", "host", "html", "blocks").mapInPandas(
+        suffixes, "host string, head string, key long, body long, block int, token int, cut boolean"
     )
-    met = found.groupBy("host", "page", "a", "b").agg(F.count_distinct("body").alias("n"), F.max("open").alias("open"))
-    hosts = met.filter("page").select("host", F.col("n").alias("bodies"))
-    often = met.filter("NOT page AND open").filter(F.col("n") >= BODIES).join(hosts, "host")
-    often = often.filter(F.col("n") >= SHARE * F.col("bodies")).select("a", "b")
-    hits = found.filter("open").join(often, ["a", "b"])
+    # Written, as bounds of ranges are sampled before rows are dealt.
+    parsed, _ = write_table(parsed, "heads")
+    placed = repeats(parsed, run).withColumn("host", F.xxhash64("host"))
+    counted = placed.groupBy("host", "repeat").agg(F.count_distinct("body").alias("n")).join(hosts, "host")
+    hits = placed.filter("cut").join(counted.filter("n >= least").select("repeat"), "repeat")
     return hits.groupBy("key").agg(F.collect_set(F.struct("block", "token")).alias("places"))
 
 

@@ -648,6 +648,39 @@ def test_repeats_do_not_cut_real_text(spark):
         assert got[5 + i] == prose(6 + i, 9) and got[20 + i] == f"{menu}\n{prose(20 + i, 9)}"
 
 
+def test_repeats_of_articles_go(spark):
+    share = "Share this story with your friends and family"
+    rows = [(i, f"http://h.org/{i}", f"<article><h1>Seven days in the far quiet north</h1><p>{prose(i, 30)}</p><p>{share}</p></article>") for i in range(6)]
+    # In one sentence, in the middle of a block, and alone on its host.
+    rows += [(6, "http://h.org/6", f"<article><p>{prose(6, 9)} {share} {prose(7, 9)}</p></article>")]
+    rows += [(7, "http://other.org/1", f"<article><p>{prose(8, 9)}</p><p>{share}</p></article>")]
+    # Changed copies of one article.
+    rows += [(10 + i, f"http://c.org/{i}", f"<article><p>{prose(50, 30)}</p><p>{prose(51 + i, 9)}</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["main_text"] for r in html.extract(pages).collect()}
+    for i in range(6):
+        assert got[i] == f"Seven days in the far quiet north\n{prose(i, 30)}"
+    assert got[6] == f"{prose(6, 9)} {share} {prose(7, 9)}" and got[7] == f"{prose(8, 9)}\n{share}"
+    for i in range(4):
+        assert got[10 + i] == f"{prose(50, 30)}\n{prose(51 + i, 9)}"
+
+
+def test_repeats_are_those_of_sorted_suffixes(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("hk"), " ".join(rng.choice("ab") for _ in range(rng.randint(3, 6))), i) for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = html.repeats(spark.createDataFrame(rows, "host string, head string, key long").repartition(3), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups, plain = {}, {}
+    for r in found:
+        groups.setdefault(tuple(r["repeat"]), []).append(r["key"])
+    for host, head, key in rows:
+        plain.setdefault((host, head[:5]), []).append(key)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values())) and len(found) == 600
+
+
 # ---- 9 language model -----------------------------------------------------------------------
 
 
