@@ -29,6 +29,10 @@ HINT = "_[0-9]{4}"
 KEY = "^[A-Z_]*_[0-9]{4,}$"
 
 _DIGITS = "[0-9]+$"
+#: Entries of which each is looked at.
+FEW = 24
+#: The two characters at a cut that splits a token; $ holds before a line break, too.
+AT_CUT = "^[A-Z_0-9\\n\\r\\u0085\\u2028\\u2029][A-Z_0-9]"
 
 
 def type_names(keys: Column, entities: Sequence[str] | None = None) -> Column:
@@ -43,12 +47,19 @@ def type_names(keys: Column, entities: Sequence[str] | None = None) -> Column:
 
 def prepare(entries: Column, names: Column) -> Column:
     """(entries, names, steps) for ``resolve``, from an array of (key, value) in any order; make it once per row."""
-    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda s: s <= F.size(entries))
-    return F.struct(F.sort_array(entries).alias("entries"), names.alias("names"), steps.alias("steps"))
+    sizes = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def whole(e: Column) -> Column:
+        # The size is made once, not per step: a lambda makes all of its body anew each time.
+        steps = F.when(F.size(e) > FEW, let(F.size(e), lambda n: F.filter(sizes, lambda s: s <= n)))
+        return F.struct(e.alias("entries"), names.alias("names"), F.coalesce(steps, F.array().cast("array<int>")).alias("steps"))
+
+    return let(F.sort_array(entries), whole)
 
 
 def _find(known: Column, key: Column) -> Column:
-    """The entry with this key, or null: a binary search that doubles back by halving steps."""
+    """The entry with this key, or null: of few entries by looking at each, else by a binary
+    search that doubles back by halving steps, of which each costs as much as many looks."""
     entries = known["entries"]
 
     def step(at: Column, size: Column) -> Column:
@@ -57,7 +68,9 @@ def _find(known: Column, key: Column) -> Column:
         return F.when(fits, ahead).otherwise(at)
 
     last = F.aggregate(known["steps"], F.lit(0), step)
-    return let(F.get(entries, last - F.lit(1)), lambda e: F.when(e["key"] == key, e))
+    searched = let(F.get(entries, last - F.lit(1)), lambda e: F.when(e["key"] == key, e))
+    looked = F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
+    return F.when(F.size(entries) <= FEW, looked).otherwise(searched)
 
 
 def _candidates(token: Column, names: Column) -> Column:
@@ -224,11 +237,14 @@ class Restorer:
             key = self.key(match[0])
             return match[0] if key is None else match[0][: -len(key)] + self.mapping[key]
 
-        return _TOKEN.sub(shown, text) if self.names else text
+        return _TOKEN.sub(shown, text) if self.names and "_" in text else text
 
     def safe_length(self, text: str) -> int:
         """How many characters of ``text`` may go out while the longest placeholder is held back."""
         cut = max(0, len(text) - self.hold)
+        # All names end with an underscore.
+        if "_" not in text[max(0, cut - self.hold) : cut + self.hold]:
+            return cut
         head = _HEAD.search(text, max(0, cut - self.hold), cut)
         if not cut or not head:
             return cut

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import maskflow as mf
+from maskflow.functions import restore as R
 from maskflow.functions.restore import Restorer
 
 ALL = {"US_SSN_0001": "123-45-6789", "EMAIL_ADDRESS_0001": "john@example.com", "PHONE_NUMBER_0001": "555-123-4567"}
@@ -72,3 +73,15 @@ def test_long_runs_of_letters_are_linear(spark):
 def test_holdback_length(spark):
     df = spark.createDataFrame([(ALL,), ({},), (None,)], "m map<string,string>")
     assert [r[0] for r in df.select(mf.holdback_length(F.col("m"))).collect()] == [18, 0, 0]
+
+
+@pytest.mark.parametrize("n", [0, 1, R.FEW - 1, R.FEW, R.FEW + 1, 200])
+def test_few_entries_are_looked_at_and_many_searched(spark, n):
+    mapping = {f"US_SSN_{i:04d}": f"<{i}>" for i in range(1, n + 1)}
+    text = " ".join(f"US_SSN_{i:04d}" for i in range(0, n + 2))
+    rows = spark.createDataFrame([(mapping, text)], "m map<string,string>, t string")
+    known = R.prepare(R._pairs(F.col("m")), R.type_names(F.map_keys("m")))
+    got = rows.select(R.unredact_tokens(F.col("t"), F.col("m")).alias("t"), F.size(known["steps"]).alias("steps")).first()
+    assert got["t"] == " ".join(mapping.get(k, k) for k in text.split(" "))
+    # Steps are for a search; few entries need none.
+    assert (got["steps"] == 0) == (n <= R.FEW)
