@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.detect import let
 from maskflow.functions.restore import (
+    AT_CUT,
     HINT,
     TOKEN,
     asked_keys,
@@ -122,7 +123,8 @@ def _split_by(at: Column) -> Column:
 
     def split(w: Column) -> Column:
         inside = straddling(F.left(w, at - low), F.substring(w, at - low + 1, hold), F.col("known"))
-        return F.when(F.contains(w, F.lit("_")), inside)
+        # Most cuts are in plain text, or at its limit.
+        return F.when(F.contains(w, F.lit("_")) & F.substring(w, at - low, F.lit(2)).rlike(AT_CUT), inside)
 
     return let(around, split)
 
@@ -146,7 +148,7 @@ def _released(texts: DataFrame, restored: bool) -> DataFrame:
     def release(cuts: Column) -> Column:
         def one(seq: Column, low: Column, high: Column) -> Column:
             raw = F.substring(F.col("text"), low + 1, high - low)
-            out = restore(raw, F.col("known")) if restored else raw
+            out = let(raw, lambda r: restore(r, F.col("known"))) if restored else raw
             return F.struct(seq.alias("seq"), out.alias("text"))
 
         said = F.transform("pieces", lambda p, i: one(p["seq"], F.get(cuts, i), F.get(cuts, i + F.lit(1))))
