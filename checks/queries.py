@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import zipfile
@@ -107,25 +108,30 @@ def with_workers(fn):
     return run
 
 
+@contextlib.contextmanager
+def state_partitions(spark):
+    """Two partitions a core for what starts within; the state of a stream keeps its number of them for good."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(8, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drained(df: DataFrame, schema: str | None = None) -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
     spark = df.sparkSession
     path = new_path(spark, "stream")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    # The state of a stream keeps its number of partitions for good.
-    if spark.conf.get("spark.master", "").startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-    try:
+    with state_partitions(spark):
         W.write_stream(df, path, new_path(spark, "progress")).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
-def as_stream(df: DataFrame, files: int = 4) -> DataFrame:
+def as_stream(df: DataFrame) -> DataFrame:
     """The rows of a table as a file stream, spread over files without order."""
     path = new_path(df.sparkSession, "arrivals")
-    df.repartition(files).write.parquet(path)
+    df.repartition(max(4, df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
@@ -698,7 +704,8 @@ def _two_sinks(spark, sf) -> tuple[str, str]:
     out, kept, progress = (new_path(spark, name) for name in ("events", "vault", "progress"))
     stream = mf.restore_stream(as_stream(tagged(spark, sf, True)))
     for _ in range(2):
-        W.write_event_stream(stream, out, progress, kept).awaitTermination()
+        with state_partitions(spark):
+            W.write_event_stream(stream, out, progress, kept).awaitTermination()
     return out, kept
 
 

@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 import maskflow as mf
@@ -266,3 +267,27 @@ def test_what_a_micro_batch_writes_does_not_grow_with_the_answer():
     assert "".join([*shown, *[e["content"] for e in rest]]) == want == json.loads(final["payload"])["final_response"]
     assert [name for name, state in states.items() if state.exists()] == ["closed"]
     assert list(processor.handleInputRows((1,), [row("chunk", 0, "again")], None)) == []
+
+
+def test_rows_are_gathered_before_the_state():
+    schema = pa.schema([("request_num", pa.int64()), ("kind", pa.string()), ("seq", pa.int64()), ("content", pa.string())])
+    rows = [(n, "chunk", k, f"{n} é\n{k}" if k % 3 else None) for k in range(40) for n in (None, 0, 7, 3)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 50]], schema) for i in range(0, 160, 50)]
+    out = [r for b in E._gather(iter([pa.RecordBatch.from_pylist([], schema), *batches])) for r in b.to_pylist()]
+    assert [r["request_num"] for r in out] == [0, 3, 7, None]
+    for r in out:
+        assert [(r["request_num"], *p.values()) for p in r["rows"]] == [x for x in rows if x[0] == r["request_num"]]
+    assert list(E._gather(iter([]))) == []
+
+
+def test_events_of_a_request_leave_the_state_as_one_row():
+    many = LITERALS + cases(25, 5, 12)
+    for i, (chunks, mapping) in enumerate(many):
+        plain, gathered = (kind(True, None, True) for kind in (E._Restoring, E._Gathered))
+        plain.init(_Handle())
+        gathered.init(_Handle())
+        rows = [dict(zip(("kind", "seq", "content"), r[1:], strict=True)) for r in tagged_rows([(chunks, mapping)], {0} if i % 2 else ())]
+        want = [tuple(r)[1:] for r in plain.handleInputRows((0,), rows, None)]
+        (row,) = gathered.handleInputRows((0,), [{"rows": json.dumps(rows[3:])}, {"rows": json.dumps(rows[:3])}], None)
+        assert [(row["event_seq"] + k, *e) for k, e in enumerate(json.loads(row["events"]))] == want
+        assert list(gathered.handleInputRows((0,), [{"rows": json.dumps(rows)}], None)) == []
