@@ -24,7 +24,7 @@ from maskflow.operators import holdback as H
 from maskflow.operators import masking as K
 from maskflow.operators.prefix import running_totals
 from maskflow.plans.requests import result_records
-from maskflow.session import new_path, spread
+from maskflow.session import materialize, new_path, spread
 from maskflow.sources import requests as S
 from maskflow.streaming import events as E
 from maskflow.streaming import sinks as W
@@ -72,7 +72,9 @@ def chunks_of(texts: DataFrame, pattern: str = X.CHUNK) -> DataFrame:
 
 def streamed(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Chunks and mappings of the streamed answers to all requests."""
+    # Written, as chunks and mappings are read by several branches, and patterns are costly.
     masked = mf.mask_requests(requests(spark, sf), "request")
+    masked = materialize(masked.select("request_num", "redacted_system", "redacted_user", "mappings"), "masked")
     answers = masked.selectExpr("request_num AS request_id", f"{X.STREAMED} AS answer")
     mappings = masked.select(F.col("request_num").alias("request_id"), F.col("mappings").alias("mapping"))
     return chunks_of(answers), mappings
