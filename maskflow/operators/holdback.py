@@ -61,10 +61,11 @@ def _joined(pieces: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: p["content"]), "")
 
 
-def _texts(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+def _texts(chunks: DataFrame, mappings: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """Ranges as text, preceded by what stands before them, with the entries of their placeholders.
 
     Columns: request_id, block, is_last, hold, base (characters before), text, pieces, known.
+    ``broken`` (request_id): requests without a last range.
     """
     blocks = _blocks(chunks)
     facts = mappings.select(
@@ -82,6 +83,10 @@ def _texts(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
         F.array_join(F.collect_list("end").over(earlier), "").alias("before"),
         F.lead("block").over(order).isNull().alias("is_last"),
     ).join(facts, "request_id", "left")
+    if broken is not None:
+        cut_off = broken.select("request_id").distinct().withColumn("cut_off", F.lit(True))
+        around = around.join(cut_off, "request_id", "left")
+        around = around.withColumn("is_last", F.col("is_last") & F.isnull("cut_off")).drop("cut_off")
     around = around.withColumns(
         {
             "hold": F.coalesce("hold", F.lit(0)),
@@ -171,12 +176,8 @@ def release_chunks(chunks: DataFrame, mappings: DataFrame, broken: DataFrame | N
     ``broken``: request_id of the requests whose answer broke off after its
     last chunk. What was held back of it then is dropped.
     """
-    released = _released(_texts(chunks, mappings), restored=True)
-    released = released.select("request_id", "seq", F.col("text").alias("content"))
-    if broken is None:
-        return released
-    rest = released.filter("seq IS NULL").join(broken.select("request_id"), "request_id", "left_anti")
-    return released.filter("seq IS NOT NULL").unionByName(rest)
+    released = _released(_texts(chunks, mappings, broken), restored=True)
+    return released.select("request_id", "seq", F.col("text").alias("content"))
 
 
 def full_answers(chunks: DataFrame, mappings: DataFrame, broken: DataFrame | None = None) -> DataFrame:

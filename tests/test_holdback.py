@@ -191,3 +191,14 @@ def test_empty_chunks_count_for_nothing(spark):
     none = spark.createDataFrame([], "request_id long, mapping map<string,string>")
     out = mf.release_chunks(chunks, none).filter(F.col("seq").isNotNull()).collect()
     assert {(r.seq, r.content) for r in out} == {(0, "a"), (3, "b")}
+
+
+def test_broken_answers_are_restored_once(spark):
+    chunks = spark.createDataFrame([(i, k, "x US_SSN_") for i in range(3) for k in range(2)], "request_id long, seq long, content string")
+    mappings = spark.createDataFrame([(i, {"US_SSN_0001": "1"}) for i in range(3)], "request_id long, mapping map<string,string>")
+    broken = spark.createDataFrame([(1, "lost"), (1, "lost"), (None, "lost")], "request_id long, error string")
+    released = mf.release_chunks(chunks, mappings, broken)
+    rows = released.collect()
+    assert sorted(r.request_id for r in rows if r.seq is None) == [0, 2] and len(rows) == 8
+    # One branch: what is released is made once, and the rests are part of it.
+    assert "Union" not in released._jdf.queryExecution().optimizedPlan().toString()
