@@ -34,7 +34,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.functions.detect import let
+from maskflow.functions.detect import compute_once, let
 from maskflow.llm.common import SPACE_CHARS, unused, write_table
 
 #: A line with more than one in HEAVY of all lines is heavy.
@@ -44,12 +44,14 @@ LETTERS = "etaoinsrhldcumfpgwybvkxjqz .,-01"
 PIECES = 16
 
 
-def _normal(line: Column) -> Column:
+def _with_normal(lines: DataFrame) -> DataFrame:
+    """``body`` added, the normal form of ``raw``, with no white space at its ends; made once per line."""
     # Taking off other white space than blanks costs more, so only where there is some.
-    body = F.trim(line)
+    lines = compute_once(lines, {"_trimmed": F.trim("raw")})
+    body = F.col("_trimmed")
     others = [test(body, F.lit(c)) for c in SPACE_CHARS[1:] for test in (F.startswith, F.endswith)]
     some = functools.reduce(Column.__or__, others)
-    return F.lower(F.when(some, F.trim(line, F.lit(SPACE_CHARS))).otherwise(body))
+    return compute_once(lines, {"body": F.lower(F.when(some, F.trim(body, F.lit(SPACE_CHARS))).otherwise(body))})
 
 
 def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,10 +59,13 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, text_hash, line, hash, chars, body): the normal form of each line of ``min_chars`` or more, but white space."""
+    """(doc, text_hash, line, hash, chars, body): the normal form of each line of ``min_chars`` or more, but white space.
+
+    A line of white space alone has an empty normal form.
+    """
     lines = F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")
-    out = docs.select("doc", "text_hash", lines).select("doc", "text_hash", "line", _normal(F.col("raw")).alias("body"))
-    out = out.withColumn("chars", F.length("body")).filter((F.col("chars") >= min_chars) & (F.translate("body", SPACE_CHARS, "") != ""))
+    out = _with_normal(docs.select("doc", "text_hash", lines)).select("doc", "text_hash", "line", "body")
+    out = out.withColumn("chars", F.length("body")).filter(F.col("chars") >= max(min_chars, 1))
     return out.withColumn("hash", F.xxhash64("body"))
 
 

@@ -371,6 +371,18 @@ def test_equal_short_lines_go(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: "Menu\n\n\t\nbody one", 2: "\n\t\nbody two", 3: None}
 
 
+def test_normal_form_is_made_once_per_line(spark):
+    spaces = " \t\x0b\x0c\r"
+    rows = [(1, " \t a\x0b\r\nB \n\n \t \n\x0b\n  Ünï Ça \t"), (2, None), (3, ""), (4, spaces), (5, f"{spaces}\n{spaces}X y{spaces}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.split_lines(lines._document(docs, "doc_id", "text"), 1)
+    want = {(i, k, x.strip(spaces).lower()) for i, text in rows for k, x in enumerate((text or "").split("\n")) if x.strip(spaces)}
+    assert {(r["doc"], r["line"], r["body"]) for r in found.collect()} == want
+    # The filter used to make the normal form again, and to translate all of it, for lines of white space.
+    plan = found.select("doc", "line", "hash")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1 and "translate" not in plan
+
+
 # ---- 5 licenses ---------------------------------------------------------------------
 
 
