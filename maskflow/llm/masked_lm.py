@@ -13,7 +13,8 @@ Training is numpy in the tasks: per round, each partition starts from the
 shared weights, takes Adagrad steps on every ``stride``-th place of all its
 texts (the next offset in each round, so ``stride`` rounds use each place
 once) and gives its weights, which are averaged by places in two levels of
-groups. Texts are turned into class numbers once, in a written table. Only the averaged weights, the
+groups. Texts are turned into class numbers once, in a written
+table, which training and scoring read. Only the averaged weights, the
 commonest words and the sizes of the classes, of fixed size all, reach the
 driver. The counted words meet the texts in a join by word; texts go there in
 batches, as numbers of the texts that a word stands in. Scores are for a given
@@ -42,7 +43,7 @@ from maskflow.llm.common import remove_table, unused, write_table
 #: Neighbours by place.
 PLACES = (-2, -1, 1, 2)
 #: Places whose outputs are held at a time, and places of a training step.
-BLOCK, STEP = 512, 2048
+BLOCK, STEP = 256, 2048
 
 
 @dataclass(frozen=True)
@@ -99,58 +100,65 @@ class Network:
             rng = np.random.default_rng(3)
             flat = np.concatenate([rng.normal(0, 0.3, sizes[0]), rng.normal(0, 0.1, sizes[1]), np.zeros(n)])
         self.flat = np.array(flat, dtype=np.float32)
-        a, b, c = np.split(self.flat, np.cumsum(sizes)[:-1])
-        self.tables, self.out, self.bias = a.reshape(p, n + 1, d), b.reshape(d, n), c
+        self.tables = self.flat[: sizes[0]].reshape(p, n + 1, d)
+        # The bias is one more row of weights, for a hidden number that is always 1.
+        self.out = self.flat[sizes[0] :].reshape(d + 1, n)
+        self._cells = np.arange((n + 1) * d).reshape(n + 1, d)
+        self._ones, self._at = np.ones(n, dtype=np.float32), np.arange(BLOCK)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.tables[k].take(around[:, k], axis=0) for k in range(len(PLACES))))
+        """Hidden numbers, and a last one that is 1."""
+        h = np.ones((len(around), self.shape.wide + 1), dtype=np.float32)
+        np.tanh(sum(self.tables[k].take(around[:, k], axis=0) for k in range(len(PLACES))), out=h[:, :-1])
+        return h
 
-    def outputs(self, h: np.ndarray) -> np.ndarray:
-        """Outputs for hidden numbers, lowered by their maximum where exp might overflow."""
-        z = h @ self.out
-        z += self.bias
-        # Hidden numbers are within 1, so this bounds every output.
-        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > 60:
-            z -= z.max(axis=1, keepdims=True)
-        return z
+    def far(self) -> bool:
+        """Whether exp of an output might overflow. Hidden numbers are within 1, which bounds every output."""
+        return bool(np.abs(self.out[:-1]).sum(axis=0).max() + np.abs(self.out[-1]).max() > 60)
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
-        found = np.empty(len(target), dtype=np.float64)
-        for i in range(0, len(target), BLOCK):
-            some, own = around[i : i + BLOCK], target[i : i + BLOCK]
-            z = self.outputs(self.hidden(some))
-            picked = z[np.arange(len(own)), own]
-            np.exp(z, out=z)
-            found[i : i + BLOCK] = picked - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))
+        found, far = np.empty(len(target), dtype=np.float64), self.far()
+        for first in range(0, len(target), STEP):
+            h, own = self.hidden(around[first : first + STEP]), target[first : first + STEP]
+            for i in range(0, len(own), BLOCK):
+                z, some = h[i : i + BLOCK] @ self.out, own[i : i + BLOCK]
+                if far:
+                    z -= z.max(axis=1, keepdims=True)
+                picked = z[self._at[: len(some)], some]
+                np.exp(z, out=z)
+                found[first + i : first + i + len(some)] = picked - np.log(z @ self._ones)
         return found
 
     def step(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step; ``squares`` sums the squared gradients of ``flat``."""
-        n, d = self.shape.classes, self.shape.wide
-        grad = np.zeros(len(self.flat))
-        tables, out, bias = np.split(grad, np.cumsum([self.tables.size, self.out.size]))
-        tables, out = tables.reshape(len(PLACES), -1), out.reshape(d, n)
+        n, d, far = self.shape.classes, self.shape.wide, self.far()
+        grad = np.zeros(len(self.flat), dtype=np.float32)
+        tables, out = grad[: self.tables.size].reshape(len(PLACES), -1), grad[self.tables.size :].reshape(d + 1, n)
+        h, turned = self.hidden(around), np.ascontiguousarray(self.out[:-1].T)
+        back = np.empty((len(target), d), dtype=np.float32)
         for i in range(0, len(target), BLOCK):
-            some, own = around[i : i + BLOCK], target[i : i + BLOCK]
-            h = self.hidden(some)
-            z = self.outputs(h)
+            some, own = h[i : i + BLOCK], target[i : i + BLOCK]
+            z = some @ self.out
+            if far:
+                z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z *= (1 / (len(target) * (z @ np.ones(n, dtype=z.dtype))))[:, None]
-            z[np.arange(len(own)), own] -= np.float32(1 / len(target))
-            back = ((z @ self.out.T) * (1 - h * h)).astype(np.float64).ravel()
-            for k in range(len(PLACES)):
-                at = (some[:, k, None].astype(np.intp) * d + np.arange(d)).ravel()
-                tables[k] += np.bincount(at, back, (n + 1) * d)
-            out += h.T @ z
-            bias += z.sum(axis=0)
-        grad = grad.astype(np.float32)
+            # The rows of z are the errors times their sums; what they meet is divided instead, which is narrower.
+            sums = z @ self._ones
+            z[self._at[: len(own)], own] -= sums
+            share = (1 / (len(target) * sums))[:, None]
+            np.multiply(z @ turned, share, out=back[i : i + BLOCK])
+            out += (some * share).T @ z
+        inner = h[:, :-1]
+        back = (back * (1 - inner * inner)).astype(np.float64).ravel()
+        for k in range(len(PLACES)):
+            tables[k] = np.bincount(self._cells.take(around[:, k], axis=0).ravel(), back, (n + 1) * d)
         squares += grad * grad
         self.flat -= self.shape.rate * grad / (np.sqrt(squares) + 1e-6)
 
 
-#: Words and texts of a batch of ``met_words``, about and at most.
-BATCH_WORDS, BATCH_TEXTS = 1_000_000, 2**16
+#: Words and texts of a batch of ``met_words``, about and at most; words that are numbered at a time, before their bytes go.
+BATCH_WORDS, BATCH_TEXTS, NUMBERED = 2_000_000, 2**16, 2**19
 #: Tasks that copies of one text are dealt to when its part joins them.
 SALTS = 8
 
@@ -161,30 +169,49 @@ def met_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     One more row per batch, its word a space and the batch, holds the texts' keys (hashes).
     """
 
-    def whole(texts: list[list[bytes]], keys: list[int]) -> pd.DataFrame:
-        number = np.repeat(np.arange(len(texts), dtype="<u2"), [len(t) for t in texts])
+    def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         codes, kinds = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+        return codes.astype(np.int32), kinds
+
+    def whole(parts: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], keys: list[int]) -> pd.DataFrame:
+        same, kinds = pd.factorize(np.concatenate([k for _, k in parts]))
+        starts = np.cumsum([0, *(len(k) for _, k in parts)])
+        codes = np.concatenate([same[start:][c] for start, (c, _) in zip(starts, parts, strict=False)])
         ends = [0, *(2 * np.cumsum(np.bincount(codes))).tolist()]
-        raw, name = number[np.argsort(codes, kind="stable")].tobytes(), np.array(keys, dtype="<i8").tobytes()
+        # Sorted by word, then by text: BATCH_TEXTS texts take 16 bits.
+        codes <<= 16
+        codes += np.repeat(np.arange(len(sizes)), sizes)
+        codes.sort()
+        raw, name = codes.astype("<u2").tobytes(), np.array(keys, dtype="<i8").tobytes()
         mark = hashlib.blake2b(name, digest_size=8).digest()
         places = [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
         return pd.DataFrame({"batch": int.from_bytes(mark, "little", signed=True), "word": [*kinds, b" " + mark], "places": [*places, name]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts: list[list[bytes]] = []
+        held: list[list[bytes]] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes: list[int] = []
         keys: list[int] = []
-        size = 0
+        new = size = 0
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 if words := words_of(text):
-                    texts.append(words)
+                    held.append(words)
+                    sizes.append(len(words))
                     keys.append(key)
+                    new += len(words)
                     size += len(words)
-                if size >= BATCH_WORDS or len(texts) == BATCH_TEXTS:
-                    yield whole(texts, keys)
-                    texts, keys, size = [], [], 0
-        if texts:
-            yield whole(texts, keys)
+                full = size >= BATCH_WORDS or len(sizes) == BATCH_TEXTS
+                if held and (full or new >= NUMBERED):
+                    parts.append(numbered(held))
+                    held, new = [], 0
+                if full:
+                    yield whole(parts, sizes, keys)
+                    parts, sizes, keys, size = [], [], [], 0
+        if held:
+            parts.append(numbered(held))
+        if parts:
+            yield whole(parts, sizes, keys)
 
     rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return write_table(rows.mapInPandas(meet, "batch long, word binary, places binary"), "met")[0]
@@ -202,7 +229,7 @@ def common_words(counts: DataFrame, n: int) -> list[bytes]:
 
 
 def in_class(met: DataFrame, counts: DataFrame, common: list[bytes], shape: Shape) -> DataFrame:
-    """(key, part) of texts with uncommon words: the summed log-probabilities of these in their classes.
+    """(key, part) of texts with uncommon words, copies repeated: the summed log-probabilities of these in their classes.
 
     The counts of a class are taken as one more, which words that were never counted share.
     """
@@ -212,7 +239,7 @@ def in_class(met: DataFrame, counts: DataFrame, common: list[bytes], shape: Shap
     sizes = {r[0]: r[1] for r in others.groupBy(own.alias("class")).agg(F.sum("n")).collect()}
     less = F.array(*[F.lit(math.log(sizes.get(i, 0) + 1)) for i in range(shape.hashed)])
     log = F.log(F.coalesce("n", F.lit(1)).cast("double")) - F.get(less, own.cast("int"))
-    rows = met.join(known, "word", "left_anti").join(others, "word", "left")
+    rows = met.join(known, "word", "left_anti").join(others.hint("shuffle_hash"), "word", "left")
     rows = rows.select("batch", F.startswith("word", F.lit(b" ")).alias("whole"), "places", log.alias("log"))
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -224,24 +251,40 @@ def in_class(met: DataFrame, counts: DataFrame, common: list[bytes], shape: Shap
         # Batches of equal texts have one number, and so are added up as often.
         return pd.DataFrame({"key": keys, "part": np.bincount(at, logs, len(keys)) / whole.sum()})
 
-    return rows.groupBy("batch").applyInPandas(add, "key long, part double").groupBy("key").agg(F.max("part").alias("part"))
+    return rows.groupBy("batch").applyInPandas(add, "key long, part double")
 
 
-def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), common: list[bytes] | None = None) -> tuple[list[bytes], np.ndarray]:
-    """(common words, weights) of a network trained on all documents."""
-    common = common_words(count_words(met_words(docs, text_col)), shape.known) if common is None else common
-    flat = Network(shape).flat
+def kind_of_ids(shape: Shape) -> str:
+    return "<u1" if shape.classes <= 2**8 else "<i4"
+
+
+def class_table(docs: DataFrame, common: list[bytes], text_col: str = "text", shape: Shape = Shape()) -> tuple[DataFrame, str]:
+    """Written (key, ids, first) of each text with words: its hash, the classes of its words, where training begins; and the path."""
 
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(common, shape)
         for batch in batches:
-            ids = [(words[0], classes(words)) for words in map(words_of, batch["text"]) if words]
+            ids = [(key, words[0], classes(words)) for key, words in zip(batch["key"], map(words_of, batch["text"]), strict=True) if words]
             yield pd.DataFrame(
-                {"ids": [x.astype(kind_of_ids).tobytes() for _, x in ids], "first": [(zlib.crc32(w) + len(x)) % 2**31 for w, x in ids]}
+                {
+                    "key": np.array([k for k, _, _ in ids], dtype=np.int64),
+                    "ids": [x.astype(kind_of_ids(shape)).tobytes() for _, _, x in ids],
+                    "first": [(zlib.crc32(w) + len(x)) % 2**31 for _, w, x in ids],
+                }
             )
 
-    kind_of_ids = "<u1" if shape.classes <= 2**8 else "<i4"
-    texts, path = write_table(docs.select(F.col(text_col).alias("text")).mapInPandas(classed, "ids binary, first int"), "classes")
+    rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return write_table(rows.mapInPandas(classed, "key long, ids binary, first int"), "classes")
+
+
+def train(
+    docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), common: list[bytes] | None = None, texts: DataFrame | None = None
+) -> tuple[list[bytes], np.ndarray]:
+    """(common words, weights) of a network trained on all documents. ``texts``: their ``class_table``, if it is there already."""
+    common = common_words(count_words(met_words(docs, text_col)), shape.known) if common is None else common
+    flat, path = Network(shape).flat, None
+    if texts is None:
+        texts, path = class_table(docs, common, text_col, shape)
     for turn in range(shape.rounds):
 
         def learn(batches: Iterator[pd.DataFrame], start=flat, turn=turn) -> Iterator[pd.DataFrame]:
@@ -260,7 +303,7 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
 
             for batch in batches:
                 for raw, first in zip(batch["ids"], batch["first"], strict=True):
-                    ids = np.frombuffer(raw, dtype=kind_of_ids).astype(np.int32)
+                    ids = np.frombuffer(raw, dtype=kind_of_ids(shape)).astype(np.int32)
                     at = trained(len(ids), first, turn, shape.stride)
                     if len(at):
                         held.append((neighbours(ids, at, shape.classes), ids[at]))
@@ -281,16 +324,35 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), commo
             return pd.DataFrame({"weights": [mean.astype(np.float32).tobytes()], "places": [total], "deal": [0]})
 
         kind = "weights binary, places long, deal long"
-        given, _ = write_table(texts.mapInPandas(learn, kind), "weights")
+        given, _ = write_table(texts.select("ids", "first").mapInPandas(learn, kind), "weights")
         groups = max(1, int(given.count() ** 0.5))
         some = given.groupBy(F.pmod("deal", F.lit(groups)).alias("g")).applyInPandas(average, kind)
         last = some.groupBy("deal").applyInPandas(average, kind).collect()
         if last:
             flat = np.frombuffer(bytes(last[0]["weights"]), dtype=np.float32).copy()
-    remove_table(docs.sparkSession, path)
+    if path:
+        remove_table(docs.sparkSession, path)
     return common, flat
 
 
+def class_sums(texts: DataFrame, flat: np.ndarray, shape: Shape = Shape()) -> DataFrame:
+    """Written (key, n_words, log_prob) of the rows of ``class_table``: the summed log-probabilities of the classes."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net = Network(shape, flat)
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                some = batch.iloc[i : i + 64]
+                ids = [np.frombuffer(raw, dtype=kind_of_ids(shape)).astype(np.int32) for raw in some["ids"]]
+                around = [neighbours(x, np.arange(len(x)), shape.classes) for x in ids]
+                logs = net.log_probs(np.concatenate(around), np.concatenate(ids))
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                total, ends = np.concatenate([[0.0], np.cumsum(logs)]), np.cumsum(sizes)
+                yield pd.DataFrame({"key": some["key"], "n_words": sizes, "log_prob": total[ends] - total[ends - sizes]})
+
+    return write_table(texts.select("key", "ids").mapInPandas(summed, "key long, n_words long, log_prob double"), "sums")[0]
+
+
 def score(
     docs: DataFrame,
     common: list[bytes],
@@ -299,40 +361,34 @@ def score(
     shape: Shape = Shape(),
     counts: DataFrame | None = None,
     met: DataFrame | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with n_words, log_prob (summed) and mean_log_prob of each text.
 
     Without ``counts`` (of the texts trained on) the scores are those of the
-    classes. ``met``: ``met_words`` of ``docs``, if it is there already.
+    classes. ``met``, ``texts``: ``met_words`` and ``class_table`` of ``docs``, if they are there already.
     """
+    path = None
+    if texts is None:
+        texts, path = class_table(docs, common, text_col, shape)
+    none = F.lit(None)
+    found = class_sums(texts, flat, shape).withColumn("part", none.cast("double"))
+    if path:
+        remove_table(docs.sparkSession, path)
+    if counts is not None:
+        met = met_words(docs, text_col) if met is None else met
+        parts = in_class(met, counts, common, shape)
+        found = found.unionByName(parts.select("key", none.cast("long").alias("n_words"), none.cast("double").alias("log_prob"), "part"))
+    # Texts with equal hashes are equal, and so have equal sums.
+    found = found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_words", "log_prob", "part")])
 
-    @F.pandas_udf("n_words long, log_prob double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net, classes = Network(shape, flat), Classes(common, shape)
-        for texts in parts:
-            sizes, sums = [], []
-            for i in range(0, len(texts), 64):
-                ids = [classes(words_of(t)) for t in texts.iloc[i : i + 64]]
-                around = [neighbours(x, np.arange(len(x)), shape.classes) for x in ids]
-                logs = net.log_probs(np.concatenate(around), np.concatenate(ids))
-                ends = np.cumsum([len(x) for x in ids])
-                total = np.concatenate([[0.0], np.cumsum(logs)])
-                sizes += [len(x) for x in ids]
-                sums += [float(total[e] - total[e - len(x)]) for e, x in zip(ends, ids, strict=True)]
-            yield pd.DataFrame({"n_words": np.array(sizes, dtype=np.int64), "log_prob": np.array(sums, dtype=np.float64)})
-
-    found, key, part, salt = unused(docs, "_found", "_key", "_part", "_salt")
+    key, salt, sums = unused(docs, "_key", "_salt", "_sums")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "log_prob", "mean_log_prob")]
-    out = docs.withColumn(found, scored(F.col(text_col)))
-    if counts is None:
-        out = out.select(*own, f"{found}.*")
-    else:
-        met = met_words(docs, text_col) if met is None else met
-        parts = in_class(met, counts, common, shape).withColumnsRenamed({"key": key, "part": part})
-        # Copies of one text are dealt to SALTS tasks.
-        out = out.withColumn(key, F.xxhash64(text_col)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        parts = parts.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
-        out = out.join(parts, [key, salt], "left")
-        log_prob = F.col(f"{found}.log_prob") + F.coalesce(part, F.lit(0.0))
-        out = out.select(*own, f"{found}.n_words", log_prob.alias("log_prob"))
+    # Copies of one text are dealt to SALTS tasks.
+    found = found.select(F.col("key").alias(key), F.explode(F.array(*map(F.lit, range(SALTS)))).alias(salt), F.struct("n_words", "log_prob", "part").alias(sums))
+    out = docs.withColumn(key, F.xxhash64(text_col)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    out = out.join(found, [key, salt], "left")
+    zero = F.lit(0.0)
+    log_prob = F.coalesce(F.col(f"{sums}.log_prob"), zero) + F.coalesce(F.col(f"{sums}.part"), zero)
+    out = out.select(*own, F.coalesce(F.col(f"{sums}.n_words"), F.lit(0).cast("long")).alias("n_words"), log_prob.alias("log_prob"))
     return out.withColumn("mean_log_prob", F.try_divide("log_prob", F.col("n_words").cast("double")))

@@ -771,6 +771,56 @@ def test_gradient_by_differences():
         assert math.isclose(-(high - low) / 2e-2, moved[k], rel_tol=0.05, abs_tol=2e-2)
 
 
+def test_scoring_reads_the_class_table(spark):
+    # Scoring used to split and class all texts once more, in Python workers beside the training's.
+    shape = masked_lm.Shape(known=4, hashed=2, wide=4)
+    corpus = ["a b c d e f g", "a b", "b c a", None, "", "a b", "a  B\n"]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(corpus)])
+    common = masked_lm.common_words(masked_lm.count_words(masked_lm.met_words(docs)), shape.known)
+    texts, _ = masked_lm.class_table(docs, common, "text", shape)
+    assert texts.count() == 5
+    _, weights = masked_lm.train(docs, "text", shape, common, texts)
+    found = masked_lm.score(docs, common, weights, "text", shape, texts=texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    net, classes = masked_lm.Network(shape, weights), masked_lm.Classes(common, shape)
+    for r in found.collect():
+        ids = classes(masked_lm.words_of(r["text"]))
+        around = masked_lm.neighbours(ids, np.arange(len(ids)), shape.classes)
+        hidden = np.tanh(sum(net.tables[k][around[:, k]].astype(float) for k in range(4)))
+        z = hidden @ net.out[:-1] + net.out[-1]
+        want = (z[np.arange(len(ids)), ids] - np.log(np.exp(z).sum(axis=1))).sum()
+        assert r["n_words"] == len(ids) and math.isclose(r["log_prob"], want, rel_tol=1e-5, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_step_over_blocks_equals_plain_gradient(scale):
+    shape = masked_lm.Shape(known=5, hashed=4, wide=3, rate=1.0)
+    rng = np.random.default_rng(1)
+    n, places = shape.classes, 2 * masked_lm.BLOCK + 3
+    around, target = rng.integers(0, n + 1, (places, 4)).astype(np.int32), rng.integers(0, n, places)
+    net = masked_lm.Network(shape)
+    net.out *= scale
+    assert net.far() == (scale > 1)
+    before = net.flat.astype(float)
+    squares = np.zeros(len(before), dtype=np.float32)
+    hidden = np.tanh(sum(net.tables[k][around[:, k]].astype(float) for k in range(4)))
+    z = hidden @ net.out[:-1] + net.out[-1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(places), target] -= 1
+    z /= places
+    back = (z @ net.out[:-1].T) * (1 - hidden**2)
+    tables = np.zeros((4, n + 1, 3))
+    for k in range(4):
+        np.add.at(tables[k], around[:, k], back)
+    want = np.concatenate([tables.ravel(), (hidden.T @ z).ravel(), z.sum(axis=0)])
+    net.step(around, target, squares)
+    assert np.allclose(np.sqrt(squares), np.abs(want), rtol=1e-3, atol=1e-5)
+    moved = np.abs(want) > 1e-3
+    assert np.array_equal(np.sign(before - net.flat)[moved], np.sign(want)[moved])
+
+
 def test_lm_odd_rows(odd, none):
     common, weights = masked_lm.train(odd)
     assert masked_lm.score(odd, common, weights).count() == len(ODD)
