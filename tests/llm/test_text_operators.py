@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -902,3 +903,42 @@ def test_encoder_gives_the_ids_of_the_whole_tokenizer(monkeypatch):
         monkeypatch.setattr(packing, "REMEMBER", remember)
         encode = packing._Encoder(tokenizer_path())
         assert [encode(t or "") for t in texts + texts[::-1]] == want + want[::-1]
+
+
+def test_a_worker_remembers_words_in_little_memory():
+    """56 MB when each word and piece was an object with a dictionary entry; two workers of an executor held 370 MB each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), (200_000, 8))]
+    encode = packing._Encoder(tokenizer_path())
+    encode("a first word")
+    tracemalloc.start()
+    try:
+        for i in range(0, len(words), 20_000):
+            encode(" ".join(words[i : i + 20_000]))
+        assert tracemalloc.get_traced_memory()[0] < 30_000_000
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("remember", [10**9, 400])
+def test_memory_of_strings_is_exact(monkeypatch, remember):
+    """Strings that differ in a zero byte, in length or beyond the short part; ids are learnt again once forgotten."""
+    monkeypatch.setattr(packing, "REMEMBER", remember)
+    odd = ["", "\0", "\0\0", "a", "a\0", "a" * 14, "a" * 15, "a" * 15 + "\0", "a" * 16, "é" * 7, "é" * 8, "b" * 300]
+    rng = np.random.default_rng(12)
+    words = odd + ["".join(w) for n in (3, 6, 15, 17) for w in rng.choice(list("xyz"), (300, n))]
+    ids_of = {w: [len(w), *w.encode()] if w else [] for w in words}
+    learnt = []
+
+    def learn(new):
+        learnt.extend(new.to_pylist())
+        return packing.one_by_one([ids_of[w] for w in new.to_pylist()])
+
+    memory = packing._Memory(learn)
+    for _ in range(60):
+        some = list(dict.fromkeys(rng.choice(np.array(words, dtype=object), rng.integers(0, 120))))
+        flat, first, size = memory(pa.array(some, pa.string()))
+        assert [flat[a : a + n].tolist() for a, n in zip(first, size, strict=True)] == [ids_of[w] for w in some]
+    assert (len(learnt) == len(set(learnt))) == (remember > 400)
